@@ -32,6 +32,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
     """A broadcast hint only if the counted ``rows`` are at most ``most``; else Spark shuffles both sides."""
     return F.broadcast(df) if rows <= most else df

@@ -5,18 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrain.llm import quality
+from landgrain.llm import decontamination, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[s + 1 : s + least(13, len(w))], ' ') AS g
+  FROM (SELECT *, unnest(range(0, len(w) - least(13, len(w)) + 1)) AS s FROM i WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, k, s, array_to_string(w[s + 1 : s + k], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS s
+        FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+m AS (SELECT doc_id, item_id, dw.k AS k, s FROM dw JOIN iw ON dw.k = iw.k AND dw.g = iw.g),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM m) GROUP BY 1),
+t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def op6_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost"]
     return out.select("doc_id", *(F.col(f"quality.{x}").alias(x) for x in fields))
 
 
-QUERIES = {f.__name__: f for f in (op6_line_cleaning,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_positional_index, op6_line_cleaning)}
+ORACLES: dict[str, str] = {"op4_positional_index": OP4_SQL}
