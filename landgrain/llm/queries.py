@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrain.llm import decontamination, quality
+from landgrain.llm import decontamination, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,5 +48,11 @@ def op6_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"quality.{x}").alias(x) for x in fields))
 
 
-QUERIES = {f.__name__: f for f in (op4_positional_index, op6_line_cleaning)}
+def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    fields = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    return out.select("doc_id", *(F.col(f"scan.{x}").alias(x) for x in fields))
+
+
+QUERIES = {f.__name__: f for f in (op4_positional_index, op6_line_cleaning, op9_trigram_secrets)}
 ORACLES: dict[str, str] = {"op4_positional_index": OP4_SQL}
