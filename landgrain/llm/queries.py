@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrain.llm import decontamination, quality, secret_scan
+from landgrain.llm import decontamination, jaccard_join, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +54,10 @@ def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"scan.{x}").alias(x) for x in fields))
 
 
-QUERIES = {f.__name__: f for f in (op4_positional_index, op6_line_cleaning, op9_trigram_secrets)}
+def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.joined(docs).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+
+
+QUERIES = {f.__name__: f for f in (op4_positional_index, op6_line_cleaning, op9_trigram_secrets, op10_partenum_join)}
 ORACLES: dict[str, str] = {"op4_positional_index": OP4_SQL}
