@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrain.llm import decontamination, jaccard_join, quality, secret_scan
+from landgrain.llm import decontamination, jaccard_join, packing, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op5_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost"]
@@ -59,5 +63,5 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(docs).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op4_positional_index, op6_line_cleaning, op9_trigram_secrets, op10_partenum_join)}
+QUERIES = {f.__name__: f for f in (op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op9_trigram_secrets, op10_partenum_join)}
 ORACLES: dict[str, str] = {"op4_positional_index": OP4_SQL}
