@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrain.llm import chat, decontamination, jaccard_join, packing, quality, secret_scan
+from landgrain.llm import chat, decontamination, jaccard_join, lm_scoring, packing, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     fields = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
@@ -98,5 +102,5 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(docs).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op7_event_chat, op9_trigram_secrets, op10_partenum_join)}
+QUERIES = {f.__name__: f for f in (op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op7_event_chat, op8_hidden_markov, op9_trigram_secrets, op10_partenum_join)}
 ORACLES: dict[str, str] = {"op4_positional_index": OP4_SQL, "op7_event_chat": OP7_SQL}
