@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrain.llm import chat, decontamination, jaccard_join, lm_scoring, packing, quality, secret_scan
+from landgrain.llm import chat, decontamination, jaccard_join, language_id, lm_scoring, packing, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    train = docs.where(~held & F.col("lang").isNotNull()).select("text", "lang")
+    out = language_id.predicted(docs.select("doc_id", "text"), language_id.trained(train))
+    return out.select(
+        "doc_id",
+        held.alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        "language.score",
+        F.col("language.bits").alias("bits_per_letter"),
+        "language.rejected",
+    )
+
+
 def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -102,5 +117,5 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(docs).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op7_event_chat, op8_hidden_markov, op9_trigram_secrets, op10_partenum_join)}
+QUERIES = {f.__name__: f for f in (op2_kneser_ney, op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op7_event_chat, op8_hidden_markov, op9_trigram_secrets, op10_partenum_join)}
 ORACLES: dict[str, str] = {"op4_positional_index": OP4_SQL, "op7_event_chat": OP7_SQL}
