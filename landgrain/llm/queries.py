@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrain.llm import chat, decontamination, jaccard_join, language_id, lm_scoring, packing, quality, secret_scan
+from landgrain.llm import (
+    chat,
+    decontamination,
+    jaccard_join,
+    language_id,
+    lm_scoring,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    token_output,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -27,6 +45,11 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, layout = token_output.written(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.join(token_output.stored(spark, layout), "slot")
+
+
 def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -117,5 +140,5 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(docs).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op2_kneser_ney, op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op7_event_chat, op8_hidden_markov, op9_trigram_secrets, op10_partenum_join)}
+QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_kneser_ney, op3_feistel_order, op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op7_event_chat, op8_hidden_markov, op9_trigram_secrets, op10_partenum_join)}
 ORACLES: dict[str, str] = {"op4_positional_index": OP4_SQL, "op7_event_chat": OP7_SQL}
