@@ -5,20 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrain.llm import quality
-from landgrain.llm.common import staged
+from landgrain.llm import decontamination, jaccard_join, packing, quality, secret_scan
+from landgrain.llm.common import fresh, maybe_broadcast, staged
 
 
-def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line rules keep, with the text that is left after the failing lines went."""
+def with_text(docs: DataFrame, text) -> list:
+    """The columns of ``docs`` with the text replaced and its length renewed."""
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return [new[c].alias(c) if c in new else F.col(c) for c in docs.columns]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the line rules keep, with the text that is left after the failing lines went."""
+    del spark, sf_dir
+    out = fresh(docs, "_quality")
+    kept = quality.judged(docs, out=out).where(F.col(f"{out}.kept"))
+    return kept.select(*with_text(docs, F.col(f"{out}.cleaned")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: the one with the smallest doc_id."""
+    del spark, sf_dir
+    return jaccard_join.one_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are not contaminated by the benchmark."""
+    report = decontamination.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = staged(report.where("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+
+
+def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret found replaced by a mark."""
+    del spark, sf_dir
+    out = fresh(docs, "_scan")
+    return secret_scan.scanned(docs, out=out).select(*with_text(docs, F.col(f"{out}.redacted")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and offset."""
     del spark, sf_dir
-    kept = quality.judged(docs, out="_quality").where("_quality.kept")
-    return kept.withColumn("text", F.col("_quality.cleaned")).withColumn(
-        "n_chars", F.char_length("text").cast("long")
-    ).drop("_quality")
+    return packing.packed(docs)
 
 
-STAGES = [("quality rules", rules)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("secret scan", secrets_redacted),
+    ("packing", packed),
+]
 #: The stages hash, match and pack texts; no SQL expresses them, so tests compare with brute force.
 ORACLE_SQL = None
 
