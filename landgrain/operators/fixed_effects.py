@@ -286,13 +286,13 @@ def grouped_ols(
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
+            for r in pdf.to_dict("records"):
                 m = np.zeros((len(columns), len(columns)))
                 for a, b in cells:
-                    m[a, b] = m[b, a] = getattr(r, f"p{a}_{b}")
+                    m[a, b] = m[b, a] = r[f"p{a}_{b}"]
                 beta = np.linalg.pinv(m[1:, 1:], rcond=1e-10, hermitian=True) @ m[1:, 0]
-                key = [getattr(r, g) for g in group]
-                out += [(*key, t, float(v), int(r.n)) for t, v in zip(xs, beta)]
+                key = [r[g] for g in group]
+                out += [(*key, t, float(v), int(r["n"])) for t, v in zip(xs, beta)]
             yield pd.DataFrame(out, columns=[*group, "term", "beta", "n"])
 
     kinds = dict(sums.dtypes)

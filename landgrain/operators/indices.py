@@ -86,9 +86,9 @@ def chained_index(
 
 
 def with_levels(df: DataFrame, levels: list[str]) -> DataFrame:
-    """Every row once per level of the hierarchy, with (level, area)."""
-    each = [F.struct(F.lit("all").alias("level"), F.lit("all").alias("area"))]
-    each += [F.struct(F.lit(x).alias("level"), F.col(x).cast("string").alias("area")) for x in levels]
+    """Every row once per level of the hierarchy, with (tier, area)."""
+    each = [F.struct(F.lit("all").alias("tier"), F.lit("all").alias("area"))]
+    each += [F.struct(F.lit(x).alias("tier"), F.col(x).cast("string").alias("area")) for x in levels]
     return df.withColumn("_l", F.explode(F.array(*each))).select("*", "_l.*").drop("_l").where("area is not null")
 
 
@@ -96,13 +96,13 @@ def area_indices(
     df: DataFrame, y: str, unit: str, month: str, quarter: str, controls: list[str], levels: list[str], base: str,
     least: int = 3_000, monthly: int = 20_000,
 ) -> DataFrame:
-    """(level, area, period, index) for every area with ``least`` deals: monthly for large ones, quarterly below."""
-    rows = with_size(with_levels(df, levels), ["level", "area"], least)
-    sizes = rows.groupBy("level", "area").agg(F.count("*").alias("_n"))
-    rows = rows.join(sizes, ["level", "area"]).withColumn(
+    """(tier, area, period, index) for every area with ``least`` deals: monthly for large ones, quarterly below."""
+    rows = with_size(with_levels(df, levels), ["tier", "area"], least)
+    sizes = rows.groupBy("tier", "area").agg(F.count("*").alias("_n"))
+    rows = rows.join(sizes, ["tier", "area"]).withColumn(
         "period", F.when(F.col("_n") >= monthly, F.col(month)).otherwise(F.col(quarter))
     )
-    return fe_index(rows, y, unit, "period", controls, F.col("period").startswith(base), ["level", "area"])
+    return fe_index(rows, y, unit, "period", controls, F.col("period").startswith(base), ["tier", "area"])
 
 
 def compared(indices: DataFrame, keys: list[str], period: str, value: str, lags: tuple[int, ...] = (1, 12)) -> DataFrame:

@@ -214,7 +214,7 @@ def urban_land(parcels: DataFrame, areas: DataFrame, street: DataFrame, most: fl
 
 def dissolved(polygons: DataFrame, upper: str, key: str = "poly") -> DataFrame:
     """(upper, x1, y1, x2, y2): the outline of each upper area: sides that only one of its polygons has."""
-    a, b = F.struct("x1", "y1"), F.struct("x2", "y2")
+    a, b = (F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2))
     sides = edges_of(polygons, key).join(polygons.select(key, upper), key)
     seen = sides.groupBy(upper, F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     once = seen.agg(F.count("*").alias("n"), F.first("x1").alias("x1"), F.first("y1").alias("y1"), F.first("x2").alias("x2"), F.first("y2").alias("y2"))

@@ -1,4 +1,6 @@
 """Every registered query by name, with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from landgrain.plans import estimates, ground, levels  # noqa: F401
+from landgrain.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
