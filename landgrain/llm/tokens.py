@@ -10,7 +10,7 @@ import struct
 
 from tokenizers import Tokenizer
 
-GENERATION = 200_000  # words in each of the two generations of the cache
+GENERATION = 120_000  # words in each of the two generations of the cache
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
