@@ -81,21 +81,25 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     edges = staged(
         pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges"
     )
-    state = None
+    # Few edges go through few tasks: a part holds a quarter of a million.
+    parts = 1 + edges.count() // 250_000
+    edges, state = edges.coalesce(parts), None
     for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large.where("u <> v").coalesce(parts).distinct().coalesce(parts)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
             .select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
             .where("u <> v")
+            .coalesce(parts)
             .distinct()
+            .coalesce(parts)
         )
-        edges = staged(small, "edges")
+        edges = staged(small, "edges").coalesce(parts)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break
