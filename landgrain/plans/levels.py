@@ -448,12 +448,12 @@ def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ", n AS (SELECT kind, brand, sum(floors) AS s FROM reg GROUP BY ALL) SELECT kind, "
-    + ", ".join(f"CAST(sum(s) FILTER (WHERE brand = 'Brand#{k}') AS BIGINT) AS b{k}" for k in (1, 2, 3))
+    + ", ".join(f"CAST(coalesce(sum(s) FILTER (WHERE brand = 'Brand#{k}'), 0) AS BIGINT) AS b{k}" for k in (1, 2, 3))
     + " FROM n GROUP BY kind"
 )
 def floors_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = register(spark, sf_dir).groupBy("kind").pivot("brand", ["Brand#1", "Brand#2", "Brand#3"]).agg(F.sum("floors"))
-    return p.toDF("kind", "b1", "b2", "b3")
+    return p.toDF("kind", "b1", "b2", "b3").na.fill(0)
 
 
 @query(

@@ -1,6 +1,7 @@
 """Every query of the library against its SQL in DuckDB; those without SQL must give rows."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from landgrain.plans import catalog
@@ -23,7 +24,7 @@ def test_same_as_sql(spark, duck, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     # NaN and NULL are both missing here.
-    rows = lambda df: sorted(repr([None if x != x else x for x in r]) for r in df[columns].astype(object).values.tolist())
+    rows = lambda df: sorted(repr([None if pd.isna(x) else x for x in r]) for r in df[columns].astype(object).values.tolist())
     assert rows(got) == rows(want)
 
 
