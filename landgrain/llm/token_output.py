@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -57,20 +58,23 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, path: str, stride: int, text: str = "text") -> DataFrame:
-    """(task, place, doc_id, piece, length, ids): the sequences of each text, with their place in their task."""
+    """(task, place, doc_id, piece, length, ids): the sequences of each text, with their place in their task; ids are
+    compressed, as they are stored and shuffled once before they are written."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, task, place = word_ids(path), TaskContext.get().partitionId(), 0
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            rows = []
-            for doc, x in zip(batch["doc_id"], batch[text]):
-                ids = np.frombuffer(encode.of(x) + b"\0\0\0\0", "<u4").astype("<u2").tobytes()
-                for k, at in enumerate(range(0, len(ids), 2 * stride)):
-                    part = ids[at : at + 2 * stride]
-                    rows.append((task, place, doc, k, len(part) // 2, part))
-                    place += 1
-            out = pd.DataFrame(rows, columns=["task", "place", "doc_id", "piece", "length", "ids"])
-            yield out.astype({"doc_id": "Int64"})
+            for lo in range(0, len(batch), 400):
+                some, rows = batch.iloc[lo : lo + 400], []
+                for doc, x in zip(some["doc_id"], some[text]):
+                    ids = np.frombuffer(encode.of(x) + b"\0\0\0\0", "<u4").astype("<u2").tobytes()
+                    for k, at in enumerate(range(0, len(ids), 2 * stride)):
+                        part = ids[at : at + 2 * stride]
+                        rows.append((task, place, doc, k, len(part) // 2, pack(part)))
+                        place += 1
+                out = pd.DataFrame(rows, columns=["task", "place", "doc_id", "piece", "length", "ids"])
+                yield out.astype({"doc_id": "Int64"})
 
     schema = "task int, place long, doc_id long, piece int, length int, ids binary"
     return docs.select("doc_id", text).mapInPandas(cut, schema)
@@ -112,6 +116,7 @@ def written(
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = opened(folder)
+        unpack = zstandard.ZstdDecompressor().decompress
         current, out, tmp = -1, None, ""
 
         def finish():
@@ -122,6 +127,7 @@ def written(
         for batch in batches:
             if batch.empty:
                 continue
+            crc: list[int] = []
             ends = np.flatnonzero(np.diff(batch["shard"].to_numpy())) + 1
             for own in np.split(np.arange(len(batch)), ends):
                 shard = int(batch["shard"].iat[own[0]])
@@ -130,10 +136,11 @@ def written(
                     current, tmp = shard, f"{root}/{shard:08d}-{uuid.uuid4().hex}.part"
                     out = store.open_output_stream(tmp)
                 block = np.full((len(own), stride), PAD, "<u2")
-                for row, ids in zip(block, batch["ids"].iloc[own]):
+                for row, i in zip(block, own):
+                    ids = unpack(batch["ids"].iat[i])
                     row[: len(ids) // 2] = np.frombuffer(ids, "<u2")
+                    crc.append(zlib.crc32(ids))
                 out.write(block.tobytes())
-            crc = [zlib.crc32(x) for x in batch["ids"]]
             yield batch.drop(columns="ids").assign(ids_crc32=crc, record=batch["slot"] % per_shard)
         finish()
 
