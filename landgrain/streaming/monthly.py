@@ -11,7 +11,10 @@ def deduplicated(deals: DataFrame, time: str, keys: list[str], late: str = "30 d
     return deals.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def deals_per_month(deals: DataFrame, time: str, late: str = "30 days") -> DataFrame:
-    """(month, n) by event time; months are cut from daily windows, which close with the watermark."""
-    days = deals.withWatermark(time, late).groupBy(F.window(time, "1 day").alias("w")).agg(F.count("*").alias("n"))
+def deals_per_month(deals: DataFrame, time: str, late: str | None = "30 days") -> DataFrame:
+    """(month, n) by event time; months are cut from daily windows, which close with the watermark.
+
+    ``late`` is None for a stream that has its watermark already, as after ``deduplicated``."""
+    marked = deals if late is None else deals.withWatermark(time, late)
+    days = marked.groupBy(F.window(time, "1 day").alias("w")).agg(F.count("*").alias("n"))
     return days.select(F.date_format("w.start", "yyyy-MM").alias("month"), "n")

@@ -8,7 +8,7 @@ def test_monthly_counts(spark, tmp_path):
     src = spark.createDataFrame(rows, "t string, k int").select(F.col("t").cast("timestamp").alias("t"), "k")
     src.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
-    out = monthly.deals_per_month(monthly.deduplicated(stream, "t", ["k"]), "t")
+    out = monthly.deals_per_month(monthly.deduplicated(stream, "t", ["k"]), "t", None)
     q = out.writeStream.format("memory").queryName("months").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {r.month: r.n for r in spark.sql("SELECT month, sum(n) AS n FROM months GROUP BY month").collect()}
