@@ -34,6 +34,16 @@ class Rule(NamedTuple):
     base: bool = False
 
 
+#: What follows the first line of a private key: all up to its END line or, where another key begins before that or
+#: the text ends, the headers and base64 lines, of which the last may be short. Line ends may be written as \n.
+KEY_BODY = r"""(?x:
+    (?:[^-]++|-(?!----(?:BEGIN\x20|END\x20[A-Z\x20]{0,30}PRIVATE\x20KEY-----)))*+
+    -----END\x20[A-Z\x20]{0,30}PRIVATE\x20KEY-----
+    |
+    (?:(?:[\s>|"',]|\\[rn])+[A-Z][A-Za-z-]*:\x20(?:[^\r\n\\]|\\(?![rn]))*+)*+
+    (?:(?:[\s>|"',]|\\[rn])+[A-Za-z0-9+/]{16,}+={0,2})*+
+    (?:(?:[\s>|"',]|\\[rn])+[A-Za-z0-9+/]+={0,2}(?=["']|[\x20\t,]*(?:[\r\n]|\\[rn]|\Z)))?
+)"""
 #: The base kinds in their fixed order, then public credential formats.
 RULES = (
     Rule(
@@ -45,10 +55,10 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + KEY_BODY),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}=*"),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]{1,80}:[^\s:/@]{1,80}@"),
+    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]*:[^\s:/@]+@"),
 )
 #: An OR of ANDs of trigrams; the empty AND is true.
 Query = frozenset
