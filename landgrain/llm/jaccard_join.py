@@ -9,7 +9,8 @@ which similar sets share at least one.
 
 Equal sets are one class. Signature groups are joined to one representative each (pre-combined in every task), the
 pairs are verified by exact intersection, and linked classes become components. What remains are signatures that
-two or more components share; their members are compared across components only, until none is left.
+two or more components share; their members are compared across components only, until none is left. As every link
+is then inside one component, the links of a class are counted there, over all pairs of each component's classes.
 
 Defined results: a text without words has no shingles and is its own component; with fewer words than a shingle the
 whole sequence is one; rows with equal sets (repeated rows among them) are one class; a row without doc_id has no
@@ -23,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -34,6 +35,7 @@ BAND = 1.7  # largest by smallest size of a band
 FLUSH = 2_000_000  # signatures that a task combines at once
 CHAINS = 2  # rounds of neighbour pairs before the last step
 BLOCK, SALTS = 2048, 8  # queries in a block; parts of what is compared with it
+TILE = 1 << 20  # shingles that one side of a comparison of whole components holds on average
 U = np.uint64
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -211,8 +213,7 @@ def joined(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int
     best = sized.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     links = [staged(linked(best, sets, percent), "links")]
     comp = rest(sets, links, percent)
-    ends = united(links).select(F.explode(F.array("a", "b")).alias("cls"))
-    degree = ends.groupBy("cls").agg(F.count("*").alias("links"))
+    degree = degrees(sets, comp, percent)
     found = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
     found = found.select("k1", "k2", "n", "cls", F.coalesce("comp", "cls").alias("comp"), "links")
     rows = meta.join(found, ["k1", "k2", "n"], "left")
@@ -311,6 +312,103 @@ def rest(sets: DataFrame, links: list[DataFrame], percent: int) -> DataFrame:
     return staged(components(united(links)), "components")
 
 
+def weight() -> Column:
+    """What a set counts for in a tile: its shingles, and enough that no tile has many more than BLOCK sets."""
+    return F.greatest("n", F.lit(max(1, TILE // BLOCK)))
+
+
+def tiles_of(weights: int | Column) -> Column:
+    return F.greatest(F.ceil(F.lit(weights) / TILE), F.lit(1)).cast("int")
+
+
+def dealt(tiles: Column) -> Column:
+    return F.pmod(F.xxhash64("cls", F.lit(7)), tiles).cast("int")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of common elements of each left and each right set (distinct elements)."""
+    flat_a, flat_b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(flat_a, flat_b)
+    out = np.zeros((len(left), len(right)), np.float64)
+    if not len(both):
+        return out
+
+    def placed(flat: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(element, set) of all common elements in order of element, and where each element starts."""
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        hit = both[at] == flat
+        at, owner = at[hit], np.repeat(np.arange(len(sets)), [len(h) for h in sets])[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], owner[order], np.searchsorted(at[order], np.arange(len(both) + 1))
+
+    at_a, own_a, start_a = placed(flat_a, left)
+    at_b, own_b, start_b = placed(flat_b, right)
+    many = np.diff(start_a)[at_b]
+    # Products of elements in turn, or of whole matrices over the common elements, which is far quicker a product.
+    if many.sum() * 64 > len(both) * out.size:
+        for lo in range(0, len(both), 2048):
+            hi = min(lo + 2048, len(both))
+            a, b = np.zeros((len(left), hi - lo), np.float32), np.zeros((len(right), hi - lo), np.float32)
+            a[own_a[start_a[lo] : start_a[hi]], at_a[start_a[lo] : start_a[hi]] - lo] = 1
+            b[own_b[start_b[lo] : start_b[hi]], at_b[start_b[lo] : start_b[hi]] - lo] = 1
+            out += a @ b.T
+        return out
+    ends = np.cumsum(many)
+    lo = 0
+    while lo < len(many):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4_000_000, "right")))
+        m = many[lo:hi]
+        at = np.repeat(start_a[at_b[lo:hi]] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+        pair, n = np.unique(own_a[at] * len(right) + np.repeat(own_b[lo:hi], m), return_counts=True)
+        out.reshape(-1)[pair] += n
+        lo = hi
+    return out
+
+
+def similar(n: np.ndarray, hs, n_m: np.ndarray, hs_m, percent: int) -> np.ndarray:
+    """Which of the left sets are similar to which of the right ones."""
+    common = overlaps(list(hs), list(hs_m))
+    return 100 * common >= percent * (n[:, None] + n_m[None, :] - common)
+
+
+def degrees(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(cls, links): how many other classes each class of a component is similar to.
+
+    All pairs of a component's classes are compared in tiles. Components of one tile are packed together; a larger one
+    is dealt into tiles, and each pair of its tiles is one group. A group is as large as two tiles at most, or as two
+    texts that are larger. Only counts leave a task.
+    """
+    # The smallest class of a component is no node of its own.
+    owned = comp.select(F.col("node").alias("cls"), "comp").union(comp.select("comp", "comp")).distinct()
+    rows = sets.select("cls", "n", "h").join(owned, "cls")
+    sizes = rows.groupBy("comp").agg(F.sum(weight()).alias("w"))
+    sizes = staged(sizes.select("comp", "w", tiles_of(F.col("w")).alias("tiles")), "component-sizes")
+    small = sizes.where("tiles = 1").agg(F.sum("w")).first()[0] or 0
+    packs = max(1, -(-2 * small // TILE))
+    one = F.col("tiles") == 1
+    pack = F.when(one, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.lit(-1)).alias("pack")
+    own = F.when(one, F.lit(0)).otherwise(F.col("comp")).alias("own")
+    rows = rows.join(sizes.select("comp", "tiles"), "comp").select("cls", "n", "h", pack, own, "tiles", dealt(F.col("tiles")).alias("tile"))
+    pair = lambda k: F.struct(F.least("tile", k).alias("i"), F.greatest("tile", k).alias("j"))
+    rows = rows.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), pair)))
+    rows = rows.select("pack", "own", "pair.i", "pair.j", "tile", "cls", "n", "h")
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        a, b = group[group["tile"] == i], group[group["tile"] == j]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"cls": [], "links": []}).astype("int64")
+        good = similar(a["n"].to_numpy(), a["h"], b["n"].to_numpy(), b["h"], percent)
+        if i == j:
+            np.fill_diagonal(good, False)
+            return pd.DataFrame({"cls": a["cls"].to_numpy(), "links": good.sum(1)})
+        both = np.concatenate([good.sum(1), good.sum(0)])
+        return pd.DataFrame({"cls": np.concatenate([a["cls"], b["cls"]]), "links": both})
+
+    counted = rows.groupBy("pack", "own", "i", "j").applyInPandas(count, "cls long, links long")
+    return counted.groupBy("cls").agg(F.sum("links").alias("links"))
+
+
 def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): all links between members of one signature and different components.
 
