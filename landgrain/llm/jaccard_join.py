@@ -34,8 +34,7 @@ WORDS, PERCENT = 5, 80
 BAND = 1.7  # largest by smallest size of a band
 FLUSH = 2_000_000  # signatures that a task combines at once
 CHAINS = 2  # rounds of neighbour pairs before the last step
-BLOCK, SALTS = 2048, 8  # queries in a block; parts of what is compared with it
-TILE = 1 << 20  # shingles that one side of a comparison of whole components holds on average
+BLOCK, TILE = 2048, 1 << 20  # sets, and shingles, that one side of a comparison holds on average
 U = np.uint64
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -413,39 +412,34 @@ def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): all links between members of one signature and different components.
 
     Of such a pair at least one is not in the component that most of the signature's members have. These classes are
-    the query sets; they are dealt into blocks, every class that shares a signature with a block's query is sent there,
-    and a task counts the common elements of its part of them with the block's queries. Only links leave a task.
+    the query sets; they are dealt into blocks of about a tile, and every class that shares a signature with a block's
+    query is sent there. What is sent to a block is dealt into as many parts as its counted size has tiles, and each
+    part is compared with the block in a group of its own. Only links leave a task.
     """
     sizes = members.groupBy("sig", "comp").agg(F.count("*").alias("m"))
     home = sizes.groupBy("sig").agg(F.max_by("comp", F.struct("m", "comp")).alias("home"))
-    queries = staged(members.join(home, "sig").where("comp <> home").select("cls", "sig").distinct(), "queries")
-    count = queries.select("cls").distinct().count()
-    blocks, salts = max(1, -(-count // BLOCK)), SALTS
+    queries = staged(members.join(home, "sig").where("comp <> home").select("cls", "sig", "n").distinct(), "queries")
+    asked_for = queries.select("cls", "n").distinct().agg(F.sum(weight())).first()[0] or 0
+    blocks = max(1, -(-asked_for // TILE))
     block = F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int").alias("block")
     asked = queries.select("cls", block).distinct()
-    sent = members.join(queries.select("sig", block).distinct(), "sig").select("cls", "block").distinct()
+    sent = members.join(queries.select("sig", block).distinct(), "sig").select("cls", "n", "block").distinct()
+    sent = staged(sent, "sent")
+    parts = sent.groupBy("block").agg(tiles_of(F.sum(weight())).alias("salts"))
+    parts = staged(parts, "parts")  # one row per block
     comps = members.groupBy("cls").agg(F.max("comp").alias("comp"))
     rows = sets.select("cls", "n", "h").join(comps, "cls")
-    left = rows.join(asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "cls")
-    right = rows.join(sent.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(salts)).cast("int")), "cls")
+    left = rows.join(asked.join(parts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "cls")
+    right = rows.join(sent.join(parts, "block").select("cls", "block", dealt(F.col("salts")).alias("salt")), "cls")
 
     def compare(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(m):
-            owner = np.repeat(np.arange(len(q)), [len(h) for h in q["h"]])
-            flat = np.concatenate(q["h"].to_list())
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            cls, n, comp = (q[c].to_numpy() for c in ("cls", "n", "comp"))
-            for own, size, group, h in zip(m["cls_m"], m["n_m"], m["comp_m"], m["h_m"]):
-                lo, hi = np.searchsorted(flat, h), np.searchsorted(flat, h, "right")
-                many = hi - lo
-                at = np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-                common = np.bincount(owner[at], minlength=len(q))
-                good = (100 * common >= percent * (n + size - common)) & (comp != group)
-                out += [(own, x) for x in cls[good]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        if not len(q) or not len(m):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        good = similar(q["n"].to_numpy(), q["h"], m["n_m"].to_numpy(), m["h_m"], percent)
+        x, y = np.nonzero(good & (q["comp"].to_numpy()[:, None] != m["comp_m"].to_numpy()[None, :]))
+        return pd.DataFrame({"a": m["cls_m"].to_numpy()[y], "b": q["cls"].to_numpy()[x]})
 
+    left = left.select("cls", "n", "h", "comp", "block", "salt")
     right = right.select("cls", "n", "h", "comp", "block", "salt").toDF("cls_m", "n_m", "h_m", "comp_m", "block_m", "salt_m")
     groups = left.groupBy("block", "salt").cogroup(right.groupBy("block_m", "salt_m"))
     return groups.applyInPandas(compare, "a long, b long")
