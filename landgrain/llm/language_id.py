@@ -224,18 +224,25 @@ def trained(train: DataFrame, text: str = "text") -> Model | None:
             yield pd.DataFrame({"n": n, "bits": bits[np.arange(len(n)), at]})
 
     # A text's mean over n letters strays by 1 / sqrt(n): deviations are kept for one letter.
-    held = train.where(F.pmod(F.xxhash64(text), F.lit(16)) == 0).select("lang", own(text, "lang").alias("own"))
-    held = held.select("lang", "own.n", "own.bits").where("n > 0")
-    mean = held.groupBy("lang").agg((F.sum(F.col("bits") * F.col("n")) / F.sum("n")).alias("mean"))
-    spread = (
-        held.join(F.broadcast(mean), "lang")
-        .groupBy("lang", "mean")
-        .agg(F.sqrt(F.avg(F.pow(F.col("bits") - F.col("mean"), 2) * F.col("n"))).alias("spread"))
+    held = train.select("lang", own(text, "lang").alias("own")).select("lang", "own.n", "own.bits").where("n > 0")
+    n, bits = F.col("n"), F.col("bits")
+    moments = held.groupBy("lang").agg(
+        F.count("*").alias("texts"),
+        F.sum(n).alias("n"),
+        F.sum(n * bits).alias("first"),
+        F.sum(n * bits * bits).alias("second"),
+        (F.min("bits") < F.max("bits")).alias("varied"),
     )
-    for r in spread.collect():
+    for r in moments.collect():
         if r["lang"] in model.langs:
             i = model.langs.index(r["lang"])
-            model.mean[i], model.spread[i] = r["mean"], r["spread"]
+            model.mean[i] = r["first"] / r["n"]
+            if r["varied"]:
+                model.spread[i] = np.sqrt(max(r["second"] - r["first"] ** 2 / r["n"], 0.0) / r["texts"])
+    # One distinct text has no spread of its own: the widest of the other languages stands in, if there is one.
+    known = np.isfinite(model.spread)
+    if known.any():
+        model.spread[~known] = model.spread[known].max()
     return model
 
 
