@@ -1,16 +1,24 @@
 """Token ids of whole texts by a vocabulary file of the ``tokenizers`` library, word by word with a bounded cache.
 
 The vocabulary's own rules never join characters across a blank or a line end, so a text is cut there and every
-distinct word is encoded once. ``tests/llm`` compares the ids with the library's own for whole texts.
+distinct word is encoded once. Words of letters alone are encoded together, by ``tiktoken`` with the file's own merges
+as ranks; all others by the library. ``tests/llm`` compares the ids with the library's own for whole texts.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 
+import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
 GENERATION = 120_000  # words in each of the two generations of the cache
+WORD_END = "</w>"
+#: Letters whose small form is one composed letter, then signs that cannot begin a contraction.
+LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿŒœ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
@@ -26,40 +34,70 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + next(rest)) for b in range(256)]
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit numbers."""
+def word_ranks(path: str) -> dict[bytes, int]:
+    """The vocabulary as bytes -> id, with a blank, which is in no word, for the end of a word."""
+    byte_of = {c: b for b, c in enumerate(byte_letters())}
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    out = {}
+    for token, i in vocabulary.items():
+        stem = token.removesuffix(WORD_END)
+        out[bytes(byte_of[c] for c in stem) + b" " * (stem != token)] = i
+    return out
+
+
+class WordIds:
+    """Ids of texts as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        super().__init__()
+        self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found = self.encoded(word)
-        self[word] = found
-        return found
+        ranks = word_ranks(path)
+        self.words = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.is_end = np.zeros(max(ranks.values()) + 1, bool)
+        self.is_end[[i for token, i in ranks.items() if token.endswith(b" ")]] = True
+        self.signs: dict[str, bytes] = {}
 
     def encoded(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2].lower().isalpha():
-            return self.encoded(word[:-1]) + self[word[-1]]
-        low = word.lower()
-        if word.isalpha() and low.isalpha() and len(low) == len(word) and max(low) < "ɐ":
-            if not low.isascii():
-                low = "".join(self.letters[b] for b in low.encode())
-            ids = [t.id for t in self.model.tokenize(low)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def learn(self, words: list[str]) -> None:
+        """Adds the ids of ``words``; signs behind the letters are a word of their own."""
+        plain, lows, signs = [], [], self.signs
+        for word in words:
+            found = LETTERS_SIGNS(word)
+            if found is None:
+                self.known[word] = self.encoded(word)
+                continue
+            stem, sign = found.groups()
+            if sign not in signs:
+                signs[sign] = self.encoded(sign)
+            plain.append((word, signs[sign]))
+            lows.append(stem)
+        if plain:
+            ids = np.array(self.words.encode_ordinary(" ".join(lows).lower() + " "), "<u4")
+            raw, start = ids.tobytes(), 0
+            for (word, sign), end in zip(plain, (4 * np.flatnonzero(self.is_end[ids]) + 4).tolist()):
+                self.known[word] = raw[start:end] + sign
+                start = end
+        if len(signs) > GENERATION:
+            self.signs = {}
+
     def of(self, text: str | None) -> bytes:
-        if len(self) > GENERATION:
-            self.old = dict(self)
-            self.clear()
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        if len(self.known) > GENERATION:
+            self.old, self.known = self.known, {}
+        words = (text or "").replace("\n", " ").split(" ")
+        known, old = self.known, self.old
+        new = set(words).difference(known)
+        for word in [w for w in new if w in old]:
+            known[word] = old[word]
+            new.remove(word)
+        if new:
+            self.learn(list(new))
+        return b"".join(map(known.__getitem__, words))
 
 
 _LOADED: dict[str, WordIds] = {}
