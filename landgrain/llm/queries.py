@@ -47,7 +47,7 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, layout = token_output.written(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.join(token_output.stored(spark, layout), "slot")
+    return token_output.stored(rows, layout)
 
 
 def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

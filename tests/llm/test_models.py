@@ -132,17 +132,45 @@ def test_slots_are_a_permutation(n):
     assert n < 100 or not np.array_equal(got, token_output.permuted(np.arange(n), n, 100))
 
 
+def scalar_slot(index, n, key):
+    """One index at a time, in whole numbers of Python."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask, full = (1 << half) - 1, (1 << 64) - 1
+    while True:
+        left, right = index >> half, index & mask
+        for r in range(token_output.ROUNDS):
+            x = (right + key + 0x9E3779B97F4A7C15 * (r + 1)) & full
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+            left, right = right, left ^ ((x ^ (x >> 31)) & mask)
+        index = left << half | right
+        if index < n:
+            return index
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 5000])
+def test_slots_like_a_scalar_network(n):
+    assert token_output.permuted(np.arange(n), n, 77).tolist() == [scalar_slot(i, n, 77) for i in range(n)]
+
+
 def test_token_shards_round_trip(spark, docs, texts):
-    table, layout = token_output.written(docs, stride=32, shards=5)
-    rows = {r.slot: r for r in table.collect()}
-    assert sorted(rows) == list(range(layout["sequences"]))
+    odd = spark.createDataFrame([(None, "no id"), (None, "no id"), (3, texts[3])], "doc_id long, text string")
+    table, layout = token_output.written(docs.drop("slot").union(odd), stride=32, shards=5)
+    rows = token_output.stored(table, layout, 50).collect()
+    assert all(r.ids_crc32 == r.stored_crc32 for r in rows)
+    assert sorted({r.slot for r in rows}) == list(range(layout["sequences"]))
     ids = token_output.read(layout, 0, layout["sequences"])
     w = tokens.WordIds(tokens.public_path())
-    for slot, r in rows.items():
-        want = np.frombuffer(w.of(texts[r.doc_id]) + b"\0\0\0\0", "<u4")[32 * r.piece : 32 * r.piece + 32]
-        assert ids[slot][: r.length].tolist() == want.tolist() and set(ids[slot][r.length :]) <= {token_output.PAD}
+    filled = Counter()
+    for r in rows:
+        text = "no id" if r.doc_id is None else texts[r.doc_id]
+        want = np.frombuffer(w.of(text) + b"\0\0\0\0", "<u4")[r.start : r.start + r.length]
+        assert ids[r.slot][r.offset : r.offset + r.length].tolist() == want.tolist()
+        filled[r.slot] += r.length
+    assert all((ids[s] == token_output.PAD).sum() == 32 - k for s, k in filled.items())
+    assert sum(filled.values()) == sum(len(w.of(t)) // 4 + 1 for t in [*texts, "no id", "no id", texts[3]])
+    short = sum(k < 32 for k in filled.values())
+    assert short <= table.rdd.getNumPartitions() * 4 + 40 and layout["sequences"] < sum(filled.values()) / 32 + short + 1
     assert np.array_equal(token_output.read(layout, 7, 40), ids[7:47])
-    stored = token_output.stored(spark, layout, 50).collect()
-    assert {r.slot: r.stored_crc32 for r in stored} == {s: r.ids_crc32 for s, r in rows.items()}
     empty, none = token_output.written(docs.limit(0))
     assert empty.count() == 0 and none["sequences"] == 0
