@@ -93,6 +93,11 @@ def building_age(sale_year: str | Column, built: str | Column, low: int = 1900,
     return F.when(col(built).between(low, high), F.greatest(col(sale_year) - col(built), F.lit(0)))
 
 
+def or_missing(c: str | Column, level: str = "na") -> Column:
+    """An explicit level for what is missing."""
+    return F.coalesce(col(c), F.lit(level))
+
+
 def room_class(rooms: str | Column) -> Column:
     """'2' below 3 rooms, '3' below 4, '4' below 5, else '5'."""
     r = col(rooms)

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landgrain.operators.components import checkpointed
+
 MOST = 5_000  # levels of all small dimensions together
 
 
@@ -69,12 +71,34 @@ def gram(
     return parts[0].unionByName(parts[1]).groupBy(*group, "i", "j").agg(F.sum("v").alias("v"))
 
 
+def plain_moments(df: DataFrame, columns: list[str], big: str, weight: str | None, group: list[str]) -> DataFrame:
+    """The moments of ``solved`` where one dimension alone is absorbed: sums per level, then per model, nothing to solve."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    value = lambda c: F.col(c).cast("double")
+    rows = df.dropna(subset=[*columns, big, *([weight] if weight else [])])
+    cells = [(a, b) for a in range(len(columns)) for b in range(a, len(columns))]
+    per = rows.groupBy(*group, big).agg(
+        F.sum(w).alias("_w"),
+        *(F.sum(w * value(c)).alias(f"_s{k}") for k, c in enumerate(columns)),
+        *(F.sum(w * value(columns[a]) * value(columns[b])).alias(f"_p{a}_{b}") for a, b in cells),
+    )
+    within = lambda a, b: F.sum(F.col(f"_p{a}_{b}") - F.col(f"_s{a}") * F.col(f"_s{b}") / F.col("_w"))
+    sums = per.where("_w > 0").groupBy(*group).agg(*(within(a, b).alias(f"m{a}_{b}") for a, b in cells))
+    cell = lambda a, b: F.struct(
+        F.lit("moment").alias("kind"), F.lit(columns[a]).alias("a"), F.lit(columns[b]).alias("b"), F.col(f"m{min(a, b)}_{max(a, b)}").alias("value")
+    )
+    every = F.array(*(cell(a, b) for a in range(len(columns)) for b in range(len(columns))))
+    return sums.select(*group, F.explode(every).alias("m")).select(*group, "m.*").where("value is not null")
+
+
 def solved(
     df: DataFrame, columns: list[str], absorb: list[str], weight: str | None = None, group: list[str] = ()
 ) -> DataFrame:
     """(group..., kind, a, b, value) per model: kind ``proj``: the effect of level a (``dimension:level``) on column b;
     kind ``moment``: the cross product of columns a and b with everything absorbed."""
     group = list(group)
+    if len(absorb) == 1:
+        return plain_moments(df, columns, absorb[0], weight, group)
     names = [f"c:{c}" for c in columns]
     rows = gram(df, columns, absorb, weight, group).where("i <> 'n' and j <> 'n'")
     keys = group or ["_one"]
@@ -157,7 +181,8 @@ def big_effects(df: DataFrame, y: str, absorb: list[str], weight: str | None = N
 
 @dataclass
 class Fit:
-    """A regression: estimates, standard errors, sizes, R2 and the first-stage F of each endogenous regressor."""
+    """A regression: estimates, standard errors, sizes, R2; of each endogenous regressor the first stage's Wald F and the
+    instruments' partial R2."""
 
     terms: list[str]
     beta: np.ndarray
@@ -166,6 +191,7 @@ class Fit:
     clusters: int
     r2_within: float
     first_stage_f: dict[str, float]
+    partial_r2: dict[str, float]
 
     def table(self, df: DataFrame) -> DataFrame:
         rows = [
@@ -237,8 +263,12 @@ def fe_2sls(
     scale *= (n - 1) / max(n - len(terms), 1) if small_sample else 1.0
     covariance = bread @ middle @ bread * scale
     rss = s[0, 0] - 2 * beta @ s[x, 0] + beta @ s[np.ix_(x, x)] @ beta
-    f = {}
+    f, partial = {}, {}
+    zx = [at[c] for c in exogenous]
     for k, e in enumerate(endogenous):
+        without = s[at[e], zx] @ np.linalg.pinv(s[np.ix_(zx, zx)], hermitian=True) @ s[zx, at[e]] if zx else 0.0
+        room = s[at[e], at[e]] - without
+        partial[e] = float((s[at[e], z] @ szz @ s[z, at[e]] - without) / room) if room > 0 else 0.0
         pi = first[: len(instruments), k]
         left = F.col(f"r_{e}") - combo(zs, first[:, k])
         inner, g, _ = meat(rows, [w * F.col(f"r_{c}") * left for c in zs], cluster)
@@ -246,7 +276,7 @@ def fe_2sls(
         q = len(instruments)
         f[e] = float(pi @ np.linalg.pinv(v[:q, :q]) @ pi / max(q, 1))
     fit.unpersist()
-    return Fit(terms, beta, np.sqrt(np.maximum(np.diag(covariance), 0)), n, clusters, 1 - rss / s[0, 0] if s[0, 0] else 0.0, f)
+    return Fit(terms, beta, np.sqrt(np.maximum(np.diag(covariance), 0)), n, clusters, 1 - rss / s[0, 0] if s[0, 0] else 0.0, f, partial)
 
 
 def fe_ols(
@@ -314,7 +344,7 @@ def alternating(df: DataFrame, y: str, dims: list[str], rounds: int = 300, tol:
             rows = rows.join(means, d).withColumn(f"fe_{d}", F.col(f"fe_{d}") + F.col("_m"))
             rows = rows.withColumn("_r", F.col("_r") - F.col("_m")).withColumnRenamed("_m", f"_m_{d}")
             moved.append(F.max(F.abs(f"_m_{d}")))
-        rows = rows.checkpoint()
+        rows = checkpointed(rows)
         change = max(x or 0.0 for x in rows.agg(*moved).first())
         rows = rows.drop(*(f"_m_{d}" for d in dims))
         if change < tol:

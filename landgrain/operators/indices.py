@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrain.functions.exprs import divided
-from landgrain.operators.fixed_effects import fe_ols, grouped_ols, level_effects
+from landgrain.operators.fixed_effects import fe_ols, grouped_ols, level_effects, moments, solved
 from landgrain.operators.relational import next_row, rebased, with_size
 
 
@@ -113,6 +113,36 @@ def compared(indices: DataFrame, keys: list[str], period: str, value: str, lags:
     return indices
 
 
+def comparison(indices: DataFrame, kind: str, period: str, value: str, first: str, second: str) -> DataFrame:
+    """One row on two indices (rows of ``kind``): correlation of their changes over 1 and 12 periods, the spread of changes
+    and of the gap, and each one's change from the first to the last period; all in logs."""
+    both = compared(indices.withColumn("_ln", F.ln(value)), [kind], period, value)
+    kinds, of = [first, second], ["_ln", "d1", "d12"]
+    wide = both.groupBy(period).pivot(kind, kinds).agg(*(F.first(c).alias(c) for c in of))
+    at = lambda k, c: F.col(f"{k}_{c}")
+    change = lambda k: F.max_by(at(k, "_ln"), period) - F.min_by(at(k, "_ln"), period)
+    return wide.agg(
+        F.corr(at(first, "d1"), at(second, "d1")).alias("corr1"), F.corr(at(first, "d12"), at(second, "d12")).alias("corr12"),
+        *(F.stddev(at(k, "d1")).alias(f"sd_{k}") for k in kinds), F.stddev(at(first, "_ln") - at(second, "_ln")).alias("sd_gap"),
+        *(change(k).alias(f"change_{k}") for k in kinds),
+    )
+
+
+def drift(df: DataFrame, y: str, unit: str, period: str, group: list[str]) -> DataFrame:
+    """(group..., period, drift): the period effects on y of the same unit, less the first period's."""
+    e = level_effects(df, y, [unit, period], group=group).select(*group, F.col("level").alias(period), "effect")
+    first = e.groupBy(*group).agg(F.min_by("effect", period).alias("_first"))
+    return e.join(first, group).select(*group, period, (F.col("effect") - F.col("_first")).alias("drift"))
+
+
+def partialled_premium(df: DataFrame, y: str, binary: str, absorb: list[str]) -> DataFrame:
+    """(slope, premium): what ``binary`` adds to y when the absorbed effects are taken off both sides."""
+    m = moments(solved(df, [y, binary], absorb), [y, binary])
+    slope = float(m[0, 1] / m[1, 1]) if m[1, 1] > 0 else None
+    row = df.sparkSession.createDataFrame([(slope,)], "slope double")
+    return row.withColumn("premium", F.exp("slope") - 1)
+
+
 def returns(df: DataFrame, unit: str, date: str, order: list, real: str, area: str, tolerance: float = 0.05, least_years: float = 0.5) -> DataFrame:
     """Consecutive sales of a unit: years held, ln real change, annualised; area within ``tolerance``."""
     pairs = next_row(df, [unit], order, [date, real, area]).where(F.col(f"next_{date}").isNotNull())

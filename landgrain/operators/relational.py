@@ -31,6 +31,12 @@ def majority(df: DataFrame, key: str, value: str, weight: str) -> DataFrame:
     return sums.groupBy(key).agg(F.max_by(value, F.struct("w", value)).alias(value), F.max("w").alias("w"))
 
 
+def largest(df: DataFrame, keys: list[str], k: int, least: int = 1) -> DataFrame:
+    """(keys..., n): the k groups with the most rows, of those with at least ``least``; ties go to the lower key."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counts.orderBy(F.desc("n"), *keys).limit(k)
+
+
 # --- joins -------------------------------------------------------------------------------------------------------
 def match_one(left: DataFrame, right: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Left join with at most one match per key."""

@@ -19,7 +19,7 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH {CTES} {sql}"
+            ORACLES[f.__name__] = f"WITH RECURSIVE {CTES} {sql}"
         return f
 
     return register

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from landgrain.operators import fixed_effects as E
 from landgrain.operators import indices as I
 from landgrain.operators import relational as R
 from landgrain.operators import supply as U
+from landgrain.plans import normal_equations as Q
 from landgrain.plans.base import places, prices, query, r6, register, sample
 
 
@@ -22,6 +25,30 @@ def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: ``logged`` in SQL.
+LG = """
+, lg AS (SELECT a.*, city, district, floors, street, kind, brand, built, ln(price) AS lprice, ln(ppm) AS lp, ln(area) AS larea,
+  CAST(least(round(area / 5) * 5, 45) AS INTEGER) AS size, CAST(rooms AS DOUBLE) AS nrooms
+  FROM a JOIN places USING (block) JOIN reg USING (bld)), """
+BASE_M, BASE_Q = "ym[:4] = '1998'", "yq[:4] = '1998'"
+REPEATS = "rp AS (SELECT * FROM lg QUALIFY count(*) OVER (PARTITION BY apt) >= 2), "
+
+
+def rounded(df: DataFrame, keys: list[str], **digits: int) -> DataFrame:
+    return df.select(*keys, *(r6(c, k).alias(c) for c, k in digits.items()))
+
+
+def estimates(fits: dict[str, E.Fit], df: DataFrame) -> DataFrame:
+    """(model, term, beta, se), rounded."""
+    parts = [fit.table(df).withColumn("model", F.lit(name)) for name, fit in fits.items()]
+    return rounded(reduce(DataFrame.unionByName, parts), ["model", "term"], beta=6, se=6)
+
+
+def fits_sql(models: dict[str, str]) -> str:
+    """The same from the CTEs ``<name>_fit`` of each model."""
+    return " UNION ALL ".join(f"SELECT '{m}' AS model, term, round(beta, 6) AS beta, round(se, 6) AS se FROM {n}_fit" for m, n in models.items())
+
+
 WITHIN = """
 , r AS (SELECT block, bld, ln(price) AS y, ln(area) AS x FROM a),
 m AS (SELECT block, avg(y) AS my, avg(x) AS mx FROM r GROUP BY block),
@@ -73,135 +100,318 @@ def hedonic_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("y", r6("change").alias("change"), r6("index", 4).alias("index"))
 
 
-@query()
+@query(
+    LG + Q.effects("f", "lg", "block", ["ym"], ["lprice", "larea", "nrooms"]) + "," + Q.solve("b", "f_mo", ["larea", "nrooms"], ["lprice"]) + ","
+    + Q.index("i", f"p_lprice - {Q.coefficient('b_x', 'larea', 'lprice')} * p_larea - {Q.coefficient('b_x', 'nrooms', 'lprice')} * p_nrooms", "f_wide", "ym", BASE_M)
+    + " SELECT ym, round(index, 4) AS index FROM i"
+)
 def hedonic_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.pooled_index(logged(spark, sf_dir), "lprice", ["larea", "nrooms"], "block", "ym", F.col("ym").startswith("1998"))
+    out = I.pooled_index(logged(spark, sf_dir), "lprice", ["larea", "nrooms"], "block", "ym", F.col("ym").startswith("1998"))
+    return rounded(out, ["ym"], index=4)
+
 
+FE = LG + Q.effects("f", "lg", "bld", ["ym", "size"], ["lp"]) + "," + Q.index("i", "p_lp", "f_wide", "ym", BASE_M)
 
-@query()
+
+@query(FE + " SELECT ym, round(index, 4) AS index FROM i")
 def building_fe_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.fe_index(logged(spark, sf_dir), "lp", "bld", "ym", ["size"], F.col("ym").startswith("1998"))
+    out = I.fe_index(logged(spark, sf_dir), "lp", "bld", "ym", ["size"], F.col("ym").startswith("1998"))
+    return rounded(out, ["ym"], index=4)
 
 
-@query()
+@query(LG + REPEATS + Q.effects("f", "rp", "apt", ["yq", "size"], ["lp"]) + "," + Q.index("i", "p_lp", "f_wide", "yq", BASE_Q) + " SELECT yq, round(index, 4) AS index FROM i")
 def repeat_sales_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.repeat_sales_index(logged(spark, sf_dir), "lp", "apt", "yq", ["size"], F.col("yq").startswith("1998"))
+    out = I.repeat_sales_index(logged(spark, sf_dir), "lp", "apt", "yq", ["size"], F.col("yq").startswith("1998"))
+    return rounded(out, ["yq"], index=4)
 
 
-@query()
+@query(
+    LG + "lv AS (SELECT *, unnest([{t: 'all', v: 'all'}, {t: 'district', v: district}, {t: 'city', v: city}]) AS z FROM lg), "
+    "lw AS (SELECT * EXCLUDE (z), z.t AS tier, z.v AS zone, count(*) OVER (PARTITION BY z.t, z.v) AS deals FROM lv), "
+    "ar AS (SELECT *, CASE WHEN deals >= 10000 THEN ym ELSE yq END AS period FROM lw WHERE deals >= 1000), "
+    + Q.effects("f", "ar", "bld", ["period", "size"], ["lp"], ["tier", "zone"]) + ","
+    + Q.index("i", "p_lp", "f_wide", "period", "period[:4] = '1998'", ["tier", "zone"]) + " SELECT tier, zone AS area, period, round(index, 4) AS index FROM i"
+)
 def area_indices_all_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = logged(spark, sf_dir).withColumnRenamed("area", "m2")
-    return I.area_indices(d, "lp", "bld", "ym", "yq", ["size"], ["district", "city"], "1998", 1000, 10_000)
+    out = I.area_indices(d, "lp", "bld", "ym", "yq", ["size"], ["district", "city"], "1998", 1000, 10_000)
+    return rounded(out, ["tier", "area", "period"], index=4)
 
 
-@query()
+@query(
+    LG + REPEATS + "big AS (SELECT city FROM rp GROUP BY city HAVING count(*) >= 300 ORDER BY count(*) DESC, city LIMIT 20), "
+    "rc AS (SELECT * FROM rp WHERE city IN (SELECT city FROM big)), " + Q.effects("f", "rc", "apt", ["y", "size"], ["lp"], ["city"]) + ","
+    + Q.index("i", "p_lp", "f_wide", "y", "y = '1998'", ["city"]) + " SELECT city, y, round(index, 4) AS index FROM i"
+)
 def city_yearly_repeat_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.repeat_sales_index(logged(spark, sf_dir), "lp", "bld", "y", ["size"], F.col("y") == 1998, ["city"])
+    """Yearly repeat-sales indices of apartments in the 20 cities with the most repeated sales, at least 300."""
+    d = R.with_size(logged(spark, sf_dir), ["city", "apt"], 2)
+    d = d.join(R.largest(d, ["city"], 20, 300).select("city"), "city", "left_semi")
+    return rounded(I.repeat_sales_index(d, "lp", "apt", "y", ["size"], F.col("y") == "1998", ["city"]), ["city", "y"], index=4)
 
 
-@query()
+@query(
+    FE + ", m AS (SELECT ym, median(ppm) AS p FROM lg GROUP BY ym), "
+    f"w AS (SELECT ym, ln(p / avg(p) FILTER (WHERE {BASE_M}) OVER ()) AS r, ln(index / 100) AS b FROM m JOIN i USING (ym)), "
+    "d AS (SELECT *, r - lag(r) OVER t AS r1, b - lag(b) OVER t AS b1, r - lag(r, 12) OVER t AS r12, b - lag(b, 12) OVER t AS b12 FROM w WINDOW t AS (ORDER BY ym)) "
+    "SELECT round(corr(r1, b1), 6) AS corr1, round(corr(r12, b12), 6) AS corr12, round(stddev(r1), 6) AS sd_raw, round(stddev(b1), 6) AS sd_building, "
+    "round(stddev(r - b), 6) AS sd_gap, round(arg_max(r, ym) - arg_min(r, ym), 6) AS change_raw, round(arg_max(b, ym) - arg_min(b, ym), 6) AS change_building FROM d"
+)
 def indices_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw median against building effects: changes, their spread and correlation, the gap, and the change over all."""
     d = logged(spark, sf_dir)
     base = F.col("ym").startswith("1998")
     raw = I.raw_index(d, "ppm", "ym", base).withColumn("kind", F.lit("raw"))
     fe = I.fe_index(d, "lp", "bld", "ym", ["size"], base).withColumn("kind", F.lit("building"))
-    both = I.compared(raw.unionByName(fe), ["kind"], "ym", "index")
-    wide = both.groupBy("ym").pivot("kind", ["raw", "building"]).agg(F.first("d1").alias("d1"), F.first("d12").alias("d12"))
-    return wide.agg(
-        F.corr("raw_d1", "building_d1").alias("corr1"), F.corr("raw_d12", "building_d12").alias("corr12"),
-        F.stddev("raw_d1").alias("sd_raw"), F.stddev("building_d1").alias("sd_building"),
-    )
+    out = I.comparison(raw.unionByName(fe), "kind", "ym", "index", "raw", "building")
+    return rounded(out, [], corr1=6, corr12=6, sd_raw=6, sd_building=6, sd_gap=6, change_raw=6, change_building=6)
 
 
-@query()
+@query(
+    LG + "cal AS (SELECT DISTINCT ym AS month FROM lg), fp AS (SELECT month, last_value(value IGNORE NULLS) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS v FROM cal LEFT JOIN prices USING (month)), "
+    "cb AS (SELECT avg(v) AS b FROM fp WHERE month[:4] = '1998'), re AS (SELECT lg.*, ln(ppm / (v / b)) AS rp FROM lg JOIN fp ON month = ym, cb), "
+    + Q.effects("f", "re", "bld", ["ym", "size"], ["rp"]) + "," + Q.index("i", "p_rp", "f_wide", "ym", BASE_M) + " SELECT ym, round(index, 4) AS index FROM i"
+)
 def deflated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = logged(spark, sf_dir)
     p = I.filled_prices(prices(spark, sf_dir), R.calendar(d, F.min("dt"), F.max("dt")))
     real = I.deflated(d, "ppm", "ym", p, "1998", "real")
-    return I.fe_index(real, "real", "bld", "ym", ["size"], F.col("ym").startswith("1998"))
+    return rounded(I.fe_index(real, "real", "bld", "ym", ["size"], F.col("ym").startswith("1998")), ["ym"], index=4)
+
 
+def premium_sql(kind: str, base: str, source: str = "lg", keys: str = "", least: int = 1) -> str:
+    """Premiums of ``kind`` from effects "f", in which it is the first small dimension."""
+    k = f"{keys}, " if keys else ""
+    using = f"USING ({k}l)" if keys else "USING (l)"
+    ref = f"JOIN ref USING ({keys})" if keys else ", ref"
+    return (
+        f", ref AS (SELECT {k}p_lp AS b FROM f_wide WHERE l = '0:{base}'), "
+        f"cnt AS (SELECT {k}'0:' || {kind} AS l, count(*) AS n FROM {source} GROUP BY ALL HAVING count(*) >= {least}), "
+        f"pr AS (SELECT {k}l[3:] AS {kind}, n, exp(p_lp - b) - 1 AS premium FROM f_wide JOIN cnt {using} {ref}) "
+    )
 
-@query()
+
+@query(LG + Q.effects("f", "lg", "bld", ["rooms", "ym", "size"], ["lp"]) + premium_sql("rooms", "3") + "SELECT rooms, n, round(premium, 6) AS premium FROM pr")
 def rooms_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.premiums(logged(spark, sf_dir), "lp", "rooms", "3", "bld", ["ym", "size"])
+    return rounded(I.premiums(logged(spark, sf_dir), "lp", "rooms", "3", "bld", ["ym", "size"]), ["rooms", "n"], premium=6)
 
 
-@query()
+@query(
+    LG + Q.effects("f", "lg", "bld", ["rooms", "y", "size"], ["lp"], ["district"]) + premium_sql("rooms", "3", keys="district", least=30)
+    + "SELECT district, rooms, n, round(premium, 6) AS premium FROM pr"
+)
 def rooms_gradient_by_district(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.premiums(logged(spark, sf_dir), "lp", "rooms", "3", "bld", ["y", "size"], ["district"], 30)
+    out = I.premiums(logged(spark, sf_dir), "lp", "rooms", "3", "bld", ["y", "size"], ["district"], 30)
+    return rounded(out, ["district", "rooms", "n"], premium=6)
 
 
-@query()
+@query(
+    LG + "fl AS (SELECT *, least(rooms - 1, floors) AS fl FROM lg), ps AS (SELECT *, CASE WHEN fl = 0 THEN 'ground' WHEN fl = floors THEN 'top' "
+    "WHEN 3 * fl <= floors THEN 'lower' WHEN 3 * fl <= 2 * floors THEN 'middle' ELSE 'upper' END AS pos FROM fl), "
+    + Q.effects("f", "ps", "block", ["pos", "y", "size"], ["lp"]) + premium_sql("pos", "lower", "ps") + "SELECT pos, n, round(premium, 6) AS premium FROM pr"
+)
 def position_premium(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = logged(spark, sf_dir).withColumn("pos", X.position_class(F.least(F.col("rooms") - 1, "floors"), "floors"))
-    return I.premiums(d, "lp", "pos", "lower", "block", ["y", "size"])
+    return rounded(I.premiums(d, "lp", "pos", "lower", "block", ["y", "size"]), ["pos", "n"], premium=6)
 
 
-@query()
+@query(
+    LG + Q.effects("f", "lg", "bld", ["rooms", "y"], ["lp"], ["district"]) + premium_sql("rooms", "1", keys="district")
+    + ", z AS (SELECT district, CAST(rooms AS DOUBLE) AS x, ln(premium + 1) AS e, n FROM pr) "
+    "SELECT district, round((sum(n) * sum(n * x * e) - sum(n * x) * sum(n * e)) / (sum(n) * sum(n * x * x) - sum(n * x) ** 2), 6) AS slope FROM z GROUP BY district"
+)
 def floor_slope_by_district(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = I.premiums(logged(spark, sf_dir), "lp", "rooms", "1", "bld", ["y"], ["district"])
     p = p.withColumn("x", F.col("rooms").cast("double")).withColumn("e", F.ln(F.col("premium") + 1))
-    return p.groupBy("district").agg(R.slope("x", "e", "n").alias("slope"))
+    return rounded(p.groupBy("district").agg(R.slope("x", "e", "n").alias("slope")), ["district"], slope=6)
 
 
-@query()
-def height_hedonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block-by-year effects, building height and age classes, clustered by block, and the contrast without effects."""
+HEIGHT = (
+    "ht AS (SELECT *, block || '|' || y AS cell, CAST(floors > 25 AS INTEGER)::DOUBLE AS tall, CAST(greatest(y - built, 0) > 30 AS INTEGER)::DOUBLE AS old, 0 AS one, "
+    "CAST(least(rooms - 1, floors) AS DOUBLE) AS own FROM lg WHERE built IS NOT NULL), "
+)
+
+
+def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = logged(spark, sf_dir).where("built is not null")
     d = d.withColumn("cell", F.concat_ws("|", "block", "y")).withColumn("age", X.building_age("y", "built").cast("double"))
-    d = d.withColumn("tall", (F.col("floors") > 25).cast("double")).withColumn("old", (F.col("age") > 30).cast("double"))
-    xs = ["larea", "tall", "old"]
-    fe = E.fe_ols(d, "lp", xs, ["cell"], "block").table(d).withColumn("model", F.lit("effects"))
-    return fe.unionByName(E.pooled_ols(d, "lp", xs).table(d).withColumn("model", F.lit("pooled")))
+    d = d.withColumn("own", F.least(F.col("rooms") - 1, "floors").cast("double"))
+    return d.withColumn("tall", (F.col("floors") > 25).cast("double")).withColumn("old", (F.col("age") > 30).cast("double"))
+
 
+@query(
+    LG + HEIGHT + Q.ols("h", "ht", "lp", ["larea", "tall", "old"], ["cell"], "block") + "," + Q.ols("p", "ht", "lp", ["larea", "tall", "old"], ["one"], None)
+    + " " + fits_sql({"effects": "h", "pooled": "p"})
+)
+def height_hedonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block-by-year effects, building height and age classes, clustered by block, and the contrast without effects."""
+    d, xs = heights(spark, sf_dir), ["larea", "tall", "old"]
+    return estimates({"effects": E.fe_ols(d, "lp", xs, ["cell"], "block"), "pooled": E.pooled_ols(d, "lp", xs)}, d)
 
-@query()
+
+@query(
+    LG + HEIGHT + Q.ols("h", "ht", "lp", ["tall"], ["cell"], "block") + "," + Q.ols("p", "ht", "lp", ["tall", "own"], ["cell"], "block")
+    + " " + fits_sql({"height": "h", "height and floor": "p"})
+)
+def height_and_own_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effect of a tall building with and without the dwelling's own floor, block-by-year effects."""
+    d = heights(spark, sf_dir)
+    fit = lambda xs: E.fe_ols(d, "lp", xs, ["cell"], "block")
+    return estimates({"height": fit(["tall"]), "height and floor": fit(["tall", "own"])}, d)
+
+
+@query(
+    LG + REPEATS + "vt AS (SELECT *, CASE WHEN built >= 1980 THEN 'new' WHEN built IS NULL THEN 'na' ELSE 'old' END AS vintage FROM rp), "
+    + Q.effects("f", "vt", "apt", ["y"], ["larea"], ["vintage"]) + ", e AS (SELECT vintage, l[3:] AS y, p_larea AS e FROM f_wide) "
+    "SELECT vintage, y, round(e - first_value(e) OVER (PARTITION BY vintage ORDER BY y), 6) AS drift FROM e"
+)
 def recorded_area_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded area of the same apartment by year of sale, against the first year, by the building's vintage."""
     d = R.with_size(logged(spark, sf_dir), ["apt"], 2)
-    return E.level_effects(d, "larea", ["apt", "y"])
+    d = d.withColumn("vintage", X.or_missing(F.when(F.col("built") >= 1980, "new").when(F.col("built").isNotNull(), "old")))
+    return rounded(I.drift(d, "larea", "apt", "y", ["vintage"]), ["vintage", "y"], drift=6)
 
 
-@query()
+@query(
+    LG + Q.effects("f", "lg", "bld", ["ym", "size"], ["lp"]) + ", e AS (SELECT bld, avg(q_lp) AS e, count(*) AS n FROM f_q GROUP BY bld) "
+    "SELECT bld, round(e - (SELECT sum(e * n) / sum(n) FROM e), 6) AS effect, n FROM e"
+)
 def building_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.big_effects(logged(spark, sf_dir), "lp", ["bld", "ym", "size"])
+    return rounded(E.big_effects(logged(spark, sf_dir), "lp", ["bld", "ym", "size"]), ["bld", "n"], effect=6)
+
+
+ROOMS = "rm AS (SELECT *, CAST(rooms = 2 AS INTEGER)::DOUBLE AS room2, CAST(rooms = 4 AS INTEGER)::DOUBLE AS room4, CAST(rooms = 6 AS INTEGER)::DOUBLE AS room6, y % 2 AS half FROM lg), "
+
+
+def room_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = logged(spark, sf_dir)
+    return d.select("*", *((F.col("rooms") == k).cast("double").alias(f"room{k}") for k in (2, 4, 6)))
+
+
+def iv_row(fit: E.Fit, df: DataFrame, model: str) -> DataFrame:
+    """(model, beta, se, first_stage_f, partial_r2), rounded."""
+    x = fit.terms[0]
+    row = [(model, float(fit.beta[0]), float(fit.se[0]), fit.first_stage_f.get(x), fit.partial_r2.get(x))]
+    out = df.sparkSession.createDataFrame(row, "model string, beta double, se double, first_stage_f double, partial_r2 double")
+    return rounded(out, ["model"], beta=6, se=6, first_stage_f=4, partial_r2=6)
+
+
+def iv_sql(model: str, name: str) -> str:
+    return f"SELECT '{model}' AS model, round(beta, 6) AS beta, round(se, 6) AS se, round(f, 4) AS first_stage_f, round(partial, 6) AS partial_r2 FROM {name}_fit"
 
 
-@query()
+def ols_sql(model: str, name: str, term: str) -> str:
+    return f"SELECT '{model}' AS model, round(beta, 6) AS beta, round(se, 6) AS se, CAST(NULL AS DOUBLE) AS first_stage_f, CAST(NULL AS DOUBLE) AS partial_r2 FROM {name}_fit WHERE term = '{term}'"
+
+
+@query(
+    LG + ROOMS + Q.iv("v", "rm", "lprice", "larea", ["room2", "room4", "room6"], ["bld", "ym"], "block") + "," + Q.ols("o", "rm", "lprice", ["larea"], ["bld", "ym"], "block")
+    + " " + iv_sql("iv", "v") + " UNION ALL " + ols_sql("ols", "o", "larea")
+)
 def iv_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log price on log area, with room dummies as instruments, building and month effects, clustered by block."""
-    d = logged(spark, sf_dir)
-    for k in (2, 4, 6):
-        d = d.withColumn(f"room{k}", (F.col("rooms") == k).cast("double"))
+    d = room_dummies(spark, sf_dir)
     fit = E.fe_2sls(d, "lprice", ["larea"], ["room2", "room4", "room6"], [], ["bld", "ym"], "block")
-    ols = E.fe_ols(d, "lprice", ["larea"], ["bld", "ym"], "block")
-    return fit.table(d).withColumn("model", F.lit("iv")).unionByName(ols.table(d).withColumn("model", F.lit("ols")))
+    return iv_row(fit, d, "iv").unionByName(iv_row(E.fe_ols(d, "lprice", ["larea"], ["bld", "ym"], "block"), d, "ols"))
+
+
+def bias_sql() -> str:
+    parts, out = [], []
+    for period in ("early", "late"):
+        src = f"SELECT * FROM rm WHERE y {'<' if period == 'early' else '>='} 1998"
+        parts.append(f"s_{period} AS ({src})")
+        for model, y, xs in (("price", "lprice", ["larea"]), ("per metre", "lp", ["larea"]), ("per metre, rooms alone", "lp", ["nrooms"])):
+            name = f"{period}_{len(parts)}"
+            parts.append(Q.ols(name, f"s_{period}", y, xs, ["block", "y"], "block"))
+            out.append(f"SELECT '{period}' AS period, * FROM ({ols_sql(model, name, xs[0])})")
+        parts.append(Q.iv(f"{period}_v", f"s_{period}", "lp", "larea", ["room2", "nrooms"], ["block", "y"], "block"))
+        out.append(f"SELECT '{period}' AS period, * FROM ({iv_sql('per metre, iv', f'{period}_v')})")
+    return ", ".join(parts) + " " + " UNION ALL ".join(out)
+
+
+@query(LG + ROOMS + bias_sql())
+def division_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors in the area bias the slope of price per metre on it: log price, per metre, rooms in the area's place, and
+    instrumented, by period."""
+    d, out = room_dummies(spark, sf_dir), []
+    for period, when in (("early", "y < 1998"), ("late", "y >= 1998")):
+        rows = d.where(when)
+        for model, y, xs in (("price", "lprice", ["larea"]), ("per metre", "lp", ["larea"]), ("per metre, rooms alone", "lp", ["nrooms"])):
+            out.append(iv_row(E.fe_ols(rows, y, xs, ["block", "y"], "block"), d, model).withColumn("period", F.lit(period)))
+        fit = E.fe_2sls(rows, "lp", ["larea"], ["room2", "nrooms"], [], ["block", "y"], "block")
+        out.append(iv_row(fit, d, "per metre, iv").withColumn("period", F.lit(period)))
+    return reduce(DataFrame.unionByName, out)
 
 
-@query()
+@query(
+    LG + ROOMS + Q.iv("v", "rm", "lprice", "larea", ["room2", "nrooms"], ["block", "ym"], "block") + ","
+    + Q.index("i", "p_lprice - (SELECT beta FROM v_fit) * p_larea", "v_wide", "ym", BASE_M) + " SELECT ym, round(index, 4) AS index FROM i"
+)
 def iv_adjusted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = logged(spark, sf_dir).withColumn("room2", (F.col("rooms") == 2).cast("double"))
+    d = room_dummies(spark, sf_dir)
     fit = E.fe_2sls(d, "lprice", ["larea"], ["room2", "nrooms"], [], ["block", "ym"], "block")
     d = d.withColumn("rest", F.col("lprice") - float(fit.beta[0]) * F.col("larea"))
-    return I.fe_index(d, "rest", "block", "ym", [], F.col("ym").startswith("1998"))
+    return rounded(I.fe_index(d, "rest", "block", "ym", [], F.col("ym").startswith("1998")), ["ym"], index=4)
 
 
-@query()
+@query(
+    LG + "nw AS (SELECT *, CAST(rooms >= 5 AS INTEGER)::DOUBLE AS fresh FROM lg), " + Q.ols("o", "nw", "lp", ["fresh"], ["bld", "ym", "size"], "bld")
+    + " SELECT round(beta, 6) AS slope, round(exp(beta) - 1, 6) AS premium FROM o_fit"
+)
+def binary_premium(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A binary premium by partialling out: both sides less building, month and size effects, then one slope."""
+    d = logged(spark, sf_dir).withColumn("fresh", (F.col("rooms") >= 5).cast("double"))
+    return rounded(I.partialled_premium(d, "lp", "fresh", ["bld", "ym", "size"]), [], slope=6, premium=6)
+
+
+#: Context measures of a building; ``all`` is every one together.
+MEASURES = ("height", "age", "homes")
+CONTEXT = (
+    Q.effects("f", "lg", "bld", ["y", "size"], ["lp"]) + ", e0 AS (SELECT bld, avg(q_lp) AS e, count(*) AS n, min(city) AS city FROM f_q GROUP BY bld), "
+    "cx AS (SELECT bld, city, n, e - (SELECT sum(e * n) / sum(n) FROM e0) AS effect, CAST(least(n, 50) AS DOUBLE) AS w, ln(floors) AS height, "
+    "(2001 - built) / 100.0 AS age, ln(n) AS homes, 0 AS one, CAST(kind = 'PROMO' AS INTEGER)::DOUBLE AS style FROM e0 JOIN reg USING (bld) WHERE n >= 3), "
+)
+
+
+def context_models() -> list[tuple[str, list[str], str]]:
+    """(model, regressors, absorbed): each measure alone raw, within cities and with a control; then all together."""
+    one = [(f"{m}{how}", [m, *more], by) for m in MEASURES for how, more, by in ((", raw", [], "one"), (", city", [], "city"), (", city and style", ["style"], "city"))]
+    return [*one, ("all, raw", list(MEASURES), "one"), ("all, city", list(MEASURES), "city")]
+
+
+@query(
+    LG + CONTEXT + ", ".join(Q.ols(f"m{k}", "cx", "effect", xs, [by], "city", "w") for k, (_, xs, by) in enumerate(context_models()))
+    + " " + fits_sql({m: f"m{k}" for k, (m, _, _) in enumerate(context_models())})
+)
 def premium_on_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Building effects on context measures, weighted by min(n, 50): raw and within cities."""
+    """Building effects on context measures, weighted by min(n, 50), clustered by city: a family of models."""
     d = logged(spark, sf_dir)
     fe = E.big_effects(d, "lp", ["bld", "y", "size"]).join(register(spark, sf_dir), "bld")
     at = d.groupBy("bld").agg(F.min("city").alias("city"))
-    rows = fe.join(at, "bld").where("n >= 3").withColumn("w", F.least("n", F.lit(50)).cast("double"))
-    rows = rows.withColumn("height", F.ln("floors")).withColumn("_all", F.lit(0)).cache()
-    raw = E.fe_ols(rows, "effect", ["height"], ["_all"], "city", "w").table(rows).withColumn("model", F.lit("raw"))
-    own = E.fe_ols(rows, "effect", ["height"], ["city"], "city", "w").table(rows).withColumn("model", F.lit("within"))
-    return raw.unionByName(own)
+    rows = fe.join(at, "bld").where("n >= 3").select(
+        "city", "effect", F.least("n", F.lit(50)).cast("double").alias("w"), F.ln("floors").alias("height"), ((2001 - F.col("built")) / 100).alias("age"),
+        F.ln("n").alias("homes"), F.lit(0).alias("one"), (F.col("kind") == "PROMO").cast("double").alias("style"),
+    )
+    rows = rows.cache()
+    try:
+        return estimates({m: E.fe_ols(rows, "effect", xs, [by], "city", "w") for m, xs, by in context_models()}, rows)
+    finally:
+        rows.unpersist()
 
 
-@query()
+@query(
+    LG + Q.effects("f", "lg", "bld", ["ym"], ["lprice", "larea"]) + ", q AS (SELECT list_sort(list_distinct(quantile_cont(r_larea, [0.05 * k for k in range(0, 21)])))[2:-2] AS e FROM f_res), "
+    "v AS (SELECT r_larea AS x, r_lprice AS y, len(list_filter(e, lambda z: z < r_larea)) AS bin FROM f_res, q) "
+    "SELECT 'bin' AS kind, CAST(bin AS VARCHAR) AS level, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM v GROUP BY bin "
+    "UNION ALL SELECT 'rooms', CAST(rooms AS VARCHAR), count(*), round(avg(r_larea), 6), round(avg(r_lprice), 6) FROM f_res GROUP BY rooms"
+)
 def residual_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What building and month effects leave of price and area: means by bins of area, and by rooms (the visual IV)."""
     d = E.residualised(logged(spark, sf_dir), ["lprice", "larea"], ["bld", "ym"]).withColumn("one", F.lit(1.0))
-    return R.binned_scatter(d, "r_larea", "r_lprice", "one", 20)
+    bins = R.binned_scatter(d, "r_larea", "r_lprice", "one", 20).select(F.lit("bin").alias("kind"), F.col("bin").cast("string").alias("level"), "n", "x", "y")
+    rooms = d.groupBy("rooms").agg(F.count("*").alias("n"), F.avg("r_larea").alias("x"), F.avg("r_lprice").alias("y"))
+    rooms = rooms.select(F.lit("rooms").alias("kind"), F.col("rooms").cast("string").alias("level"), "n", "x", "y")
+    return rounded(bins.unionByName(rooms), ["kind", "level", "n"], x=6, y=6)
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,17 +421,23 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("city", "district", "built", F.lit(1.0).alias("one"), F.col("floors").cast("double").alias("floors"))
 
 
-STOCK = """
-, u AS (SELECT district, built FROM reg JOIN (SELECT bld, min(block) AS block FROM a GROUP BY bld) USING (bld) JOIN places USING (block)),
-g AS (SELECT district, CAST(yr AS INTEGER) AS year FROM (SELECT DISTINCT district FROM u), (SELECT unnest(range(1928, 2023)) AS yr)),
-h0 AS (SELECT g.district, g.year, count(u.built) AS h, (g.year + 2) // 5 AS k FROM g LEFT JOIN u ON u.district = g.district AND u.built = g.year GROUP BY ALL),
-x AS (SELECT district, k, greatest(max(h) FILTER (WHERE year % 5 = 0) - median(h) FILTER (WHERE year % 5 <> 0), 0) AS x, count(*) AS c FROM h0 GROUP BY ALL),
-h1 AS (SELECT district, year, h - CASE WHEN year % 5 = 0 AND c = 5 THEN x ELSE 0 END + CASE WHEN c = 5 THEN x / 5 ELSE 0 END AS h FROM h0 JOIN x USING (district, k)),
-sc AS (SELECT district, 1 + count(*) FILTER (WHERE built IS NULL OR built NOT BETWEEN 1928 AND 2022) / count(*) FILTER (WHERE built BETWEEN 1928 AND 2022) AS f FROM u GROUP BY district),
-st AS (SELECT district, year, h * f AS h, sum(h * f) OVER (PARTITION BY district ORDER BY year) AS stock FROM h1 JOIN sc USING (district))
+def stock_sql(market: str, weight: str, name: str) -> str:
+    """CTE ``name``({market}, year, h, stock): de-heaped, scaled and accumulated vintages of the register."""
+    n = name
+    return f"""
+, {n}u AS (SELECT {market}, built, CAST({weight} AS DOUBLE) AS w FROM reg JOIN (SELECT bld, min(block) AS block FROM a GROUP BY bld) USING (bld) JOIN places USING (block)),
+{n}g AS (SELECT {market}, CAST(yr AS INTEGER) AS year FROM (SELECT DISTINCT {market} FROM {n}u), (SELECT unnest(range(1928, 2023)) AS yr)),
+{n}h0 AS (SELECT g.{market}, g.year, coalesce(sum(u.w), 0) AS h, (g.year + 2) // 5 AS k FROM {n}g g LEFT JOIN {n}u u ON u.{market} = g.{market} AND u.built = g.year GROUP BY ALL),
+{n}x AS (SELECT {market}, k, greatest(max(h) FILTER (WHERE year % 5 = 0) - median(h) FILTER (WHERE year % 5 <> 0), 0) AS x, count(*) AS c FROM {n}h0 GROUP BY ALL),
+{n}h1 AS (SELECT {market}, year, h - CASE WHEN year % 5 = 0 AND c = 5 THEN x ELSE 0 END + CASE WHEN c = 5 THEN x / 5 ELSE 0 END AS h FROM {n}h0 JOIN {n}x USING ({market}, k)),
+{n}sc AS (SELECT {market}, 1 + coalesce(coalesce(sum(w) FILTER (WHERE built IS NULL OR built NOT BETWEEN 1928 AND 2022), 0) / sum(w) FILTER (WHERE built BETWEEN 1928 AND 2022), 0) AS f FROM {n}u GROUP BY {market}),
+{n} AS (SELECT {market}, year, h * f AS h, sum(h * f) OVER (PARTITION BY {market} ORDER BY year) AS stock FROM {n}h1 JOIN {n}sc USING ({market}))
 """
 
 
+STOCK = stock_sql("district", "1.0", "st")
+
+
 @query(STOCK + "SELECT district, year, round(h, 6) AS h, round(stock, 6) AS stock FROM st")
 def stock_deheaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = U.stock(units(spark, sf_dir), ["district"], "built", "one", 1928, 2022)
@@ -239,42 +455,147 @@ def predicted_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """City by year: the price index effect and lagged log stock, actual and predicted (years shifted onto the deals')."""
-    d = logged(spark, sf_dir)
+    """City by year: the price index effect and lagged log stock, actual, predicted and in floors (years shifted onto the
+    deals')."""
+    d, u = logged(spark, sf_dir), units(spark, sf_dir)
     p = U.market_index(d, "lp", "city", "y", "bld", ["size"], 1998, 5)
-    s = U.stock(units(spark, sf_dir), ["city"], "built", "one", 1928, 2022)
+    s = U.stock(u, ["city"], "built", "one", 1928, 2022)
     z = U.predicted_stock(s, ["city"], 1984, 1991).where("stock > 0 and predicted > 0")
     z = z.select("city", "year", F.ln("stock").alias("ls"), F.ln("predicted").alias("lz"))
-    return U.panel(p, z, ["city"], "y")
+    f = U.stock(u, ["city"], "built", "floors", 1928, 2022).where("stock > 0").select("city", "year", F.ln("stock").alias("lf"))
+    return U.panel(p, z.join(f, ["city", "year"]), ["city"], "y")
+
+
+PANEL = (
+    LG + "cellr AS (SELECT *, city || '|' || y AS cell FROM lg QUALIFY count(*) OVER (PARTITION BY city, y) >= 5), "
+    + Q.effects("f", "cellr", "bld", ["cell", "size"], ["lp"]) + ", pe AS (SELECT split_part(l[3:], '|', 1) AS city, CAST(split_part(l[3:], '|', 2) AS INTEGER) AS y, p_lp AS e FROM f_wide WHERE l[:2] = '0:'), "
+    "pi AS (SELECT p.city, p.y, p.e - b.e AS lp FROM pe p JOIN pe b ON b.city = p.city AND b.y = 1998) " + stock_sql("city", "1.0", "s1") + stock_sql("city", "floors", "s2")
+    + ", sn AS (SELECT year, sum(stock) AS n FROM s1 GROUP BY year), se AS (SELECT city, max(stock) FILTER (WHERE year = 1984) AS s0, max(stock) FILTER (WHERE year = 1991) AS s1 FROM s1 GROUP BY city), "
+    "ne AS (SELECT max(n) FILTER (WHERE year = 1984) AS n0, max(n) FILTER (WHERE year = 1991) AS n1 FROM sn), "
+    "pz AS (SELECT city, year, stock, se.s1 + (se.s1 - s0) / nullif(n1 - n0, 0) * (n - n1) AS z FROM s1 JOIN se USING (city) JOIN sn USING (year), ne), "
+    "pn AS (SELECT pi.city, pi.y, lp, ln(pz.stock) AS ls, ln(z) AS lz, ln(s2.stock) AS lf FROM pi JOIN pz ON pz.city = pi.city AND pz.year = pi.y - 1 "
+    "JOIN s2 ON s2.city = pi.city AND s2.year = pi.y - 1 WHERE pz.stock > 0 AND z > 0 AND s2.stock > 0)"
+)
+TRENDS = (
+    ", tr AS (SELECT city, y, lp - coalesce(covar_samp(y, lp) OVER c / nullif(var_samp(y) OVER c, 0), 0) * (y - avg(y) OVER c) AS lp, "
+    "ls - coalesce(covar_samp(y, ls) OVER c / nullif(var_samp(y) OVER c, 0), 0) * (y - avg(y) OVER c) AS ls FROM pn WINDOW c AS (PARTITION BY city)), "
+)
 
 
-@query()
+@query(
+    PANEL + TRENDS + Q.ols("o", "pn", "lp", ["ls"], ["city", "y"], "city") + "," + Q.iv("v", "pn", "lp", "ls", ["lz"], ["city", "y"], "city") + ","
+    + Q.ols("t", "tr", "lp", ["ls"], ["city", "y"], "city") + "," + Q.ols("h", "pn", "lp", ["ls", "lf"], ["city", "y"], "city")
+    + " " + iv_sql("iv", "v") + " UNION ALL " + ols_sql("two-way", "o", "ls") + " UNION ALL " + ols_sql("trends", "t", "ls")
+    + " UNION ALL " + ols_sql("race: homes", "h", "ls") + " UNION ALL " + ols_sql("race: floors", "h", "lf")
+)
 def panel_supply_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price on lagged stock, two-way effects: OLS, instrumented, with market trends, and two measures in a race."""
     rows = supply_panel(spark, sf_dir).cache()
-    ols = U.panel_regression(rows, "lp", "ls", "city", "y").table(rows).withColumn("model", F.lit("two-way"))
-    iv = U.panel_regression(rows, "lp", "ls", "city", "y", "lz").table(rows).withColumn("model", F.lit("iv"))
-    tr = U.panel_regression(rows, "lp", "ls", "city", "y", trends=True).table(rows).withColumn("model", F.lit("trends"))
-    return ols.unionByName(iv).unionByName(tr)
+    try:
+        out = [
+            iv_row(U.panel_regression(rows, "lp", "ls", "city", "y"), rows, "two-way"),
+            iv_row(U.panel_regression(rows, "lp", "ls", "city", "y", "lz"), rows, "iv"),
+            iv_row(U.panel_regression(rows, "lp", "ls", "city", "y", trends=True), rows, "trends"),
+        ]
+        race = E.fe_ols(rows, "lp", ["ls", "lf"], ["city", "y"], "city").table(rows)
+        race = race.where("term = 'ls'").withColumn("model", F.lit("race: homes")).unionByName(race.where("term = 'lf'").withColumn("model", F.lit("race: floors")))
+        race = race.select("model", "beta", "se", F.lit(None).cast("double").alias("first_stage_f"), F.lit(None).cast("double").alias("partial_r2"))
+        return reduce(DataFrame.unionByName, [*out, rounded(race, ["model"], beta=6, se=6, first_stage_f=4, partial_r2=6)])
+    finally:
+        rows.unpersist()
+
+
+DIFFERENCES = (
+    ", bal AS (SELECT city FROM pn GROUP BY city HAVING count(DISTINCT y) = 7), fd AS (SELECT city, y, lp - lag(lp) OVER c AS d_lp, ls - lag(ls) OVER c AS d_ls, lz - lag(lz) OVER c AS d_lz "
+    "FROM pn WHERE city IN (SELECT city FROM bal) WINDOW c AS (PARTITION BY city ORDER BY y)), fe AS (SELECT * FROM fd WHERE d_lp IS NOT NULL), "
+)
 
 
-@query()
+@query(
+    PANEL + DIFFERENCES + Q.ols("o", "fe", "d_lp", ["d_ls"], ["y"], "city") + "," + Q.iv("v", "fe", "d_lp", "d_ls", ["d_lz"], ["y"], "city")
+    + " " + iv_sql("iv", "v") + " UNION ALL " + ols_sql("ols", "o", "d_ls")
+)
 def first_difference_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = supply_panel(spark, sf_dir)
-    d = U.first_differences(rows, "city", "y", ["lp", "ls"], 7)
-    return E.fe_ols(d, "d_lp", ["d_ls"], ["y"], "city").table(d)
+    """Changes of price on changes of stock over balanced periods, OLS and instrumented by the predicted change."""
+    d = U.first_differences(supply_panel(spark, sf_dir), "city", "y", ["lp", "ls", "lz"], 7).cache()
+    try:
+        fit = E.fe_2sls(d, "d_lp", ["d_ls"], ["d_lz"], [], ["y"], "city")
+        return iv_row(fit, d, "iv").unionByName(iv_row(E.fe_ols(d, "d_lp", ["d_ls"], ["y"], "city"), d, "ols"))
+    finally:
+        d.unpersist()
 
 
-@query()
+@query(
+    PANEL + ", ld AS (SELECT city, 0 AS one, max(lp) FILTER (WHERE y = 2000) - max(lp) FILTER (WHERE y = 1996) AS d_lp, max(ls) FILTER (WHERE y = 2000) - max(ls) FILTER (WHERE y = 1996) AS d_ls FROM pn GROUP BY city), "
+    + Q.ols("o", "ld", "d_lp", ["d_ls"], ["one"], None) + " " + fits_sql({"long": "o"})
+)
 def long_difference_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = U.long_difference(supply_panel(spark, sf_dir), "city", "y", ["lp", "ls"], 1996, 2000)
-    return E.pooled_ols(d, "d_lp", ["d_ls"]).table(d)
+    return estimates({"long": E.pooled_ols(d, "d_lp", ["d_ls"])}, d)
+
 
+@query(
+    LG + "st AS (SELECT city, count(*) AS homes FROM (SELECT bld, min(block) AS block FROM a GROUP BY bld) JOIN places USING (block) GROUP BY city), "
+    "ct AS (SELECT city, avg(lp) AS lp, count(DISTINCT apt) AS heads FROM lg GROUP BY city), xs AS (SELECT city, lp, ln(homes / heads) AS per_head, 0 AS one FROM ct JOIN st USING (city)), "
+    + Q.ols("o", "xs", "lp", ["per_head"], ["one"], None) + " " + fits_sql({"levels": "o"})
+)
+def cross_section_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City mean price on log buildings per apartment, in levels."""
+    d = logged(spark, sf_dir)
+    c = d.groupBy("city").agg(F.avg("lp").alias("lp"), F.count_distinct("apt").alias("heads"))
+    n = units(spark, sf_dir).groupBy("city").agg(F.count("*").alias("homes"))
+    rows = c.join(n, "city").withColumn("per_head", F.ln(F.col("homes") / F.col("heads")))
+    return estimates({"levels": U.cross_section(rows, "lp", "per_head")}, rows)
 
-@query()
+
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = logged(spark, sf_dir).withColumn("half", F.concat("y", F.lit("H"), F.when(F.month("dt") <= 6, 1).otherwise(2)))
+    return R.scenarios(d, geo=["city", "district"], span=["y", "half"], weighting=["deals", "metres"])
+
+
+@query(
+    LG + "hf AS (SELECT *, y || 'H' || CASE WHEN month(dt) <= 6 THEN 1 ELSE 2 END AS half FROM lg), "
+    "df AS (SELECT *, unnest(['city', 'district']) AS geo FROM hf), dg AS (SELECT *, unnest(['y', 'half']) AS span FROM df), dh AS (SELECT *, unnest(['deals', 'metres']) AS weighting FROM dg), "
+    "mk AS (SELECT *, CASE WHEN geo = 'city' THEN city ELSE district END AS market, CASE WHEN span = 'y' THEN CAST(y AS VARCHAR) ELSE half END AS period, CASE WHEN weighting = 'deals' THEN 1.0 ELSE area END AS w FROM dh), "
+    "ce AS (SELECT geo, span, weighting, market, period, sum(w * lp) / sum(w) AS lp, ln(sum(w)) AS lq FROM mk GROUP BY ALL), "
+    "tw AS (SELECT geo, span, weighting, lp - avg(lp) OVER m - avg(lp) OVER p + avg(lp) OVER g AS lp, lq - avg(lq) OVER m - avg(lq) OVER p + avg(lq) OVER g AS lq, "
+    "count(*) OVER g AS n, count(*) OVER m AS k FROM ce WINDOW g AS (PARTITION BY geo, span, weighting), m AS (PARTITION BY geo, span, weighting, market), p AS (PARTITION BY geo, span, weighting, period)) "
+    "SELECT geo, span, weighting, count(*) AS n, round(sum(lp * lq) / nullif(sum(lq * lq), 0), 6) AS beta FROM tw GROUP BY ALL"
+)
+def market_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same two-way panel model under every definition of market, period and weight, in one pass."""
+    d = definitions(spark, sf_dir)
+    d = d.withColumn("market", F.when(F.col("geo") == "city", F.col("city")).otherwise(F.col("district")))
+    d = d.withColumn("period", F.when(F.col("span") == "y", F.col("y").cast("string")).otherwise(F.col("half")))
+    d = d.withColumn("w", F.when(F.col("weighting") == "deals", 1.0).otherwise(F.col("area")))
+    out = U.definition_grid(d, ["geo", "span", "weighting"], "market", "period", "lp", "w")
+    return rounded(out, ["geo", "span", "weighting", "n"], beta=6)
+
+
+NW = (
+    LG + "pm AS (SELECT district, ym, avg(lp) FILTER (WHERE rooms >= 4) - avg(lp) FILTER (WHERE rooms <= 3) AS rel, "
+    "ln(count(*) FILTER (WHERE rooms >= 4) / nullif(count(*) FILTER (WHERE rooms <= 3), 0)) AS q, CAST(datediff('month', DATE '1995-01-01', CAST(ym || '-01' AS DATE)) AS DOUBLE) AS t FROM lg GROUP BY ALL), "
+    "s AS (SELECT * FROM pm WHERE rel IS NOT NULL AND q IS NOT NULL AND isfinite(q)), "
+    "g AS (SELECT district, [[1.0 * count(*), sum(q), sum(t), sum(rel), 1, 0, 0], [sum(q), sum(q * q), sum(q * t), sum(q * rel), 0, 1, 0], [sum(t), sum(q * t), sum(t * t), sum(t * rel), 0, 0, 1]] AS m FROM s GROUP BY district), "
+    + Q.gauss("i", "g", ["district"])
+    + ", u AS (SELECT s.district, t, [(rel - i.m[1][4] - i.m[2][4] * q - i.m[3][4] * t) * z for z in [1.0, q, t]] AS u FROM s JOIN i USING (district)), "
+    "ul AS (SELECT district, u, lag(u, 1) OVER w AS u1, lag(u, 2) OVER w AS u2 FROM u WINDOW w AS (PARTITION BY district ORDER BY t)), "
+    "pr AS (SELECT district, a, b, sum(u[a] * u[b] + coalesce(2.0 / 3 * (u[a] * u1[b] + u1[a] * u[b]), 0) + coalesce(1.0 / 3 * (u[a] * u2[b] + u2[a] * u[b]), 0)) AS v "
+    "FROM ul, (SELECT unnest(range(1, 4)) AS a), (SELECT unnest(range(1, 4)) AS b) GROUP BY ALL), "
+    "se AS (SELECT district, k, sqrt(greatest(sum(m[k][4 + a] * v * m[k][4 + b]), 0)) AS se FROM pr JOIN i USING (district), (SELECT unnest(range(1, 4)) AS k) GROUP BY ALL) "
+    "SELECT district, ['const', 'q', 't'][k] AS term, round(m[k][4], 6) AS beta, round(se, 6) AS se FROM se JOIN i USING (district)"
+)
+
+
+@query(NW)
 def newey_west_by_district(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = logged(spark, sf_dir).groupBy("district", "ym").agg(F.avg("lp").alias("lp"), F.ln(F.count("*")).alias("ln_n"))
+    """Relative price of large to small dwellings on their relative number and a trend, Newey-West errors."""
+    large, small = F.col("rooms") >= 4, F.col("rooms") <= 3
+    m = logged(spark, sf_dir).groupBy("district", "ym").agg(
+        (F.avg(F.when(large, F.col("lp"))) - F.avg(F.when(small, F.col("lp")))).alias("rel"), F.ln(X.divided(F.count_if(large), F.count_if(small))).alias("q")
+    )
     t = m.withColumn("t", F.months_between(F.to_date(F.concat("ym", F.lit("-01"))), F.lit("1995-01-01").cast("date")))
-    return U.newey_west(t, ["district"], "t", "lp", ["ln_n", "t"])
+    return rounded(U.newey_west(t, ["district"], "t", "rel", ["q", "t"]), ["district", "term"], beta=6, se=6)
 
 
 @query(
@@ -324,8 +645,13 @@ def regional_cost_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.cost_index(u, "district", "cost", "units").select("district", r6("cost", 4).alias("cost"), r6("relative").alias("relative"))
 
 
-@query()
+@query(
+    MEDIANS + ", b AS (SELECT m.district, m.size, m.p, m.m2, (m.p * r.m2 - r.p * m.m2) / nullif(r.m2 - m.m2, 0) AS be FROM m JOIN m r ON r.district = m.district AND r.size = '4' WHERE m.size <> '4'), "
+    "k AS (SELECT *, unnest([0.0, 0.5, 1.0]) AS spaces FROM b) "
+    "SELECT district, size, CAST(spaces AS DOUBLE) AS spaces, round(be - m2 * 700 - spaces * 35 * 300, 4) AS margin, round((be - m2 * 700 - spaces * 35 * 300) / p, 6) AS margin_share FROM k"
+)
 def cost_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = U.break_even(medians(spark, sf_dir), "district", "size", "p", "m2", "4")
     costs = b.select("district", "size", (F.col("m2") * 700).alias("unit_cost"), F.lit(300.0).alias("underground"))
-    return U.margins(b, costs, ["district", "size"], "p", [0.0, 0.5, 1.0])
+    out = U.margins(b, costs, ["district", "size"], "p", [0.0, 0.5, 1.0])
+    return rounded(out, ["district", "size", "spaces"], margin=4, margin_share=6)
