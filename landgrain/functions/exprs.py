@@ -63,6 +63,11 @@ def key_parts(key: str | Column, base: int) -> tuple[Column, Column]:
     return ((key - low) / base).cast("bigint"), low
 
 
+def largest_of(*cs: str | Column) -> Column:
+    """Row-wise maximum of the values that are known."""
+    return F.greatest(*(col(c) for c in cs))
+
+
 def clipped(c: str | Column, low=None, high=None) -> Column:
     c = col(c)
     c = c if low is None else F.when(c.isNotNull(), F.greatest(c, F.lit(low)))

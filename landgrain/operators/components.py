@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="landgrain-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; only a local session may lack one."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="landgrain-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

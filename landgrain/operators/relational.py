@@ -65,24 +65,30 @@ def lagged(left: DataFrame, right: DataFrame, keys: list[str], time: str, lag: i
 
 
 def in_period(df: DataFrame, periods: DataFrame, value: str) -> DataFrame:
-    """Rows with the period (low, high, both inside) that holds the value; the period table is small and fixed."""
-    return df.join(F.broadcast(periods), F.col(value).between(F.col("low"), F.col("high")))
+    """Rows with the period (low, high, both inside) that holds the value. Spark broadcasts the periods if they are small."""
+    return df.join(periods, F.col(value).between(F.col("low"), F.col("high")))
 
 
 def contains_match(left: DataFrame, right: DataFrame, place: str, name: str, least: int = 3) -> DataFrame:
     """Names of a place matched exactly, and names without an exact match by containment either way.
 
-    Both sides hold distinct (place, name); ``right`` brings its name as ``match``. The containment step joins within a
-    place only, and only what is left over on the left.
+    Both sides hold distinct (place, name); ``right`` brings its name as ``match``. What is left over on the left meets
+    the names that share the first ``least`` letters of one somewhere inside the other, as contained names must.
     """
     right = right.select(place, F.col(name).alias("match"))
     exact = left.join(right.withColumn(name, F.col("match")), [place, name]).withColumn("how", F.lit("exact"))
-    rest = left.join(right.withColumnRenamed("match", name), [place, name], "left_anti")
-    inside = (F.char_length(name) >= least) & (F.char_length("match") >= least)
-    either = F.contains(F.col(name), F.col("match")) | F.contains(F.col("match"), F.col(name))
-    loose = rest.join(right, place).where(inside & either).withColumn("how", F.lit("part"))
+    rest = left.join(right.withColumnRenamed("match", name), [place, name], "left_anti").where(F.char_length(name) >= least)
+    right = right.where(F.char_length("match") >= least)
+    first = lambda c: F.substring(c, 1, least)
+    every = lambda c: F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.char_length(c) - least + 1), lambda i: F.substr(F.col(c), i, F.lit(least)))
+    )
+    inner = rest.withColumn("_g", first(name)).join(right.select("*", F.explode(every("match")).alias("_g")), [place, "_g"])
+    outer = rest.select("*", F.explode(every(name)).alias("_g")).join(right.withColumn("_g", first("match")), [place, "_g"])
     columns = [*left.columns, "match", "how"]
-    return exact.select(columns).union(loose.select(columns))
+    inner = inner.where(F.contains(F.col("match"), F.col(name))).withColumn("how", F.lit("part"))
+    outer = outer.where(F.contains(F.col(name), F.col("match"))).withColumn("how", F.lit("part"))
+    return exact.select(columns).union(inner.select(columns).union(outer.select(columns)).distinct())
 
 
 def ratio_match(left: DataFrame, right: DataFrame, keys: list[str], size: str, gate: float = 1.5) -> DataFrame:
@@ -189,6 +195,97 @@ def suppressed(count: str | Column, least: int, value: Column) -> Column:
     return F.when((F.col(count) if isinstance(count, str) else count) >= least, value)
 
 
+# --- sets, orders and matrices -----------------------------------------------------------------------------------
+def key_union(*tables: DataFrame) -> DataFrame:
+    """The keys that any of the tables has."""
+    return reduce(DataFrame.union, tables).distinct()
+
+
+def key_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The distinct keys of ``left`` that ``right`` lacks."""
+    return left.subtract(right)
+
+
+def in_all_classes(df: DataFrame, key: str, kind: str) -> DataFrame:
+    """(key): the keys that occur with every class of the table: an intersection over all classes."""
+    kinds = df.agg(F.count_distinct(kind).alias("_k"))
+    own = df.groupBy(key).agg(F.count_distinct(kind).alias("_n"))
+    return own.join(F.broadcast(kinds), F.col("_n") == F.col("_k")).select(key)
+
+
+def ordered_report(df: DataFrame, keys: list[str], least: int, *order) -> DataFrame:
+    """(keys..., n): groups of at least ``least`` rows, in order."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(*order)
+
+
+def matrix(df: DataFrame, key: str, axis: str, values: list, cell: Column) -> DataFrame:
+    """One row per key with a column per value of a fixed axis: the level by year matrix, complete."""
+    return df.groupBy(key).pivot(axis, values).agg(cell)
+
+
+def stacked(wide: DataFrame, key: str, axis: str, value: str) -> DataFrame:
+    """The matrix as (key, axis, value), empty cells included."""
+    return wide.unpivot(key, [c for c in wide.columns if c != key], axis, value)
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, corr) for every pair of columns in one pass, each over the rows that have both."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = df.agg(*(F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)))
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)]
+    return one.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
+
+
+def stability(df: DataFrame, key: str, period: str, value: Column, lag: int = 1) -> DataFrame:
+    """(period, corr): how a measure of the keys correlates with itself ``lag`` periods before."""
+    cells = df.groupBy(key, period).agg(value.alias("_v"))
+    before = cells.select(key, (F.col(period) + lag).alias(period), F.col("_v").alias("_u"))
+    return cells.join(before, [key, period]).groupBy(period).agg(F.corr("_v", "_u").alias("corr"))
+
+
+def labelled(df: DataFrame, name: str, override: dict[str, str], labels: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Adds ``label``: a fixed override, else the label table's, else the dictionary's (both: name, text)."""
+    fixed = F.create_map(*(F.lit(x) for kv in override.items() for x in kv))
+    out = df.join(labels.select(name, F.col("text").alias("_l")), name, "left").join(dictionary.select(name, F.col("text").alias("_d")), name, "left")
+    return out.withColumn("label", F.coalesce(F.try_element_at(fixed, F.col(name)), "_l", "_d")).drop("_l", "_d")
+
+
+def standardised(df: DataFrame, value: str, weight: str, out: str) -> DataFrame:
+    """A weighted z-score over all rows: (x - mean) / sd with analytic weights."""
+    m = df.agg(weighted_mean(value, weight).alias("_m"), F.sqrt(weighted_variance(value, weight)).alias("_s"))
+    return df.crossJoin(F.broadcast(m)).withColumn(out, divided(F.col(value) - F.col("_m"), "_s")).drop("_m", "_s")
+
+
+def rank_bins(df: DataFrame, value: str, key: list[str], bins: int, out: str = "bin", buckets: int = 256) -> DataFrame:
+    """Rows in order of (value, key) split into ``bins`` parts whose sizes differ by one at most, as ``ntile`` does, but
+    without one task for all rows: rows are ranked within ranges of the value, and a range starts where the counts of
+    those before it end."""
+    edges = df.agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)]).alias("e"))
+    dealt = df.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("e", lambda x: x < F.col(value)))).drop("e")
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = dealt.groupBy("_b").agg(F.count("*").alias("_n"))  # as many rows as ranges
+    starts = sizes.select("_b", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    at = F.row_number().over(Window.partitionBy("_b").orderBy(value, *key)) - 1 + F.col("_before")
+    ranked = dealt.join(F.broadcast(starts), "_b").withColumn("_at", at)
+    short, extra = F.floor(F.col("_all") / bins), F.col("_all") % bins  # the first ``extra`` parts have one more
+    large = extra * (short + 1)
+    part = F.when(F.col("_at") < large, F.floor(F.col("_at") / (short + 1))).otherwise(extra + F.floor((F.col("_at") - large) / F.greatest(short, F.lit(1))))
+    return ranked.withColumn(out, part.cast("int")).drop("_b", "_before", "_all", "_at")
+
+
+def rolled_up(df: DataFrame, keys: list[str], height: str, year: str, low: int, high: int, new: int) -> DataFrame:
+    """Register rows per key: units, greatest height, median of the plausible years, share built from ``new`` on."""
+    plausible = F.when(F.col(year).between(low, high), F.col(year))
+    fresh = F.coalesce(F.col(year) >= new, F.lit(False)).cast("double")
+    return df.groupBy(*keys).agg(F.count("*").alias("units"), F.max(height).alias(height), F.median(plausible).alias(year), F.avg(fresh).alias("new_share"))
+
+
+def places_of_boxes(df: DataFrame, keys: list[str], party: str, parties: dict[str, list], location: list[str]) -> DataFrame:
+    """Boxes per place: valid votes, the votes of each list of parties, and the boxes' median location."""
+    votes = [F.count_if(F.col(party).isin(names)).alias(c) for c, names in parties.items()]
+    return df.groupBy(*keys).agg(F.count("*").alias("valid"), *votes, *(F.median(c).alias(c) for c in location))
+
+
 # --- windows -----------------------------------------------------------------------------------------------------
 def with_size(df: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Rows of groups with at least ``least`` rows: the sizes are aggregated and joined, so no group is one task."""
@@ -229,6 +326,21 @@ def rebased(df: DataFrame, keys: list[str], value: str, base: Column, out: str,
     return joined.withColumn(out, scale * divided(value, "_base")).drop("_base")
 
 
+def trimmed(df: DataFrame, keys: list[str], value: str, below: float = 0.2) -> DataFrame:
+    """Rows that are not more than ``below`` under the median of their key (``value`` is a log): the median is an aggregate
+    that is joined back."""
+    medians = df.groupBy(*keys).agg(F.median(value).alias("_m"))
+    return df.join(medians, keys).where(F.col(value) > F.col("_m") + F.log1p(F.lit(-below))).drop("_m")
+
+
+def relative_to_classes(df: DataFrame, time: str, kind: str, value: str, out: str) -> DataFrame:
+    """Adds ``value`` less its mean over all classes at the time, rebased to 0 at each class's first time."""
+    gap = F.col(value) - F.avg(value).over(Window.partitionBy(time))
+    rows = df.withColumn("_g", gap)
+    first = F.first("_g").over(Window.partitionBy(kind).orderBy(time))
+    return rows.withColumn(out, F.col("_g") - first).drop("_g")
+
+
 def balanced(df: DataFrame, keys: list[str], time: str, periods: int) -> DataFrame:
     """Keys that have all periods."""
     full = df.groupBy(*keys).agg(F.count_distinct(time).alias("_n")).where(F.col("_n") == periods).drop("_n")

@@ -6,6 +6,7 @@ Polygons are arrays of rings (arrays of points, closed or not). Every spatial se
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from landgrain.functions.exprs import divided
+from landgrain.operators.components import checkpointed
 
 
 def edges_of(polygons: DataFrame, key: str = "poly", rings: str = "rings") -> DataFrame:
@@ -133,35 +135,46 @@ def points_near_polygons(points: DataFrame, polygons: DataFrame, radius: float,
     return polygons.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nearest_in_group(left: DataFrame, right: DataFrame, group: str, k: int) -> DataFrame:
-    """The k nearest right points (rid, rx, ry, ...) in the same group for each left point (id, x, y), ranked by (d, rid)."""
-    both = left.join(right, group).withColumn("d", F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry")))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "rid"))).where(F.col("rank") <= k)
+def k_nearest(left: DataFrame, right: DataFrame, k: int, size: float, group: str | None = None, rings: int = 64) -> DataFrame:
+    """The k nearest right points (rid, rx, ry, ...) of each left point (id, x, y), in the same group if one is given, with
+    d and rank; ties to the lowest rid.
 
-
-def nearest(left: DataFrame, right: DataFrame, size: float, rings: int = 64) -> DataFrame:
-    """(id, rid, d): the nearest right point (rid, rx, ry) of each left point (id, x, y); ties to the lowest rid.
-
-    Cells are searched ring by ring with doubled cell sizes until the distance found is within the ring; ``rings``
-    doublings cover any extent.
+    Left points meet the right points of the 3 by 3 cells around them. Those that have found enough within the cell size
+    are done; the rest goes on with doubled cells, so that dense places are searched closely and far ones widely. Every
+    ring ends in a checkpoint, and no ring looks at a done point again.
     """
-    todo, out = left.select("id", "x", "y"), None
+    keys = [group] if group else []
+    totals = right.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias("_need"))
+    rest = left.select(*keys, "id", "x", "y")
+    rest = checkpointed((rest.join(totals, keys) if keys else rest.crossJoin(F.broadcast(totals))).where("_need > 0"))
+    out, around = None, F.array(*(F.lit(i) for i in (-1, 0, 1)))
     for _ in range(rings):
-        step = F.sequence(F.lit(-1), F.lit(1))
-        at = todo.select("id", "x", "y", F.explode(F.transform(step, lambda s: s + cell("x", size))).alias("cx"))
-        at = at.select("id", "x", "y", "cx", F.explode(F.transform(step, lambda s: s + cell("y", size))).alias("cy"))
-        there = right.select("rid", "rx", "ry", cell("rx", size).alias("cx"), cell("ry", size).alias("cy"))
+        at = rest.select("*", F.explode(F.transform(around, lambda i: i + cell("x", size))).alias("cx"))
+        at = at.select("*", F.explode(F.transform(around, lambda i: i + cell("y", size))).alias("cy"))
+        there = right.select("*", cell("rx", size).alias("cx"), cell("ry", size).alias("cy"))
         d = F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))
-        best = at.join(there, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(d.alias("d"), "rid")).alias("b"))
-        found = best.where(F.col("b.d") <= size).select("id", "b.rid", "b.d")
-        out = found if out is None else out.union(found)
-        todo = todo.join(found, "id", "left_anti")
+        near = at.join(there, [*keys, "cx", "cy"]).withColumn("d", d).where(F.col("d") <= size).drop("cx", "cy")
+        own = Window.partitionBy("id")
+        ranked = near.withColumn("rank", F.row_number().over(own.orderBy("d", "rid"))).where(F.col("rank") <= k)
+        done = checkpointed(ranked.withColumn("_n", F.count("*").over(own)).where("_n = _need").drop("_n", "_need"))
+        out = done if out is None else out.unionByName(done)
+        rest = checkpointed(rest.join(done.select("id").distinct(), "id", "left_anti").select(rest.columns))
+        if rest.isEmpty():
+            break
         size *= 2
-        if todo.limit(1).count() == 0 or right.limit(1).count() == 0:
-            return out
     return out
 
 
+def nearest_in_group(left: DataFrame, right: DataFrame, group: str, k: int, size: float = 500.0) -> DataFrame:
+    """``k_nearest`` within groups."""
+    return k_nearest(left, right, k, size, group)
+
+
+def nearest(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """(id, rid, d): the nearest right point (rid, rx, ry) of each left point (id, x, y)."""
+    return k_nearest(left, right.select("rid", "rx", "ry"), 1, size).select("id", "rid", "d")
+
+
 def weighted_nearest(near: DataFrame, values: list[str], valid: str, floor: float = 100.0) -> DataFrame:
     """Inverse-distance means over ranked neighbours: sum v valid / max(d, floor)^2 over the sum of weights."""
     w = F.col(valid) / F.pow(F.greatest("d", F.lit(floor)), 2)
@@ -197,19 +210,109 @@ def footprint(sides: DataFrame, areas: DataFrame, spacing: float, reach: float,
     return areas.select(key).join(n, key, "left").select(key, F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
-def urban_land(parcels: DataFrame, areas: DataFrame, street: DataFrame, most: float = 50_000, cover: float = 0.3, least: float = 20_000, sample: int = 300) -> DataFrame:
-    """(poly, urban, source): parcel area under 5 ha per area; the calibrated street footprint where parcels cover
-    less than ``cover`` of it; areas of less than ``least`` are dropped. The calibration is the median ratio over a
-    hash-ordered sample of well-covered areas."""
-    own = parcels.where(F.col("area") < most).groupBy("poly").agg(F.sum("area").alias("own"))
+def urban_land(
+    parcels: DataFrame, areas: DataFrame, street: DataFrame,
+    most: float = 50_000, low: float = 0.3, good: float = 0.8, large: float = 100_000, least: float = 20_000, sample: int = 300,
+) -> DataFrame:
+    """(poly, urban, source): the land of parcels under 5 ha per area. Where all parcels cover less than ``low`` of an area
+    that has a street footprint, that footprint times a ratio: the median of parcel land by footprint over a hash-ordered
+    sample of the areas that are covered by more than ``good`` and have more than ``large`` of urban land. Areas of not
+    more than ``least`` are dropped."""
+    land = F.sum(F.when(F.col("area") < most, F.col("area")))
+    own = parcels.groupBy("poly").agg(F.coalesce(land, F.lit(0.0)).alias("own"), F.sum("area").alias("all"))
     both = areas.select("poly", "area").join(own, "poly", "left").join(street.toDF("poly", "street"), "poly", "left")
-    both = both.withColumn("own", F.coalesce("own", F.lit(0.0)))
-    good = both.where(F.col("own") >= cover * F.col("area")).where("street > 0").orderBy(F.xxhash64("poly"), "poly").limit(sample)
-    ratio = good.agg(F.median(F.col("own") / F.col("street")).alias("ratio"))
-    out = both.crossJoin(F.broadcast(ratio))
-    low = F.col("own") < cover * F.col("area")
-    out = out.select("poly", F.when(low, F.col("street") * F.col("ratio")).otherwise(F.col("own")).alias("urban"), F.when(low, "street").otherwise("parcels").alias("source"))
-    return out.where(F.col("urban") >= least)
+    both = both.na.fill(0.0, ["own", "all", "street"]).withColumn("cover", F.least(divided("all", "area"), F.lit(1.0)))
+    sure = both.where((F.col("cover") > good) & (F.col("own") > large)).orderBy(F.xxhash64("poly"), "poly").limit(sample)
+    ratio = sure.where("street > 0").agg(F.median(F.col("own") / F.col("street")).alias("ratio"))
+    replaced = (F.col("cover") < low) & (F.col("street") > 0) & F.col("ratio").isNotNull()
+    urban = F.when(replaced, F.col("street") * F.col("ratio")).otherwise(F.col("own"))
+    out = both.crossJoin(F.broadcast(ratio)).select("poly", urban.alias("urban"), F.when(replaced, "street").otherwise("parcels").alias("source"))
+    return out.where(F.col("urban") > least)
+
+
+def density(counts: DataFrame, areas: DataFrame, count: str, ground: str, out: str, key: str = "poly") -> DataFrame:
+    """(key, out): a count per square kilometre of a chosen ground in square metres; NULL where there is none."""
+    both = areas.select(key, ground).join(counts.select(key, count), key, "left")
+    return both.select(key, divided(F.coalesce(count, F.lit(0)) * 1e6, ground).alias(out))
+
+
+def filled_inside(points: DataFrame, outline: DataFrame, column: str, value, size: float) -> DataFrame:
+    """Points (id, x, y, ...) whose ``column`` is unknown and that lie inside the outline get ``value``; only they are
+    looked up."""
+    unknown = points.where(F.col(column).isNull())
+    inside = points_in(unknown, outline, size).select("id", F.lit(value).alias("_v"))
+    return points.join(inside, "id", "left").withColumn(column, F.coalesce(column, "_v")).drop("_v")
+
+
+def lines_meeting(lines: DataFrame, polygons: DataFrame, reach: float, size: float, key: str = "poly") -> DataFrame:
+    """(id, key): lines (id, x1, y1, x2, y2) that come within ``reach`` of a polygon: boxes are joined by cells, then a
+    line's end is inside, or a side is crossed or close."""
+    boxed = lambda df, r: df.select(
+        "*", cells_between(F.least("x1", "x2") - r, F.greatest("x1", "x2") + r, size).alias("cx")
+    ).select("*", cells_between(F.least("y1", "y2") - r, F.greatest("y1", "y2") + r, size).alias("cy"))
+    left = boxed(lines.select("id", "x1", "y1", "x2", "y2"), reach)
+    right = boxed(edges_of(polygons, key).drop("ring"), 0.0).toDF(key, "u1", "v1", "u2", "v2", "cx", "cy")
+    turn = lambda a, b, c, d, e, f: (c - a) * (f - b) - (d - b) * (e - a)
+    p, q, u, v = (tuple(F.col(f"{c}{k}") for c in n) for n, k in (("xy", 1), ("xy", 2), ("uv", 1), ("uv", 2)))
+    crossed = (turn(*p, *q, *u) * turn(*p, *q, *v) <= 0) & (turn(*u, *v, *p) * turn(*u, *v, *q) <= 0)
+
+    def gap(a, b, c):
+        """From point c to the segment a-b."""
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = F.coalesce(divided((c[0] - a[0]) * dx + (c[1] - a[1]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+        return F.hypot(c[0] - a[0] - t * dx, c[1] - a[1] - t * dy)
+
+    close = F.least(gap(p, q, u), gap(p, q, v), gap(u, v, p), gap(u, v, q)) <= reach
+    # Segments on one straight line that lie apart turn by nothing either: their boxes must meet.
+    boxes = (F.greatest("x1", "x2") >= F.least("u1", "u2")) & (F.greatest("u1", "u2") >= F.least("x1", "x2"))
+    boxes &= (F.greatest("y1", "y2") >= F.least("v1", "v2")) & (F.greatest("v1", "v2") >= F.least("y1", "y2"))
+    sides = left.join(right, ["cx", "cy"]).where((boxes & crossed) | close).select("id", key)
+    ends = points_in(lines.select("id", F.col("x1").alias("x"), F.col("y1").alias("y")), polygons, size, key)
+    return sides.union(ends.select("id", key)).distinct()
+
+
+def inner_points(polygons: DataFrame, key: str = "poly", rings: str = "rings") -> DataFrame:
+    """(key, x, y): a point inside: the middle of the widest stretch of the polygon's middle line."""
+    box = measures(polygons, key, rings).select(key, ((F.col("min_y") + F.col("max_y")) / 2).alias("y"))
+    cut = edges_of(polygons, key, rings).join(box, key).where("(y1 > y) <> (y2 > y)")
+    x = F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    lines = cut.groupBy(key, "y").agg(F.sort_array(F.collect_list(x)).alias("xs"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1),
+        lambda i: F.struct((F.get("xs", 2 * i + 1) - F.get("xs", 2 * i)).alias("w"), ((F.get("xs", 2 * i) + F.get("xs", 2 * i + 1)) / 2).alias("x")),
+    )
+    return lines.select(key, F.array_max(pairs)["x"].alias("x"), "y")
+
+
+def covered_share(polygons: DataFrame, areas: DataFrame, ground: DataFrame, size: float) -> DataFrame:
+    """(poly, share): the area of small polygons (id, rings) by the area that holds their inner point, over the ground
+    (poly, ground), at most 1."""
+    at = inner_points(polygons, "id").join(measures(polygons, "id").select("id", "area"), "id")
+    inside = points_in(at.select("id", "x", "y"), areas, size).join(at.select("id", "area"), "id")
+    sums = inside.groupBy("poly").agg(F.sum("area").alias("_a"))
+    share = F.least(divided(F.coalesce("_a", F.lit(0.0)), "ground"), F.lit(1.0))
+    return ground.join(sums, "poly", "left").select("poly", share.alias("share"))
+
+
+def weighted_centres(points: DataFrame, polygons: DataFrame, weight: str, size: float) -> DataFrame:
+    """(poly, x, y): the weighted mean place of an area's points (id, x, y, weight), else a point inside the area."""
+    w = F.col(weight)
+    met = points_in(points, polygons, size).join(points.select("id", "x", "y", weight), "id")
+    mean = met.groupBy("poly").agg(divided(F.sum(w * F.col("x")), F.sum(w)).alias("_x"), divided(F.sum(w * F.col("y")), F.sum(w)).alias("_y"))
+    out = inner_points(polygons).join(mean, "poly", "left")
+    return out.select("poly", F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y"))
+
+
+def without_empty_giants(blocks: DataFrame, area: str, buildings: str, most: float = 10e6, least: int = 5) -> DataFrame:
+    """Blocks without those that are over ``most`` square metres and hold fewer than ``least`` buildings."""
+    return blocks.where(~((F.col(area) > most) & (F.col(buildings) < least)))
+
+
+def within_boxes(points: DataFrame, boxes: list[tuple[float, float, float, float]]) -> DataFrame:
+    """Points inside any of a few fixed boxes (west, south, east, north)."""
+    inside = [F.col("x").between(w, e) & F.col("y").between(s, n) for w, s, e, n in boxes]
+    return points.where(reduce(lambda a, b: a | b, inside))
 
 
 def dissolved(polygons: DataFrame, upper: str, key: str = "poly") -> DataFrame:
@@ -267,16 +370,33 @@ def with_rectangle(polygons: DataFrame, rings: str = "rings") -> DataFrame:
     return flat.withColumn("_r", rectangle("_xs", "_ys")).select("*", "_r.*").drop("_xs", "_ys", "_r")
 
 
+#: A parcel of more than this area, without homes, is a road if it is within all bounds of one shape.
+ROAD_LEAST_AREA = 120.0
+#: Per shape: (measure, bound, whether the bound is a minimum).
+ROAD_SHAPES = {
+    "strip": (("elongation", 3.5, True), ("lo", 40.0, False)),
+    "branching": (("compactness", 0.16, False), ("width", 40.0, False)),
+    "hollow": (("fill", 0.4, False), ("width", 30.0, False)),
+    "thin": (("elongation", 5.0, True), ("width", 30.0, False)),
+}
+#: Bounds that still count; the other maxima are strict.
+ROAD_INCLUSIVE = {("strip", "lo")}
+
+
 def road_like(parcels: DataFrame, residential: DataFrame, key: str = "poly") -> DataFrame:
-    """Parcels with their measures, the rectangle and ``road``: strips, thin or branching shapes that hold no homes."""
+    """Parcels with their measures, the rectangle and ``road``: any of ``ROAD_SHAPES``, large enough, without homes."""
     m = with_rectangle(parcels).join(measures(parcels, key), key)
-    m = m.join(residential.select(key).distinct().withColumn("_res", F.lit(True)), key, "left")
-    long_ = F.col("hi") / F.greatest("lo", F.lit(0.1))
-    fill = F.col("area") / F.greatest(F.col("lo") * F.col("hi"), F.lit(1.0))
-    shape = (
-        ((long_ >= 3.5) & (F.col("lo") <= 40))
-        | ((F.col("compactness") < 0.16) & (F.col("width") < 40))
-        | ((fill < 0.4) & (F.col("width") < 30))
-        | ((long_ >= 5) & (F.col("width") < 30))
-    )
-    return m.withColumn("road", F.col("_res").isNull() & (F.col("area") > 120) & shape).drop("_res")
+    homes = residential.select(key).distinct().withColumn("_home", F.lit(True))
+    measure = {
+        "elongation": F.col("hi") / F.greatest("lo", F.lit(0.1)), "lo": F.col("lo"), "compactness": F.col("compactness"), "width": F.col("width"),
+        "fill": F.col("area") / F.greatest(F.col("lo") * F.col("hi"), F.lit(1.0)),
+    }
+
+    def bounded(shape: str, name: str, bound: float, minimum: bool) -> Column:
+        if minimum:
+            return measure[name] >= bound
+        return measure[name] <= bound if (shape, name) in ROAD_INCLUSIVE else measure[name] < bound
+
+    shapes = [reduce(lambda a, b: a & b, (bounded(s, *x) for x in bounds)) for s, bounds in ROAD_SHAPES.items()]
+    road = reduce(lambda a, b: a | b, shapes) & (F.col("area") > ROAD_LEAST_AREA) & F.col("_home").isNull()
+    return m.join(homes, key, "left").withColumn("road", road).drop("_home")

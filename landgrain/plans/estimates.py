@@ -421,11 +421,14 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("city", "district", "built", F.lit(1.0).alias("one"), F.col("floors").cast("double").alias("floors"))
 
 
-def stock_sql(market: str, weight: str, name: str) -> str:
+REGISTER = "reg JOIN (SELECT bld, min(block) AS block FROM a GROUP BY bld) USING (bld) JOIN places USING (block)"
+
+
+def stock_sql(market: str, weight: str, name: str, source: str = REGISTER) -> str:
     """CTE ``name``({market}, year, h, stock): de-heaped, scaled and accumulated vintages of the register."""
     n = name
     return f"""
-, {n}u AS (SELECT {market}, built, CAST({weight} AS DOUBLE) AS w FROM reg JOIN (SELECT bld, min(block) AS block FROM a GROUP BY bld) USING (bld) JOIN places USING (block)),
+, {n}u AS (SELECT {market}, built, CAST({weight} AS DOUBLE) AS w FROM {source}),
 {n}g AS (SELECT {market}, CAST(yr AS INTEGER) AS year FROM (SELECT DISTINCT {market} FROM {n}u), (SELECT unnest(range(1928, 2023)) AS yr)),
 {n}h0 AS (SELECT g.{market}, g.year, coalesce(sum(u.w), 0) AS h, (g.year + 2) // 5 AS k FROM {n}g g LEFT JOIN {n}u u ON u.{market} = g.{market} AND u.built = g.year GROUP BY ALL),
 {n}x AS (SELECT {market}, k, greatest(max(h) FILTER (WHERE year % 5 = 0) - median(h) FILTER (WHERE year % 5 <> 0), 0) AS x, count(*) AS c FROM {n}h0 GROUP BY ALL),

@@ -67,6 +67,16 @@ def monthly_series(df: DataFrame, date: str | Column, value: str) -> DataFrame:
     return df.groupBy(month.alias("month")).agg(F.avg(value).alias("value"))
 
 
+def read_parts(spark: SparkSession, paths: list[str], schema: str, **options) -> DataFrame:
+    """A table that came in parts: all files by one scan, columns by name."""
+    return spark.read.schema(schema).options(header=True, **options).csv(paths)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A delimited table with names in the first line of each file; text is quoted where it must be."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Nested documents, one a line; NaN and infinities as null."""
     finite_all(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

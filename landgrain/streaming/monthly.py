@@ -12,9 +12,9 @@ def deduplicated(deals: DataFrame, time: str, keys: list[str], late: str = "30 d
 
 
 def deals_per_month(deals: DataFrame, time: str, late: str | None = "30 days") -> DataFrame:
-    """(month, n) by event time; months are cut from daily windows, which close with the watermark.
+    """(month, n) by event time, one row per month. For output mode ``update`` or ``complete``: a calendar month is no fixed
+    window, so a count is final when the watermark has passed the month's end, and the state of a month stays.
 
     ``late`` is None for a stream that has its watermark already, as after ``deduplicated``."""
     marked = deals if late is None else deals.withWatermark(time, late)
-    days = marked.groupBy(F.window(time, "1 day").alias("w")).agg(F.count("*").alias("n"))
-    return days.select(F.date_format("w.start", "yyyy-MM").alias("month"), "n")
+    return marked.groupBy(F.date_format(time, "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))

@@ -168,8 +168,55 @@ def test_footprint_and_urban_land(spark):
     area = spark.createDataFrame([(1, [[{"x": float(x), "y": float(y)} for x, y in [(-100, -100), (300, -100), (300, 300), (-100, 300)]]])], schema)
     got = P.footprint(sides, area, 2.0, 20.0).first().area
     assert got == pytest.approx(100 * 40 + math.pi * 400, rel=0.02)
-    parcels = spark.createDataFrame([(1, 30_000.0), (1, 20_000.0), (2, 1_000.0), (1, 90_000.0)], "poly int, area double")
-    areas = spark.createDataFrame([(1, 100_000.0), (2, 200_000.0)], "poly int, area double")
-    street = spark.createDataFrame([(1, 40_000.0), (2, 50_000.0)], "poly int, a double")
-    got = {r.poly: (r.urban, r.source) for r in P.urban_land(parcels, areas, street).collect()}
-    assert got == {1: (50_000.0, "parcels"), 2: (62_500.0, "street")}
+    # 1 is covered well and calibrates (80,000 of parcel land under 5 ha by 40,000 of footprint); 2 is covered little and has
+    # streets, 3 is covered little and has none, 4 is covered well by one parcel of 9 ha, which is no urban land.
+    parcels = spark.createDataFrame([(1, 45_000.0), (1, 40_000.0), (1, 60_000.0), (2, 1_000.0), (3, 25_000.0), (4, 90_000.0)], "poly int, area double")
+    areas = spark.createDataFrame([(1, 150_000.0), (2, 200_000.0), (3, 200_000.0), (4, 100_000.0)], "poly int, area double")
+    street = spark.createDataFrame([(1, 42_500.0), (2, 50_000.0), (3, 0.0), (4, 10_000.0)], "poly int, a double")
+    got = {r.poly: (r.urban, r.source) for r in P.urban_land(parcels, areas, street, large=80_000).collect()}
+    assert got == {1: (85_000.0, "parcels"), 2: (100_000.0, "street"), 3: (25_000.0, "parcels")}
+
+
+def test_node_shares(spark):
+    """A cul-de-sac, a bend, two three-way nodes and two four-way ones: bends count in neither share."""
+    rows = [(1, k) for k in (1, 2, 3, 3, 4, 5)] + [(2, k) for k in (1, 1, 2, 3)]
+    got = {r.z: r for r in N.node_shares(spark.createDataFrame(rows, "z int, streets int"), ["z"]).collect()}
+    assert got[1].dead_ends == pytest.approx(1 / 5) and got[1].four_way is None and got[1].nodes == 6
+    assert got[2].dead_ends is None and got[2].four_way is None
+    got = N.node_shares(spark.createDataFrame([(1, k) for k in (3, 3, 3, 4, 4, 2)], "z int, streets int"), ["z"]).first()
+    assert got.four_way == pytest.approx(2 / 5) and got.dead_ends == 0.0
+
+
+def test_nearest_of_far_and_missing_points(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0, "a"), (2, 9e5, 9e5, "a"), (3, 5.0, 5.0, "b"), (4, 5.0, 5.0, "c")], "id int, x double, y double, g string")
+    right = spark.createDataFrame([(7, 3.0, 4.0, "a"), (8, -3.0, 4.0, "a"), (9, 1.0, 1.0, "b")], "rid int, rx double, ry double, g string")
+    got = sorted((r.id, r.rid, r.rank, round(r.d, 3)) for r in P.nearest_in_group(left, right, "g", 2, 2.0).collect())
+    far = round(math.hypot(9e5 - 3, 9e5 - 4), 3)
+    assert [x[:3] for x in got] == [(1, 7, 1), (1, 8, 2), (2, 7, 1), (2, 8, 2), (3, 9, 1)] and got[2][3] == far
+    assert P.nearest(left, right.where("rid = 0"), 1.0).count() == 0
+
+
+def test_lines_and_inner_points(spark):
+    schema = "poly int, rings array<array<struct<x:double,y:double>>>"
+    pts = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    u = pts((0, 0), (30, 0), (30, 30), (20, 30), (20, 10), (10, 10), (10, 30), (0, 30))
+    poly = spark.createDataFrame([(1, [u]), (2, [pts((100, 0), (110, 0), (110, 10), (100, 10))])], schema)
+    got = {r.poly: (r.x, r.y) for r in P.inner_points(poly).collect()}
+    assert got[2] == (105, 5) and got[1][1] == 15 and (0 < got[1][0] < 10 or 20 < got[1][0] < 30)
+    lines = [(1, -5.0, 20.0, 40.0, 20.0), (2, 5.0, 5.0, 6.0, 6.0), (3, 14.0, 20.0, 16.0, 20.0), (4, 50.0, 0.0, 90.0, 0.0), (5, 93.0, 5.0, 97.0, 5.0), (6, 0.0, 40.0, 0.0, 50.0)]
+    lines = spark.createDataFrame(lines, "id int, x1 double, y1 double, x2 double, y2 double")
+    found = lambda r: sorted((x.id, x.poly) for x in P.lines_meeting(lines, poly, r, 7.0).collect())
+    assert found(0.0) == [(1, 1), (2, 1)] and found(3.5) == [(1, 1), (2, 1), (5, 2)]
+
+
+def test_junctions_of_contacts(spark):
+    """Three parcels at one place, a tip-to-tip continuation, a T, and a parallel strip."""
+    found = spark.createDataFrame(
+        [(1, 2, 0.0, 0.0, 5.0), (2, 3, 1.0, 0.0, 5.0), (4, 5, 500.0, 0.0, 5.0), (4, 6, 1000.0, 0.0, 5.0), (7, 8, 2000.0, 0.0, 90.0)],
+        "a int, b int, x double, y double, shared double",
+    )
+    axes = [(1, 0.0, 50.0, 100.0, 0.0, 1.0), (2, -50.0, 0.0, 100.0, 1.0, 0.0), (3, 50.0, 0.0, 100.0, 1.0, 0.0), (4, 750.0, 0.0, 500.0, 1.0, 0.0)]
+    axes += [(5, 450.0, 0.0, 100.0, -1.0, 0.0), (6, 1000.0, 50.0, 100.0, 0.0, 1.0), (7, 2000.0, 0.0, 200.0, 1.0, 0.0), (8, 2000.0, 0.0, 200.0, 1.0, 0.0)]
+    axes = spark.createDataFrame(axes, "poly int, cx double, cy double, hi double, ux double, uy double")
+    got = sorted((r.x, r.degree, r.kind) for r in N.junctions_clean(found, axes).collect())
+    assert got == [(0.5, 3, 0), (1000.0, 2, 1)]

@@ -1,4 +1,4 @@
-"""Every query of the library against its SQL in DuckDB; those without SQL must give rows."""
+"""Every query of the library against its SQL in DuckDB."""
 
 import duckdb
 import pandas as pd
@@ -28,10 +28,5 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-SLOW = {"area_indices_all_levels", "panel_supply_iv"}
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - SLOW))
-def test_gives_rows(spark, name):
-    df = catalog.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
