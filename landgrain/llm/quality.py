@@ -117,4 +117,5 @@ def judged(
         for texts in batches:
             yield pd.DataFrame([clean(x, most_lost, least_words) for x in texts], columns=names)
 
-    return docs.withColumn(out, judge(F.col(text)))
+    # Spark evaluates a deterministic function again for each filter on its result; this one is to run once.
+    return docs.withColumn(out, judge.asNondeterministic()(F.col(text)))

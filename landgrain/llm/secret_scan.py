@@ -145,7 +145,7 @@ def build_index(docs: DataFrame, trigrams: list[str], text: str = "text") -> Dat
                 out.append([codes[i - 1][0] for i in np.flatnonzero(np.bincount(hit, minlength=1)) if i])
             yield pd.Series(out)
 
-    lists = docs.where("doc_id is not null").select("doc_id", present(F.col(text)).alias("trigrams"))
+    lists = docs.where("doc_id is not null").select("doc_id", present.asNondeterministic()(F.col(text)).alias("trigrams"))
     return staged(lists.select("doc_id", F.explode("trigrams").alias("trigram")), "trigrams")
 
 
@@ -196,7 +196,7 @@ def scanned(docs: DataFrame, out: str = "scan", rules: tuple[Rule, ...] = RULES,
             rows = [summary(x or "", verify(x or "", int(m), compiled), rules) for x, m in zip(texts, masks)]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return joined.withColumn(out, scan(F.col(text), asked)).drop(key, mask)
+    return joined.withColumn(out, scan.asNondeterministic()(F.col(text), asked)).drop(key, mask)
 
 
 def summary(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> tuple:

@@ -32,7 +32,7 @@ def test_line_verdicts():
     fails = ["Home | News | Sport | More", "BUY!! NOW!! FAST!! HERE!!", "wow*** such$$$ text%%%", "All rights reserved.", "one two three four five"]
     keeps = ["This is a sentence.", "Title", "He said “no.”", "It ends. here without", "First, then more words; done!"]
     assert all(map(quality.line_fails, fails)) and not any(map(quality.line_fails, keeps))
-    good = "\n".join(f"Some words make line number {i} a real sentence here." for i in range(9))
+    good = "\n".join(" ".join(f"word{i}x{k}" for k in range(9)) + "." for i in range(9))
     n, *_, failed, lost, kept, cleaned = quality.clean(good + "\nHome | News | Sport | More", 0.5, 20)
     assert kept and not failed and cleaned == good and 0 < lost < 0.1
 
