@@ -22,52 +22,92 @@ from landgrain.operators.components import checkpointed
 MOST = 5_000  # levels of all small dimensions together
 
 
-def features(columns: list[str], smalls: list[str]) -> Column:
-    """The row's sparse features: the constant, each numeric column, each small dimension's level."""
-    one = [F.struct(F.lit("n").alias("l"), F.lit(1.0).alias("v"))]
-    xs = [F.struct(F.lit(f"c:{c}").alias("l"), F.col(c).cast("double").alias("v")) for c in columns]
-    ds = [
-        F.struct(F.concat(F.lit(f"{k}:"), F.col(d).cast("string")).alias("l"), F.lit(1.0).alias("v"))
-        for k, d in enumerate(smalls)
-    ]
-    return F.array(*one, *xs, *ds)
-
-
-def pairs(items: str, value) -> Column:
-    both = F.transform(
-        items,
-        lambda a: F.transform(
-            F.filter(items, lambda b: b["l"] >= a["l"]),
-            lambda b: F.struct(a["l"].alias("i"), b["l"].alias("j"), value(a["v"], b["v"]).alias("v")),
-        ),
+def labels(smalls: list[str]) -> list[Column]:
+    """The level of each small dimension with the dimension's number in front."""
+    return [F.concat(F.lit(f"{k}:"), F.col(d).cast("string")).alias(f"_d{k}") for k, d in enumerate(smalls)]
+
+
+def own_products(rows: DataFrame, group: list[str], n_dims: int, columns: list[str]) -> DataFrame:
+    """(group..., i, j, v): cross products of the features of all rows, by grouping sets: counts of pairs of levels, sums of
+    columns by level, products of columns."""
+    dims = [f"_d{k}" for k in range(n_dims)]
+    pairs = [(a, b) for a in range(n_dims) for b in range(a + 1, n_dims)]
+    sets = [[*group, dims[a], dims[b]] for a, b in pairs] + [[*group, d] for d in dims] + [list(group)]
+    cells = [(a, b) for a in range(len(columns)) for b in range(a, len(columns))]
+    w, c = F.col("_w"), [F.col(f"_c{k}") for k in range(len(columns))]
+    sums = rows.groupingSets([[F.col(x) for x in one] for one in sets], *group, *dims).agg(
+        F.sum(w).alias("_w"), *(F.sum(w * x).alias(f"_s{k}") for k, x in enumerate(c)), *(F.sum(w * c[a] * c[b]).alias(f"_p{a}_{b}") for a, b in cells)
     )
-    return F.flatten(both)
+    entry = lambda i, j, v: F.struct(i.alias("i"), j.alias("j"), v.alias("v"))
+    name = [F.lit(f"c:{x}") for x in columns]
+    low, high = F.coalesce(*dims), F.coalesce(*reversed(dims))
+    known = sum((F.col(d).isNotNull().cast("int") for d in dims), F.lit(0))
+    order = sorted(range(len(columns)), key=lambda k: columns[k])
+    place = {k: n for n, k in enumerate(order)}
+    first = lambda a, b: (a, b) if place[a] <= place[b] else (b, a)
+    two = F.array(entry(low, high, F.col("_w")))
+    one = F.array(entry(low, low, F.col("_w")), *(entry(low, name[k], F.col(f"_s{k}")) for k in range(len(columns))))
+    none = F.array(*(entry(name[first(a, b)[0]], name[first(a, b)[1]], F.col(f"_p{a}_{b}")) for a, b in cells))
+    each = F.when(known == 2, two).when(known == 1, one).otherwise(none)
+    return sums.select(*group, F.explode(each).alias("p")).select(*group, "p.*")
+
+
+def mean_products(rows: DataFrame, group: list[str], n_dims: int, columns: list[str]) -> DataFrame:
+    """(group..., i, j, v): what the means of the large groups take off, from each group's sums in blocks of matrices."""
+    one = lambda label, v: F.struct(label.alias("l"), v.cast("double").alias("v"))
+    features = [one(F.lit("n"), F.lit(1.0)), *(one(F.col(f"_d{k}"), F.lit(1.0)) for k in range(n_dims))]
+    features += [one(F.lit(f"c:{c}"), F.col(f"_c{k}")) for k, c in enumerate(columns)]
+    sums = rows.select(*group, "_big", "_w", F.explode(F.array(*features)).alias("f"))
+    sums = sums.groupBy(*group, "_big", F.col("f.l").alias("l")).agg(F.sum(F.col("_w") * F.col("f.v")).alias("v"))
+    # At most one entry per level of a small dimension: bounded by the Gram matrix, not by the group.
+    lists = sums.groupBy(*group, "_big").agg(F.collect_list(F.struct("l", "v")).alias("s"))
+    lists = lists.select(*group, F.transform("s", lambda x: x["l"]).alias("l"), F.transform("s", lambda x: x["v"]).alias("v"))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "i string", "j string", "v double"])
+
+    def products(part: pd.DataFrame) -> pd.DataFrame:
+        sizes = part["l"].map(len).to_numpy()
+        code, names = pd.factorize(np.concatenate(part["l"].to_numpy()), sort=True)
+        value, row = np.concatenate(part["v"].to_numpy()), np.repeat(np.arange(len(part)), sizes)
+        n = len(names)
+        constant = int(np.searchsorted(names, "n"))
+        total, step = np.zeros((n, n)), max(1, 4_000_000 // n)
+        for lo in range(0, len(part), step):
+            some = (row >= lo) & (row < lo + step)
+            block = np.zeros((min(step, len(part) - lo), n))
+            block[row[some] - lo, code[some]] = value[some]
+            weight = block[:, constant]
+            block = block[weight > 0]
+            total += block.T @ (block / block[:, [constant]])
+        i, j = np.nonzero(np.triu(total != 0))
+        return pd.DataFrame({"i": names[i], "j": names[j], "v": -total[i, j]})
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            if not group:
+                yield products(batch)
+                continue
+            for key, part in batch.groupby(list(group), dropna=False):
+                yield products(part).assign(**dict(zip(group, key)))[[*group, "i", "j", "v"]]
+
+    return lists.mapInPandas(multiply, schema)
 
 
 def gram(
     df: DataFrame, columns: list[str], absorb: list[str], weight: str | None = None, group: list[str] = ()
 ) -> DataFrame:
-    """(group..., i, j, v): weighted cross products of all features, less those of the means of the large groups.
+    """(group..., i, j, v), i before j: weighted cross products of all features, less those of the means of the large groups.
 
     ``absorb`` names the large dimension first. Rows that lack a column, level or weight are left out.
     """
     group, (big, *smalls) = list(group), absorb
     needed = [*columns, *absorb, *([weight] if weight else [])]
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = df.dropna(subset=needed).select(
-        *group, F.col(big).alias("_big"), w.alias("_w"), features(columns, smalls).alias("_f")
-    )
-    own = rows.select(*group, "_w", F.explode(pairs("_f", lambda a, b: a * b)).alias("p"))
-    own = own.select(*group, "p.i", "p.j", (F.col("_w") * F.col("p.v")).alias("v"))
-    sums = rows.select(*group, "_big", "_w", F.explode("_f").alias("f"))
-    sums = sums.groupBy(*group, "_big", F.col("f.l").alias("l")).agg(F.sum(F.col("_w") * F.col("f.v")).alias("v"))
-    # At most one entry per level of a small dimension: bounded by the Gram matrix, not by the group.
-    lists = sums.groupBy(*group, "_big").agg(F.collect_list(F.struct("l", "v")).alias("s"))
-    size = F.element_at(F.map_from_entries("s"), "n")
-    means = lists.withColumn("_n", size).where("_n > 0")
-    means = means.select(*group, "_n", F.explode(pairs("s", lambda a, b: a * b)).alias("p"))
-    means = means.select(*group, "p.i", "p.j", (-F.col("p.v") / F.col("_n")).alias("v"))
-    parts = [x.groupBy(*group, "i", "j").agg(F.sum("v").alias("v")) for x in (own, means)]
+    values = [F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(columns)]
+    rows = df.dropna(subset=needed).select(*group, F.col(big).alias("_big"), w.alias("_w"), *labels(smalls), *values)
+    parts = [f(rows, group, len(smalls), columns) for f in (own_products, mean_products)]
     return parts[0].unionByName(parts[1]).groupBy(*group, "i", "j").agg(F.sum("v").alias("v"))
 
 
