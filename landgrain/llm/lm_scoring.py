@@ -3,15 +3,16 @@
 The states emit symbols: the ``SYMBOLS`` most frequent words, ``CLASSES`` suffix classes for all other words, and the
 end of a text. A word inside a class has the probability (c + 0.5) / (C + 0.5 (V + 1)) with its training count c, the
 class's tokens C and words V, so the model covers every string. Word counts are taken over the whole training corpus
-in Spark. Expected counts are summed over partitions; one Baum-Welch round reads one share of the training texts
-(shares ``ROUNDS``, every text in exactly one), and each round's counts join those before it.
+in Spark. Texts become chains of symbols once, which are staged; each of the ``ROUNDS`` Baum-Welch rounds reads the chains
+of all training texts, sums the expected counts over partitions, and starts its counts anew.
 
 Only the model is broadcast, and its size is bounded by the constants below. Words beyond the ``HEAD`` most frequent
 ones get their counts by a join.
 
 Defined results: a null text is empty; an empty text is one end token; a row without doc_id is scored and not learnt
 from; repeated rows are learnt and scored one by one; with no training text every count is 0; other columns are not
-read. For Baum-Welch alone, texts are cut every ``CUT`` words; scoring never cuts.
+read. No text is cut: a long chain is worked through in blocks of ``BLOCK`` steps, of which the forward recursion keeps the
+first state and is repeated on the way back.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from landgrain.llm.common import staged
 
 STATES, SYMBOLS, CLASSES, HEAD = 8, 16_384, 2_048, 200_000
-ROUNDS = ((0, 1), (1, 2), (2, 4), (4, 16))  # shares of 16
-CUT, CELLS, PARTIAL = 50_000, 200_000, 400_000
+ROUNDS, BLOCK = 3, 4096
+CELLS, PARTIAL = 500_000, 400_000
 END = b""
 PRIOR = 200.0  # strength of the corpus distribution in each state's emissions
 
@@ -140,7 +142,7 @@ def lookup(model: Model) -> Lookup:
 
 def symbols(words: list[bytes], at: np.ndarray, model: Model) -> np.ndarray:
     """The symbols of a text, its end included."""
-    out = np.empty(len(words) + 1, np.int64)
+    out = np.empty(len(words) + 1, "<u2")
     out[-1] = len(model.corpus) - 1
     known = at >= 0
     out[:-1][known] = model.symbol[at[known]]
@@ -159,13 +161,36 @@ def grouped(chains: list[np.ndarray]) -> Iterator[list[int]]:
 
 
 def padded(chains: list[np.ndarray], lo: int, hi: int) -> np.ndarray:
-    out = np.zeros((len(chains), hi - lo), np.int64)
-    for row, x in zip(out, chains):
+    """Steps by chains, so that what belongs to one step lies together."""
+    out = np.zeros((hi - lo, len(chains)), np.int64)
+    for k, x in enumerate(chains):
         part = x[lo:hi]
-        row[: len(part)] = part
+        out[: len(part), k] = part
     return out
 
 
+def active(sizes: np.ndarray, lo: int, hi: int) -> list[int]:
+    """For each step how many of the chains, longest first, have it."""
+    return np.searchsorted(-sizes, -np.arange(lo, hi), "left").tolist()
+
+
+def forward(a: np.ndarray | None, emit: np.ndarray, n: list[int], move: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled forward recursion over one block: (state probabilities, scales); ``a``: the states before the block."""
+    one, f = np.ones((emit.shape[2], 1), emit.dtype), emit.dtype
+    out, scale = np.zeros(emit.shape, f), np.ones((*emit.shape[:2], 1), f)
+    for t, k in enumerate(n):
+        own = out[t, :k]
+        if a is None:
+            own[:] = start
+        else:
+            np.matmul(a[:k], move, out=own)
+        own *= emit[t, :k]
+        np.matmul(own, one, out=scale[t, :k])
+        own /= scale[t, :k]
+        a = own
+    return out, scale
+
+
 def log_likelihood(chains: list[np.ndarray], model: Model, block: int = 512) -> np.ndarray:
     """log10 probability of each symbol chain: forward recursion, rescaled at every step, in blocks of time."""
     out = np.zeros(len(chains))
@@ -175,90 +200,87 @@ def log_likelihood(chains: list[np.ndarray], model: Model, block: int = 512) ->
         total, a = np.zeros(len(group)), None
         for lo in range(0, sizes[0], block):
             hi = min(lo + block, sizes[0])
-            n_block = int((sizes > lo).sum())
-            emit = model.emit[padded(group[:n_block], lo, hi)]
-            for t in range(lo, hi):
-                n = int((sizes > t).sum())
-                prior = np.tile(model.start, (n, 1)) if a is None else a[:n] @ model.move
-                a = prior * emit[:n, t - lo]
-                scale = a.sum(1)
-                a /= scale[:, None]
-                total[:n] += np.log10(scale)
+            n = active(sizes, lo, hi)
+            states, scale = forward(a, model.emit[padded(group[: n[0]], lo, hi)], n, model.move, model.start)
+            total[: n[0]] += np.log10(scale[:, :, 0]).sum(0)
+            a = states[-1]
         out[own] = total
     return out
 
 
-def expected_counts(chains: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: the expected emissions, moves and starts over the chains."""
-    emits, moves, starts = np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros(STATES)
+def expected_counts(chains: list[np.ndarray], model: Model, block: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch: the expected emissions, moves and starts over the chains, in single precision per chain."""
+    block, f = block or BLOCK, np.float32
+    table, move, start = model.emit.astype(f), model.move.astype(f), model.start.astype(f)
+    emits, moves, starts = np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros(len(move))
     for own in grouped(chains):
         group = [chains[i] for i in own]
         sizes = np.array([len(x) for x in group])
-        steps = int(sizes[0])
-        symbol = padded(group, 0, steps)
-        active = [int((sizes > t).sum()) for t in range(steps)]
-        emit = model.emit[symbol]
-        forward, scale = np.zeros((steps, len(group), STATES)), np.ones((steps, len(group)))
-        for t in range(steps):
-            n = active[t]
-            prior = model.start if t == 0 else forward[t - 1, :n] @ model.move
-            a = prior * emit[:n, t]
-            scale[t, :n] = a.sum(1)
-            forward[t, :n] = a / scale[t, :n, None]
-        backward = np.ones((len(group), STATES))
-        for t in range(steps - 1, -1, -1):
-            n = active[t]
-            gone = active[t + 1] if t + 1 < steps else 0
-            if gone:
-                ahead = emit[:gone, t + 1] * backward[:gone] / scale[t + 1, :gone, None]
-                moves += forward[t, :gone].T @ ahead
-                backward[:gone] = ahead @ model.move.T
-            forward[t, :n] *= backward[:n]
-        starts += forward[0].sum(0)
-        flat, mask = symbol.T.ravel(), (np.arange(steps)[:, None] < sizes).ravel()
-        for k in range(STATES):
-            emits[:, k] += np.bincount(flat[mask], forward[:, :, k].ravel()[mask], len(emits))
+        blocks = [(lo, min(lo + block, sizes[0])) for lo in range(0, sizes[0], block)]
+        before: list[np.ndarray | None] = [None]
+        for lo, hi in blocks[:-1]:
+            n = active(sizes, lo, hi)
+            before.append(forward(before[-1], table[padded(group[: n[0]], lo, hi)], n, move, start)[0][-1].copy())
+        behind, ahead = np.ones((len(group), len(move)), f), None
+        for (lo, hi), a in zip(reversed(blocks), reversed(before)):
+            n = active(sizes, lo, hi)
+            symbol = padded(group[: n[0]], lo, hi)
+            emit = table[symbol]
+            states, scale = forward(a, emit, n, move, start)
+            emit /= scale
+            for t in range(hi - lo - 1, -1, -1):
+                k = n[t]
+                if ahead is not None:
+                    gone = len(ahead)
+                    moves += states[t, :gone].T @ ahead
+                    behind[:gone] = ahead @ move.T
+                states[t, :k] *= behind[:k]
+                ahead = emit[t, :k] * behind[:k]
+            real = (np.arange(lo, hi)[:, None] < sizes[: n[0]]).ravel()
+            flat, weights = symbol.ravel()[real], states.reshape(-1, len(move))[real]
+            for k in range(len(move)):
+                emits[:, k] += np.bincount(flat, weights[:, k], len(emits))
+        starts += states[0].sum(0)
     return emits, moves * model.move, starts
 
 
 STATS = [f"s{k}" for k in range(STATES)]
 
 
-def trained(train: DataFrame, counts: DataFrame, text: str = "text") -> Model:
-    model = Model(counts)
+def chains_of(batch: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in batch["chain"]]
+
+
+def learnt(chains: DataFrame, model: Model) -> Model:
+    """``ROUNDS`` of Baum-Welch over all ``chains`` (chain)."""
     size = len(model.corpus)
-    emits, moves, starts = np.zeros((size, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(16))
-    for lo, hi in ROUNDS:
-        shared = train.sparkSession.sparkContext.broadcast(model)
+    for _ in range(ROUNDS):
+        shared = chains.sparkSession.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            model = shared.value
-            places, sums, chains, held = lookup(model), None, [], 0
+            model, sums, held, n = shared.value, None, [], 0
 
             def add():
                 nonlocal sums
-                new = expected_counts(chains, model)
+                new = expected_counts(held, model)
                 sums = new if sums is None else tuple(a + b for a, b in zip(sums, new))
 
             for batch in batches:
-                for x in batch[text]:
-                    words = words_of(x)
-                    chain = symbols(words, np.fromiter(map(places.__getitem__, words), np.int64, len(words)), model)
-                    chains += [chain[i : i + CUT] for i in range(0, len(chain), CUT)]
-                    held += len(chain)
-                    if held > 4 * CELLS:
+                for x in chains_of(batch):
+                    held.append(x)
+                    n += len(x)
+                    if n > 4 * CELLS:
                         add()
-                        chains, held = [], 0
-            if chains:
+                        held, n = [], 0
+            if held:
                 add()
             if sums is not None:
                 rows = np.r_[sums[0], sums[1], sums[2][None]]
                 full = np.flatnonzero(rows.sum(1))
                 yield pd.DataFrame(rows[full], columns=STATS).assign(place=full)
 
-        part = train.where((share >= lo) & (share < hi)).select(text)
-        part = part.mapInPandas(expect, ", ".join(f"{s} double" for s in STATS) + ", place long")
+        emits, moves, starts = np.zeros((size, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
+        part = chains.select("chain").mapInPandas(expect, ", ".join(f"{s} double" for s in STATS) + ", place long")
         # One row per symbol and state comes back: bounded by the model's size.
         for r in part.groupBy("place").agg(*(F.sum(s).alias(s) for s in STATS)).collect():
             at, x = r["place"], np.array(r[1:])
@@ -273,11 +295,12 @@ def trained(train: DataFrame, counts: DataFrame, text: str = "text") -> Model:
     return model
 
 
-SCHEMA = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<binary>"
+SCHEMA = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inside double, tail array<binary>, chain binary"
+HEAD_COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def head_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Per text everything but the counts of its words beyond the head, which are listed in ``tail``."""
+    """Per text everything but the chain's probability and the counts of its words beyond the head, listed in ``tail``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,42 +310,53 @@ def head_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo in range(0, len(batch), 500):
-                part = batch.iloc[lo : lo + 500]
-                chains, rows = [], []
+                part, rows = batch.iloc[lo : lo + 500], []
                 for doc, held, x in zip(part["doc_id"], part["held_out"], part[text]):
                     words = words_of(x)
                     n = len(words)
                     at = np.fromiter(map(places.__getitem__, words), np.int64, n)
                     chain = symbols(words, at, model)
                     known = at[at >= 0]
-                    classed = chain[:-1][(at < 0) | (at >= model.n_own)] - model.n_own
+                    classed = chain[:-1][(at < 0) | (at >= model.n_own)].astype(np.int64) - model.n_own
                     base = logs[known].sum() + end - (n + 1) * model.norm
                     inside = logs[known[known >= model.n_own]].sum() - model.log_class[classed].sum()
                     tail = [words[i] for i in np.flatnonzero(at < 0)]
-                    chains.append(chain)
-                    rows.append((rid, doc, held, n + 1, len(known) + (model.end_count > 0), base, inside, tail))
+                    rows.append((rid, doc, held, n + 1, len(known) + (model.end_count > 0), base, inside, tail, chain.tobytes()))
                     rid += 1
-                out = pd.DataFrame(rows, columns=[s.split()[0] for s in SCHEMA.split(", ")])
-                out["score"] += log_likelihood(chains, model)
-                yield out.astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=HEAD_COLUMNS).astype({"doc_id": "Int64"})
 
     return docs.mapInPandas(score, SCHEMA)
 
 
+def chain_scores(main: DataFrame, model: Model) -> DataFrame:
+    """``main`` with score, the log10 probability of its chain, in the chain's place."""
+    shared = main.sparkSession.sparkContext.broadcast(model)
+
+    @pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = shared.value
+        for batch in batches:
+            parts = [batch.iloc[lo : lo + 2000].to_frame("chain") for lo in range(0, len(batch), 2000)]
+            yield pd.Series(np.concatenate([log_likelihood(chains_of(x), model) for x in parts]) if parts else np.zeros(0))
+
+    return main.withColumn("score", F.col("inside") + score("chain")).drop("chain", "inside")
+
+
 def scored(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
     train = rows.where("not held_out and doc_id is not null")
     counts = staged(token_counts(train), "token-counts")
-    model = trained(train, counts)
+    model = Model(counts)
     main = staged(head_scores(rows, model), "head-scores")
+    model = learnt(main.where("not held_out and doc_id is not null"), model)
     tail = main.select("rid", F.explode("tail").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("n"))
     c = F.coalesce("c", F.lit(0))
     found = tail.join(counts.select("word", "c"), "word", "left").groupBy("rid")
     found = found.agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"))
     logs = F.coalesce("logs", F.lit(0.0))
-    return main.join(found, "rid", "left").select(
+    return chain_scores(main.drop("tail"), model).join(found, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -18,7 +18,7 @@ def docs(spark, texts):
 
 
 def test_base_score_like_brute_force(spark, docs, texts, monkeypatch):
-    for name, v in (("HEAD", 60), ("SYMBOLS", 20), ("PARTIAL", 50), ("CUT", 40)):
+    for name, v in (("HEAD", 60), ("SYMBOLS", 20), ("PARTIAL", 50), ("BLOCK", 40)):
         monkeypatch.setattr(lm_scoring, name, v)
     c = Counter()
     words = [(t or "").encode().lower().split() + [b""] for t in texts]
@@ -52,9 +52,41 @@ def test_forward_recursion_is_exact():
             for p in product(range(k), repeat=len(x))
         )
         assert y == pytest.approx(math.log10(total), rel=1e-9)
-    emits, moves, starts = lm_scoring.expected_counts(chains, m)
-    assert emits.sum() == pytest.approx(9) and moves.sum() == pytest.approx(5) and starts.sum() == pytest.approx(4)
-    assert emits.sum(1) == pytest.approx([2, 2, 1, 2, 2])
+    for block in (1, 2, 4096):
+        emits, moves, starts = lm_scoring.expected_counts(chains, m, block)
+        assert emits.sum() == pytest.approx(9, rel=1e-5) and moves.sum() == pytest.approx(5, rel=1e-5) and starts.sum() == pytest.approx(4, rel=1e-5)
+        assert emits.sum(1) == pytest.approx([2, 2, 1, 2, 2], rel=1e-5)
+        # Posteriors by enumeration of all state paths.
+        want_emit, want_move, want_start = np.zeros((5, k)), np.zeros((k, k)), np.zeros(k)
+        for x in chains:
+            paths = list(product(range(k), repeat=len(x)))
+            w = np.array([m.start[p[0]] * np.prod([m.move[a, b] for a, b in zip(p, p[1:])]) * np.prod([m.emit[s, q] for s, q in zip(x, p)]) for p in paths])
+            for p, v in zip(paths, w / w.sum()):
+                want_start[p[0]] += v
+                for s, q in zip(x, p):
+                    want_emit[s, q] += v
+                for a, b in zip(p, p[1:]):
+                    want_move[a, b] += v
+        assert np.allclose(emits, want_emit, rtol=1e-4) and np.allclose(moves, want_move, rtol=1e-4) and np.allclose(starts, want_start, rtol=1e-4)
+
+
+def test_every_round_reads_all_training_chains_and_likelihood_rises(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    texts = [" ".join(("a b " if i % 2 else "c d ") * int(r.integers(1, 9))) + "e" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = []
+    for rounds in (0, 1, 4):
+        monkeypatch.setattr(lm_scoring, "ROUNDS", rounds)
+        monkeypatch.setattr(lm_scoring, "PRIOR", 1.0)
+        got.append(sum(x.score for x in lm_scoring.scored(df).collect() if not x.held_out))
+    assert got[0] < got[1] < got[2]
+
+
+def test_scores_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert lm_scoring.scored(empty).count() == 0
+    rows = lm_scoring.scored(spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")).collect()
+    assert [r.train_tokens for r in rows] == [0, 0, 0] and sorted(r.n_tokens for r in rows) == [1, 3, 3] and all(np.isfinite(r.score) for r in rows)
 
 
 def test_word_ids_equal_the_library(texts):
