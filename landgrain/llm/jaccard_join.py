@@ -1,11 +1,14 @@
 """Exact near-duplicate join on word shingles with PartEnum signatures.
 
 Sets are banded by size. In a band whose largest set has r elements, two sets of Jaccard similarity t differ in at
-most k = 2r(1 - t) / (1 + t) elements, so when the hashed feature domain is cut into more than k ranges, at least
-one range holds the same elements in both. The ranges' contents are the signatures (the one-level form of
-PartEnum); a set near the end of its band also signs for the next one. A set of which so many ranges are empty that
-only empty ranges might agree also signs with its prefix: the elements that are lowest in one global order, of
-which similar sets share at least one.
+most k = 2r(1 - t) / (1 + t) elements. The hashed feature domain is cut into groups of three partitions, more than
+k / 2 groups, so that in at least one group the two sets differ by one element at most. In each group all subsets of
+two partitions are enumerated, and each subset's content is one signature: the subset that leaves out the partition
+with the difference is the same in both sets. A set near the end of its band also signs for the next one.
+
+Subsets without elements say nothing and are left out, as long as a set has so many groups with elements in two
+partitions at least that one of them must be the same. Otherwise (short sets mostly) the partitioning is repeated with
+another hash under the name of each empty subset, which similar sets have in common.
 
 Equal sets are one class. Signature groups are joined to one representative each (pre-combined in every task), the
 pairs are verified by exact intersection, and linked classes become components. What remains are signatures that
@@ -13,8 +16,9 @@ two or more components share; their members are compared across components only,
 is then inside one component, the links of a class are counted there, over all pairs of each component's classes.
 
 Defined results: a text without words has no shingles and is its own component; with fewer words than a shingle the
-whole sequence is one; rows with equal sets (repeated rows among them) are one class; a row without doc_id has no
-component; other columns pass through. Shingles are told apart by 64-bit hashes.
+whole sequence is one; rows with equal sets (repeated rows among them) are one class; rows that share a doc_id but not
+a text are versions of one document, linked by the links of each; a row without doc_id has no component; other columns
+pass through. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,12 +32,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from landgrain.llm.common import components, maybe_broadcast, staged
+from landgrain.llm.common import components, fresh, maybe_broadcast, staged
 
 WORDS, PERCENT = 5, 80
 BAND = 1.7  # largest by smallest size of a band
-FLUSH = 2_000_000  # signatures that a task combines at once
+FLUSH, CHUNK = 2_000_000, 200  # signatures that a task combines at once, and sets whose signatures it computes at once
 CHAINS = 2  # rounds of neighbour pairs before the last step
+CHAIN = 50_000  # members of a signature among which neighbours are looked for
+PART, PARTS = 2_000_000, 50_000  # signatures that one task groups, and tasks
+DEPTH = 6  # times that a partitioning is repeated under empty subsets
 BLOCK, TILE = 2048, 1 << 20  # sets, and shingles, that one side of a comparison holds on average
 U = np.uint64
 
@@ -74,29 +81,125 @@ def bands(most: int) -> list[tuple[int, int]]:
 ENDS = np.array([r for _, r in bands(1 << 40)])
 
 
-def signatures(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The PartEnum signatures of one set (sorted distinct hashes), and how many a similar set shares at least.
+def groups_of(k: int) -> int:
+    """Groups of three partitions for k differences: k / 2 + 1, and some more against empty partitions."""
+    return k // 2 + 1 + (1 + k // 40 if k > 1 else 0)
 
-    A set of n elements is at most n (1 - t) / t elements away from a similar one, and each of them changes one
-    range: of the ranges that are not empty, all but so many are shared.
-    """
-    n = len(h)
-    if not n:
-        return h, 0
+
+def tags_of(n: int, percent: int) -> list[tuple[int, int]]:
+    """(band, the most differences in it) for each band that a set of n elements signs for."""
     own = int(np.searchsorted(ENDS, n))
     tags = [own] + ([own + 1] if 100 * n > percent * int(ENDS[own]) else [])
-    mixed, out, need = mix(h), [], n + 1
-    for tag in tags:
-        k = int(2 * ENDS[tag] * (100 - percent)) // (100 + percent)
-        ranges = k + 2 + (k + 1) // 3 if k else 1
-        at = ((h >> U(32)) * U(ranges)) >> U(32)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        out.append(mix(np.add.reduceat(mixed, first) + mix(at[first] + U(tag << 40) + U(1))))
-        need = min(need, len(first) - min(k, n * (100 - percent) // percent))
-    if need <= 0:
-        short = n - -(-percent * n // 100) + 1
-        out.append(mix(np.sort(mixed)[:short] + U(0x5BD1E995)))
-    return np.concatenate(out), max(1, need)
+    return [(tag, int(2 * ENDS[tag] * (100 - percent)) // (100 + percent)) for tag in tags]
+
+
+def most_differences(n: int, k: int, percent: int) -> int:
+    """A set of n elements is at most n (1 - t) / t elements away from a similar one."""
+    return min(k, n * (100 - percent) // percent)
+
+
+class Partitioned:
+    """Sets in the groups of their bands, many at once: an item is a set in one band, with its most differences k."""
+
+    def __init__(self, items: list[tuple[np.ndarray, int, int]]):
+        """``items``: (sorted hashes, k, most differences), k > 0."""
+        sizes = np.array([len(h) for h, _, _ in items])
+        self.groups = np.array([groups_of(k) for _, k, _ in items])
+        self.base = np.r_[0, np.cumsum(self.groups)]
+        self.h = np.concatenate([h for h, _, _ in items])
+        place = ((self.h >> U(32)) * np.repeat((3 * self.groups).astype(U), sizes)) >> U(32)
+        place = place.astype(np.int64) + np.repeat(3 * self.base[:-1], sizes)
+        self.first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        self.at = place[self.first]
+        full = np.zeros(3 * self.base[-1], bool)
+        full[self.at] = True
+        self.full = full.reshape(-1, 3)
+        # Signatures that a set shares with one that differs in ``most`` elements, by the groups that have elements in two
+        # partitions: the first difference in a group spoils two of its three signatures, the second one the last.
+        sure = np.add.reduceat((self.full.sum(1) > 1).astype(np.int64), self.base[:-1])
+        most = np.array([m for _, _, m in items])
+        self.shared = np.where(most <= sure, 3 * sure - 2 * most, 2 * sure - most)
+
+    def signatures(self, labels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signatures, their items, names of all subsets): contents of two of the three partitions of each group, where
+        there are any. Column j leaves out partition j."""
+        sums = np.zeros(self.full.size, U)
+        sums[self.at] = np.add.reduceat(mix(self.h), self.first)
+        sums = sums.reshape(-1, 3)
+        content = sums.sum(1, keepdims=True, dtype=U) - sums
+        inside = np.arange(self.full.size) - np.repeat(3 * self.base[:-1], 3 * self.groups)
+        names = mix(inside.astype(U) + np.repeat(np.array(labels, U), 3 * self.groups)).reshape(-1, 3)
+        some = self.full.sum(1, keepdims=True) > self.full
+        item = np.repeat(np.arange(len(self.groups)), self.groups)
+        return mix(content[some] + names[some]), np.repeat(item, some.sum(1)), names
+
+
+def enumerated(h: np.ndarray, k: int, most: int, label: int, depth: int) -> list[np.ndarray]:
+    """The signatures of one set, partitioned by another hash at each depth, under the name of an empty subset."""
+    h = np.sort(mix(h ^ U(0xA24BAED4963EE407 + depth)))
+    part = Partitioned([(h, k, most)])
+    found, _, names = part.signatures([label])
+    out = [found]
+    if part.shared[0] <= 0:
+        empty = names[part.full.sum(1, keepdims=True) <= part.full]
+        if depth == DEPTH:
+            return [*out, mix(empty)]
+        for name in empty.tolist():
+            out += enumerated(h, k, most, name, depth + 1)
+    return out
+
+
+def signatures_of(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, the place of their set) of many sets of sorted distinct hashes."""
+    items, owners, labels, out, of = [], [], [], [], []
+    for i, h in enumerate(sets):
+        for tag, k in tags_of(len(h), percent) if len(h) else ():
+            label = (tag + 1) << 40
+            if k:
+                items.append((h, k, most_differences(len(h), k, percent)))
+                owners.append(i)
+                labels.append(label)
+            else:
+                out.append(mix(mix(h).sum(keepdims=True, dtype=U) + U(label)))
+                of.append(np.array([i]))
+    if items:
+        part = Partitioned(items)
+        found, item, names = part.signatures(labels)
+        out.append(found)
+        of.append(np.array(owners)[item])
+        for j in np.flatnonzero(part.shared <= 0):
+            h, k, most = items[j]
+            own = slice(part.base[j], part.base[j + 1])
+            empty = names[own][part.full[own].sum(1, keepdims=True) <= part.full[own]]
+            for name in empty.tolist():
+                more = np.concatenate(enumerated(h, k, most, name, 1))
+                out.append(more)
+                of.append(np.full(len(more), owners[j]))
+    if not out:
+        return np.empty(0, U), np.empty(0, np.int64)
+    return np.concatenate(out), np.concatenate(of)
+
+
+def signatures(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The PartEnum signatures of one set."""
+    return signatures_of([h], percent)[0]
+
+
+def needed_of(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """How many signatures each set shares at least with a similar one; 0 for an empty set."""
+    out = np.array([1 if len(h) else 0 for h in sets])
+    items, owners = [], []
+    for i, h in enumerate(sets):
+        tags = tags_of(len(h), percent) if len(h) else []
+        if all(k for _, k in tags):
+            items += [(h, k, most_differences(len(h), k, percent)) for _, k in tags]
+            owners += [i] * len(tags)
+    if items:
+        least = np.full(len(sets), np.iinfo(np.int64).max)
+        np.minimum.at(least, owners, Partitioned(items).shared)
+        own = np.unique(owners)
+        out[own] = np.maximum(least[own], 1)
+    return out
 
 
 def set_key(h: np.ndarray) -> tuple[int, int]:
@@ -112,36 +215,42 @@ def described(docs: DataFrame, words: int, percent: int, hashes: bool = False) -
     """(doc_id, n, k1, k2, need and, on demand, the hashes h) of each row of (doc_id, text)."""
     names = [x.split()[0] for x in SET.split(", ")]
 
-    def row(doc, h: np.ndarray) -> tuple:
-        found = (doc, len(h), *set_key(h), signatures(h, percent)[1]) if len(h) else (doc, 0, 0, 0, 0)
-        return (*found, h.view(np.int64)) if hashes else found
-
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [row(d, shingles(x, words)) for d, x in zip(batch["doc_id"], batch["text"])]
-            yield pd.DataFrame(rows, columns=[*names, "h"][: 5 + hashes]).astype({"doc_id": "Int64"})
+            for lo in range(0, len(batch), CHUNK):
+                some = batch.iloc[lo : lo + CHUNK]
+                sets = [shingles(x, words) for x in some["text"]]
+                rows = [
+                    (doc, len(h), *(set_key(h) if len(h) else (0, 0)), need, *([h.view(np.int64)] if hashes else []))
+                    for doc, h, need in zip(some["doc_id"], sets, needed_of(sets, percent).tolist())
+                ]
+                yield pd.DataFrame(rows, columns=[*names, "h"][: 5 + hashes]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(describe, SET + ", h array<long>" * hashes)
 
 
-def combined(sigs: list[np.ndarray], nodes: list[tuple[int, int]]) -> pd.DataFrame:
+def combined(sig: np.ndarray, node: np.ndarray) -> pd.DataFrame:
     """(sig, node, n): one row per signature; a later set under a signature leaves as a group of two with the first
     set, with the number of signatures that the two share so."""
-    sig, node = np.concatenate(sigs), np.repeat(np.array([n for n, _ in nodes]), [c for _, c in nodes])
     order = np.argsort(sig, kind="stable")
     ordered = sig[order]
     same = np.r_[False, ordered[1:] == ordered[:-1]]
     start = np.maximum.accumulate(np.where(same, 0, np.arange(len(sig))))
     late = np.flatnonzero(same)
-    pairs, count = np.unique(np.c_[node[order[late]], node[order[start[late]]]], axis=0, return_counts=True)
-    pairs, count = pairs[pairs[:, 0] != pairs[:, 1]], count[pairs[:, 0] != pairs[:, 1]]
-    own = mix(mix(pairs[:, 0].astype(U)) + pairs[:, 1].astype(U))
+    a, b = node[order[late]], node[order[start[late]]]
+    a, b = a[a != b], b[a != b]
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+    count = np.diff(np.r_[first, len(a)])
+    a, b = a[first], b[first]
+    own = mix(mix(a.astype(U)) + b.astype(U))
     heads = np.ones(len(sig), bool)
     heads[order[late]] = False
     return pd.DataFrame(
         {
             "sig": np.concatenate([sig[heads], own, own]).view(np.int64),
-            "node": np.concatenate([node[heads], pairs[:, 0], pairs[:, 1]]),
+            "node": np.concatenate([node[heads], a, b]),
             "n": np.concatenate([np.ones(heads.sum(), np.int64), count, count]),
         }
     )
@@ -152,7 +261,23 @@ def signed(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
-        sigs, nodes, held = [], [], 0
+        held, sets, nodes, size = [], [], [], 0
+
+        def enumerate_sets():
+            nonlocal size
+            sig, owner = signatures_of(sets, percent)
+            held.append((sig, np.array(nodes, np.int64)[owner]))
+            size += len(sig)
+            sets.clear()
+            nodes.clear()
+
+        def flushed() -> pd.DataFrame:
+            nonlocal size
+            out = combined(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+            size = 0
+            return out
+
         for batch in batches:
             for x in batch[text]:
                 h = shingles(x, words)
@@ -160,24 +285,63 @@ def signed(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
                     continue
                 if len(seen) < 200_000:
                     seen.add(key)
-                found, _ = signatures(h, percent)
-                sigs.append(found)
-                nodes.append((key[0], len(found)))
-                held += len(found)
-                if held >= FLUSH:
-                    yield combined(sigs, nodes)
-                    sigs, nodes, held = [], [], 0
-        if held:
-            yield combined(sigs, nodes)
+                sets.append(h)
+                nodes.append(key[0])
+                if len(sets) == CHUNK:
+                    enumerate_sets()
+                    if size >= FLUSH:
+                        yield flushed()
+        if sets:
+            enumerate_sets()
+        if size:
+            yield flushed()
 
     return docs.where("doc_id is not null").select(text).mapInPandas(sign, "sig long, node long, n long")
 
 
-def first_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, n): each node with the smallest node of its signature groups, which may be itself, and how often."""
-    group = Window.partitionBy("sig")
-    found = rows.select(F.col("node").alias("a"), F.min("node").over(group).alias("b"), F.max("node").over(group).alias("z"), "n")
-    return found.where("b <> z").groupBy("a", "b").agg(F.sum("n").alias("n"))
+def paired(sig: np.ndarray, node: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """(a, b, n): what ``first_pairs`` says of whole signature groups."""
+    order = np.argsort(sig)
+    ordered = sig[order]
+    same = ordered[1:] == ordered[:-1]
+    order = order[np.r_[False, same] | np.r_[same, False]]  # few signatures occur twice
+    sig, node, n = sig[order], node[order], n[order]
+    order = np.lexsort((node, sig))
+    sig, node, n = sig[order], node[order], n[order]
+    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, np.int64)
+    end = np.r_[start[1:], len(sig)][: len(start)]
+    keep = np.repeat(node[start] != node[end - 1], end - start)
+    return pd.DataFrame({"a": node[keep], "b": np.repeat(node[start], end - start)[keep], "n": n[keep]})
+
+
+def first_pairs(rows: DataFrame, shingles_signed: int) -> DataFrame:
+    """(a, b, n): each node with the smallest node of its signature groups, which may be itself, and how often.
+
+    Signatures are dealt to so many tasks, by the counted shingles, that each groups about ``PART`` of them. Where that
+    would be more than ``PARTS`` tasks, each one's signatures are sorted by Spark first and grouped piece by piece. A
+    frequent signature has a row from each flush of a signing task only.
+    """
+    parts = 1 + shingles_signed // PART
+    ordered = parts > PARTS
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            held.append(tuple(batch[c].to_numpy() for c in ("sig", "node", "n")))
+            size += len(batch)
+            if ordered and size >= PART:
+                rows = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last signature may go on
+                if cut:
+                    yield paired(*(x[:cut] for x in rows))
+                held, size = [tuple(x[cut:] for x in rows)], size - cut
+        if size:
+            yield paired(*(np.concatenate(x) for x in zip(*held)))
+
+    dealt = rows.repartition(min(parts, PARTS), "sig")
+    dealt = dealt.sortWithinPartitions("sig") if ordered else dealt
+    return dealt.mapInPandas(pair, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +360,8 @@ def joined(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int
     meta = staged(described(slim, words, percent), "shingle-sets")
     classes = meta.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", "need").agg(F.min("doc_id").alias("cls"))
     classes = staged(classes, "shingle-classes")
-    first = staged(first_pairs(signed(slim, "text", words, percent)), "first-pairs")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    first = staged(first_pairs(signed(slim, "text", words, percent), total), "first-pairs")
     # A set that shares fewer signatures with all others together than with one similar set has none.
     enough = first.groupBy("a").agg(F.sum("n").alias("shared")).join(classes.withColumnRenamed("k1", "a"), "a")
     enough = staged(enough.where("shared >= need").select(F.col("a").alias("k1"), "k2", "n", "need", "cls"), "candidates")
@@ -234,7 +399,7 @@ def candidate_sets(slim: DataFrame, meta: DataFrame, wanted: DataFrame, words: i
     rows = described(rows, words, percent, hashes=True)
     rows = rows.join(ids, ["doc_id", "k1", "k2"], "left_semi")
     if meta.join(ids, ["doc_id", "k1", "k2"], "left_semi").count() > n_ids:  # repeated rows
-        rows = rows.dropDuplicates(["doc_id"])
+        rows = rows.dropDuplicates(["doc_id", "k1", "k2"])
     return rows.select(F.col("doc_id").alias("cls"), "n", "need", "h")
 
 
@@ -247,7 +412,7 @@ def united(links: list[DataFrame]) -> DataFrame:
 def one_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the one with the smallest doc_id stays.
 
-    Rows without doc_id stay; of rows that share a doc_id one stays.
+    Rows without doc_id stay; of rows that share a doc_id the one whose text has the smallest hash stays.
     """
     found = staged(joined(docs, text), "near-rows")
     gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-gone")
@@ -255,12 +420,13 @@ def one_each(docs: DataFrame, text: str = "text") -> DataFrame:
         found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"),
         "near-again",
     )
-    kept = docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti")
+    kept = docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
     if again.isEmpty():
-        return kept.select(docs.columns)
-    again = maybe_broadcast(again, again.count())
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+        return kept
+    again, place = maybe_broadcast(again, again.count()), fresh(docs, "_place")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(text), F.xxhash64(*docs.columns))
+    once = kept.join(again, "doc_id", "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def rest(sets: DataFrame, links: list[DataFrame], percent: int) -> DataFrame:
@@ -271,9 +437,11 @@ def rest(sets: DataFrame, links: list[DataFrame], percent: int) -> DataFrame:
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for cls, n, need, own, h in zip(batch["cls"], batch["n"], batch["need"], batch["comp"], batch["h"]):
-                sig = signatures(np.asarray(h, np.int64).view(U), percent)[0].view(np.int64)
-                yield pd.DataFrame({"sig": sig, "cls": cls, "n": n, "need": need, "comp": own})
+            for lo in range(0, len(batch), CHUNK):
+                part = batch.iloc[lo : lo + CHUNK]
+                sig, owner = signatures_of([np.asarray(h, np.int64).view(U) for h in part["h"]], percent)
+                rows = part[["cls", "n", "need", "comp"]].iloc[owner]
+                yield rows.assign(sig=sig.view(np.int64))[["sig", "cls", "n", "need", "comp"]]
 
     owned = lambda rows, c: rows.join(c.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls")
@@ -281,8 +449,8 @@ def rest(sets: DataFrame, links: list[DataFrame], percent: int) -> DataFrame:
 
     def shared_by_many(rows: DataFrame) -> DataFrame:
         """The rows of signatures that several components have, of classes that have enough of such signatures."""
-        mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        kept = rows.join(mixed.select("sig"), "sig")
+        mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+        kept = rows.drop("size").join(mixed.where("lo <> hi").select("sig", "size"), "sig")
         enough = kept.groupBy("cls", "need").agg(F.count("*").alias("m")).where("m >= need").select("cls")
         return kept.join(enough, "cls", "left_semi")
 
@@ -298,8 +466,10 @@ def rest(sets: DataFrame, links: list[DataFrame], percent: int) -> DataFrame:
     members = members.drop("comp", "need")
     for turn in range(CHAINS):
         now = owned(members, comp)
-        # Neighbours in a shuffled order of each signature's members: one pair per member, the best one per class.
-        order = Window.partitionBy("sig").orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
+        # Neighbours in a shuffled order of each signature's members: one pair per member, the best one per class. A
+        # large signature is split into parts; what links across them is found in the last step.
+        part = F.pmod(F.xxhash64("cls", F.lit(turn + 100)), F.expr(f"1 + size div {CHAIN}"))
+        order = Window.partitionBy("sig", part).orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
         near = [F.lag(c).over(order).alias(f"{c}_b") for c in ("cls", "n", "comp")]
         chain = now.select("cls", "n", "comp", *near).where("comp <> comp_b")
         chain = chain.where(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
