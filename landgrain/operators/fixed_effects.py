@@ -285,7 +285,7 @@ def fe_2sls(
     """
     columns = list(dict.fromkeys([y, *endogenous, *exogenous, *instruments]))
     at = {c: k for k, c in enumerate(columns)}
-    fit = solved(df, columns, absorb, weight).cache()
+    fit = checkpointed(solved(df, columns, absorb, weight))  # a few numbers, read again and again
     s = moments(fit, columns)
     x, z = [at[c] for c in [*endogenous, *exogenous]], [at[c] for c in [*instruments, *exogenous]]
     szz = np.linalg.pinv(s[np.ix_(z, z)], hermitian=True)
@@ -315,7 +315,6 @@ def fe_2sls(
         v = szz @ inner @ szz * (g / max(g - 1, 1) if cluster else 1.0)
         q = len(instruments)
         f[e] = float(pi @ np.linalg.pinv(v[:q, :q]) @ pi / max(q, 1))
-    fit.unpersist()
     return Fit(terms, beta, np.sqrt(np.maximum(np.diag(covariance), 0)), n, clusters, 1 - rss / s[0, 0] if s[0, 0] else 0.0, f, partial)
 
 

@@ -12,6 +12,7 @@ from landgrain.operators import fixed_effects as E
 from landgrain.operators import indices as I
 from landgrain.operators import relational as R
 from landgrain.operators import supply as U
+from landgrain.operators.components import checkpointed
 from landgrain.plans import normal_equations as Q
 from landgrain.plans.base import places, prices, query, r6, register, sample
 
@@ -392,11 +393,8 @@ def premium_on_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         "city", "effect", F.least("n", F.lit(50)).cast("double").alias("w"), F.ln("floors").alias("height"), ((2001 - F.col("built")) / 100).alias("age"),
         F.ln("n").alias("homes"), F.lit(0).alias("one"), (F.col("kind") == "PROMO").cast("double").alias("style"),
     )
-    rows = rows.cache()
-    try:
-        return estimates({m: E.fe_ols(rows, "effect", xs, [by], "city", "w") for m, xs, by in context_models()}, rows)
-    finally:
-        rows.unpersist()
+    rows = checkpointed(rows)
+    return estimates({m: E.fe_ols(rows, "effect", xs, [by], "city", "w") for m, xs, by in context_models()}, rows)
 
 
 @query(
@@ -466,7 +464,7 @@ def supply_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = U.predicted_stock(s, ["city"], 1984, 1991).where("stock > 0 and predicted > 0")
     z = z.select("city", "year", F.ln("stock").alias("ls"), F.ln("predicted").alias("lz"))
     f = U.stock(u, ["city"], "built", "floors", 1928, 2022).where("stock > 0").select("city", "year", F.ln("stock").alias("lf"))
-    return U.panel(p, z.join(f, ["city", "year"]), ["city"], "y")
+    return checkpointed(U.panel(p, z.join(f, ["city", "year"]), ["city"], "y"))
 
 
 PANEL = (
@@ -493,19 +491,16 @@ TRENDS = (
 )
 def panel_supply_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price on lagged stock, two-way effects: OLS, instrumented, with market trends, and two measures in a race."""
-    rows = supply_panel(spark, sf_dir).cache()
-    try:
-        out = [
-            iv_row(U.panel_regression(rows, "lp", "ls", "city", "y"), rows, "two-way"),
-            iv_row(U.panel_regression(rows, "lp", "ls", "city", "y", "lz"), rows, "iv"),
-            iv_row(U.panel_regression(rows, "lp", "ls", "city", "y", trends=True), rows, "trends"),
-        ]
-        race = E.fe_ols(rows, "lp", ["ls", "lf"], ["city", "y"], "city").table(rows)
-        race = race.where("term = 'ls'").withColumn("model", F.lit("race: homes")).unionByName(race.where("term = 'lf'").withColumn("model", F.lit("race: floors")))
-        race = race.select("model", "beta", "se", F.lit(None).cast("double").alias("first_stage_f"), F.lit(None).cast("double").alias("partial_r2"))
-        return reduce(DataFrame.unionByName, [*out, rounded(race, ["model"], beta=6, se=6, first_stage_f=4, partial_r2=6)])
-    finally:
-        rows.unpersist()
+    rows = supply_panel(spark, sf_dir)
+    out = [
+        iv_row(U.panel_regression(rows, "lp", "ls", "city", "y"), rows, "two-way"),
+        iv_row(U.panel_regression(rows, "lp", "ls", "city", "y", "lz"), rows, "iv"),
+        iv_row(U.panel_regression(rows, "lp", "ls", "city", "y", trends=True), rows, "trends"),
+    ]
+    race = E.fe_ols(rows, "lp", ["ls", "lf"], ["city", "y"], "city").table(rows)
+    race = race.where("term = 'ls'").withColumn("model", F.lit("race: homes")).unionByName(race.where("term = 'lf'").withColumn("model", F.lit("race: floors")))
+    race = race.select("model", "beta", "se", F.lit(None).cast("double").alias("first_stage_f"), F.lit(None).cast("double").alias("partial_r2"))
+    return reduce(DataFrame.unionByName, [*out, rounded(race, ["model"], beta=6, se=6, first_stage_f=4, partial_r2=6)])
 
 
 DIFFERENCES = (
@@ -520,12 +515,9 @@ DIFFERENCES = (
 )
 def first_difference_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of price on changes of stock over balanced periods, OLS and instrumented by the predicted change."""
-    d = U.first_differences(supply_panel(spark, sf_dir), "city", "y", ["lp", "ls", "lz"], 7).cache()
-    try:
-        fit = E.fe_2sls(d, "d_lp", ["d_ls"], ["d_lz"], [], ["y"], "city")
-        return iv_row(fit, d, "iv").unionByName(iv_row(E.fe_ols(d, "d_lp", ["d_ls"], ["y"], "city"), d, "ols"))
-    finally:
-        d.unpersist()
+    d = U.first_differences(supply_panel(spark, sf_dir), "city", "y", ["lp", "ls", "lz"], 7)
+    fit = E.fe_2sls(d, "d_lp", ["d_ls"], ["d_lz"], [], ["y"], "city")
+    return iv_row(fit, d, "iv").unionByName(iv_row(E.fe_ols(d, "d_lp", ["d_ls"], ["y"], "city"), d, "ols"))
 
 
 @query(

@@ -401,7 +401,7 @@ def corner_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ", l AS (SELECT bld, kind, floors * 3.0 AS w, 4.0 + bld % 60 AS h FROM reg), m AS (SELECT *, w * h AS area, 2 * (w + h) AS per, least(w, h) AS lo, greatest(w, h) AS hi FROM l), "
+    ", l AS (SELECT bld, kind, floors * 3.0 AS w, 4.37 + bld % 60 AS h FROM reg), m AS (SELECT *, w * h AS area, 2 * (w + h) AS per, least(w, h) AS lo, greatest(w, h) AS hi FROM l), "
     "r AS (SELECT *, kind <> 'SMALL' AND area > 120 AND ((hi / greatest(lo, 0.1) >= 3.5 AND lo <= 40) OR (4 * pi() * area / per ** 2 < 0.16 AND 2 * area / per < 40) OR (hi / greatest(lo, 0.1) >= 5 AND 2 * area / per < 30)) AS road FROM m) "
     "SELECT kind, count(*) AS n, count(*) FILTER (WHERE road) AS roads, round(sum(area) FILTER (WHERE road), 2) AS area FROM r GROUP BY kind"
 )
@@ -409,7 +409,7 @@ def road_like_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lots of many shapes, of which the long and thin ones without homes are roads."""
     p = points(spark, sf_dir)
     turn = F.radians(F.col("id").cast("double"))
-    w, h = F.col("floors") * 3.0, 4.0 + F.col("id") % 60
+    w, h = F.col("floors") * 3.0, 4.37 + F.col("id") % 60
 
     def corner(a, b):
         return F.struct((a * w * F.cos(turn) - b * h * F.sin(turn)).alias("x"), (a * w * F.sin(turn) + b * h * F.cos(turn)).alias("y"))

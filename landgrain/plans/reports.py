@@ -102,13 +102,13 @@ def labels_with_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ", c AS (SELECT city, y, median(ppm) AS p FROM a JOIN places USING (block) GROUP BY ALL), g AS (SELECT DISTINCT city FROM c), t AS (SELECT unnest(range(1994, 2003)) AS y) "
-    "SELECT g.city AS city, CAST(t.y AS VARCHAR) AS year, round(p, 6) AS ppm FROM g JOIN t ON true LEFT JOIN c ON c.city = g.city AND c.y = t.y"
+    "SELECT g.city AS city, CAST(t.y AS VARCHAR) AS year, round(p, 3) AS ppm FROM g JOIN t ON true LEFT JOIN c ON c.city = g.city AND c.y = t.y"
 )
 def city_year_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median price by city and year as a complete matrix, stacked again."""
     d = sample(spark, sf_dir).join(places(spark, sf_dir), "block")
     wide = R.matrix(d, "city", "y", list(range(1994, 2003)), F.median("ppm"))
-    return rounded(R.stacked(wide, "city", "year", "ppm"), ["city", "year"], ppm=6)
+    return rounded(R.stacked(wide, "city", "year", "ppm"), ["city", "year"], ppm=3)
 
 
 @query(
