@@ -1,4 +1,18 @@
-"""The corpus pipeline: documents through quality rules, near duplicates, decontamination, secrets and packing."""
+"""The corpus pipeline: documents through quality rules, near duplicates, decontamination, secrets and packing.
+
+Defined results, stage by stage (each is judged on what the stage before it wrote; an empty table gives an empty one):
+
+* quality rules: a null or empty text has no words and goes; a text loses its failing lines and goes if it lost more than
+  half or keeps too few words; repeated rows are judged alike, and all stay or all go. Very long texts are judged whole.
+* near duplicates: of a component one row stays, that of the smallest doc_id; of repeated rows with that doc_id, or of
+  different texts under it, the one whose text has the smallest hash. A row without doc_id stays, as it is linked to none.
+* decontamination: rows whose doc_id has a contaminated text go; a row without doc_id matches nothing and stays.
+* secret scan: every row stays, with each secret replaced by a mark; a null text becomes an empty one.
+* packing: one row per piece of every row; repeated rows are packed one by one; a null doc_id stays null.
+
+Further columns pass through the first four stages whatever their names are; ``n_chars``, where a table has it, follows the
+text that is left.
+"""
 
 from __future__ import annotations
 
