@@ -4,15 +4,19 @@ A text is read as its letters in lower case with one blank between words. Counts
 training texts in one Spark pass; the counts of shorter strings, which Kneser-Ney takes from the number of different
 letters before them, follow from the distinct longer strings. All strings that any language knows lie in one sorted
 array of hashes per order with a row of log probabilities, and a text's cross-entropy per letter is a sum of lookups.
-The language with the lowest one wins. A text whose cross-entropy is beyond what its language's training texts show
-(their mean plus ``REJECT`` deviations, for the text's length) is marked as rejected.
+The language with the lowest one wins. A text whose cross-entropy is beyond what texts of its language show (their mean
+plus ``REJECT`` deviations, for the text's length) is marked as rejected. These moments come from all training texts, each
+scored by a model of its language that has not seen it: the texts are split in two by their hash, and each half is scored
+by the model of the other.
 
 A letter keeps 12 bits of its code point: Latin, Greek, Cyrillic, Hebrew and Arabic letters are all told apart,
-others are folded. The model is collected and broadcast; it holds the strings of the highest counts, at most
-``MOST`` per language, and at most ``LANGUAGES`` languages are accepted.
+others are folded. Every counted string is in the model. The languages do not depend on each other, so the model is made
+and broadcast in groups of languages with ``HELD`` strings together, at most; a language that has more is a group of its
+own. How many strings a language can have is bounded by its letters, not by its texts.
 
 Defined results: a null text or one without letters is ``und`` with score 0; so is everything if there is no training
-text; repeated rows get equal results; other columns pass through.
+text; a language whose training texts have no letters is never predicted; repeated rows get equal results; other columns
+pass through.
 """
 
 from __future__ import annotations
@@ -21,16 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from landgrain.llm.common import staged
+from landgrain.llm.common import fresh, staged
 
 ORDER, BITS = 5, 12
 MASK = (1 << BITS) - 1
-MOST, LANGUAGES = 150_000, 200
+HELD = 8_000_000  # strings of one group of languages
 DISCOUNT, REJECT, CHUNK = 0.75, 4.0, 1 << 19
 NO_LANGUAGE = "und"
 
@@ -72,30 +78,34 @@ def strings(x: np.ndarray, order: int = ORDER) -> np.ndarray:
 
 
 def string_counts(train: DataFrame, text: str = "text") -> DataFrame:
-    """(lang, key, c) over all training texts; each task sends partial counts."""
+    """(lang, half, key, c) over all training texts; each task sends partial counts. Equal texts are in one half."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[tuple[str, int], list[np.ndarray]] = {}
         n = 0
 
         def frame() -> Iterator[pd.DataFrame]:
-            for lang, parts in held.items():
+            for (lang, half), parts in held.items():
                 key, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "key": key, "c": c})
+                yield pd.DataFrame({"lang": lang, "half": half, "key": key, "c": c})
 
         for batch in batches:
-            for lang, x in zip(batch["lang"], batch[text]):
+            for lang, half, x in zip(batch["lang"], batch["half"], batch[text]):
                 x = letters(x)
                 if len(x):
-                    held.setdefault(lang, []).append(strings(x))
+                    held.setdefault((lang, half), []).append(strings(x))
                     n += len(x)
                     if n > 4 * CHUNK:
                         yield from frame()
                         held, n = {}, 0
         yield from frame()
 
-    part = train.select("lang", text).mapInPandas(count, "lang string, key long, c long")
-    return part.groupBy("lang", "key").agg(F.sum("c").alias("c"))
+    part = train.select("lang", half_of(text), text).mapInPandas(count, "lang string, half int, key long, c long")
+    return part.groupBy("lang", "half", "key").agg(F.sum("c").alias("c"))
+
+
+def half_of(text: str) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("half")
 
 
 class Model:
@@ -134,7 +144,6 @@ class Model:
             self.contexts.append(contexts)
             self.weights.append(np.log2(weight).astype(np.float32))
         self.floor = -np.log2(alphabet)
-        self.mean, self.spread = np.zeros(n_langs), np.full(n_langs, np.inf)
 
     def log_probs(self, keys: np.ndarray) -> np.ndarray:
         """log2 probability of each key's last letter after the others, per language."""
@@ -184,97 +193,167 @@ class Model:
         return sizes, -out / np.maximum(sizes, 1)[:, None]
 
 
-def trained(train: DataFrame, text: str = "text") -> Model | None:
-    """Counts over all ``train`` rows (lang not null), then the bounded model on the driver."""
-    counts = staged(string_counts(train, text), "letter-strings")
-    step = F.floor(F.log2("c") * 8).cast("int").alias("step")
-    sizes = counts.groupBy("lang", step).agg(F.count("*").alias("n")).collect()
-    langs = sorted({r["lang"] for r in sizes})
+class Family:
+    """The models of all languages, in groups, and the moments of each language's texts."""
+
+    def __init__(self, models: list[Model]):
+        self.models = models
+        self.langs = [lang for m in models for lang in m.langs]
+        self.mean, self.spread = np.zeros(len(self.langs)), np.full(len(self.langs), np.inf)
+
+
+def modelled(counts: pa.Table, langs: list[str], alphabet: int) -> Model | None:
+    """The model of ``langs`` from (lang, key, c); None without any."""
     if not langs:
         return None
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model is built for {LANGUAGES}")
-    least = {}
-    for lang in langs:
-        room = MOST
-        for r in sorted((r for r in sizes if r["lang"] == lang), key=lambda r: -r["step"]):
-            room -= r["n"]
-            if room < 0:
-                break
-            least[lang] = r["step"]
-    wanted = F.lit(False)
-    for lang, low in least.items():
-        wanted = wanted | ((F.col("lang") == lang) & (F.floor(F.log2("c") * 8) >= low))
-    # At most MOST rows per language come to the driver.
-    rows = counts.where(wanted).select("lang", "key", "c").toArrow()
-    tables, langs = [], sorted(least)
+    tables = []
     for lang in langs:
-        own = rows.filter(pc.equal(rows["lang"], lang)).sort_by("key")
+        own = counts.filter(pc.equal(counts["lang"], lang)).sort_by("key")
         tables.append((own["key"].to_numpy(), own["c"].to_numpy()))
-    alphabet = len(np.unique(np.concatenate([k & MASK for k, _ in tables]))) + 1
-    model = Model(langs, tables, alphabet)
-    shared = train.sparkSession.sparkContext.broadcast(model)
-
-    @pandas_udf("n long, bits double")
-    def own(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for texts, langs in batches:
-            n, bits = model.entropies(texts)
-            at = [model.langs.index(x) if x in model.langs else 0 for x in langs]
-            yield pd.DataFrame({"n": n, "bits": bits[np.arange(len(n)), at]})
-
-    # A text's mean over n letters strays by 1 / sqrt(n): deviations are kept for one letter.
-    held = train.select("lang", own(text, "lang").alias("own")).select("lang", "own.n", "own.bits").where("n > 0")
+    return Model(langs, tables, alphabet)
+
+
+def grouped(sizes: dict[str, int]) -> list[list[str]]:
+    """The languages in order, in groups of at most ``HELD`` strings."""
+    out: list[list[str]] = []
+    room = 0
+    for lang in sorted(sizes):
+        if sizes[lang] > room:
+            out.append([])
+            room = HELD
+        out[-1].append(lang)
+        room -= sizes[lang]
+    return out
+
+
+def own_bits(rows: DataFrame, halves: list[Model], text: str) -> DataFrame:
+    """(lang, n, bits): each text's letters and bits per letter by its language's model of the other half."""
+    shared = rows.sparkSession.sparkContext.broadcast(halves)
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (lang, half), some in batch.groupby(["lang", "half"]):
+                model = shared.value[1 - half]
+                if model and lang in model.langs:
+                    n, bits = model.entropies(some[text].tolist())
+                    at = n > 0
+                    yield pd.DataFrame({"lang": lang, "n": n[at], "bits": bits[at, model.langs.index(lang)]})
+
+    return rows.select("lang", half_of(text), text).mapInPandas(own, "lang string, n long, bits double")
+
+
+def trained(train: DataFrame, text: str = "text") -> Family | None:
+    """Counts over all ``train`` rows (lang not null), then a model for each group of languages, made on the driver."""
+    counts = staged(string_counts(train, text), "letter-strings")
+    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.count_distinct("key").alias("n")).collect()}
+    if not sizes:
+        return None
+    # As many rows as there are letters.
+    alphabet = counts.select(F.col("key").bitwiseAND(F.lit(MASK)).alias("k")).distinct().count() + 1
+    models, rows = [], []
+    for langs in grouped(sizes):
+        own = counts.where(F.col("lang").isin(langs))
+        # One group's strings come to the driver: at most HELD, or one language's.
+        table = own.toArrow()
+        whole = table.group_by(["lang", "key"]).aggregate([("c", "sum")]).rename_columns(["lang", "key", "c"])
+        models.append(modelled(whole, langs, alphabet))
+        halves = [table.filter(pc.equal(table["half"], h)) for h in (0, 1)]
+        halves = [modelled(x, [g for g in langs if g in set(pc.unique(x["lang"]).to_pylist())], alphabet) for x in halves]
+        rows += moments_of(own_bits(train.where(F.col("lang").isin(langs)), halves, text)).collect()
+    family = Family(models)
+    for r in rows:
+        i = family.langs.index(r["lang"])
+        family.mean[i] = r["first"] / r["n"]
+        if r["varied"]:
+            family.spread[i] = np.sqrt(max(r["second"] - r["first"] ** 2 / r["n"], 0.0) / r["texts"])
+    # One distinct text has no spread of its own: the widest of the other languages stands in, if there is one.
+    known = np.isfinite(family.spread)
+    if known.any():
+        family.spread[~known] = family.spread[known].max()
+        family.mean[family.mean == 0] = family.mean[known].max()
+    return family
+
+
+def moments_of(held: DataFrame) -> DataFrame:
+    """Per language. A text's mean over n letters strays by 1 / sqrt(n): deviations are kept for one letter."""
     n, bits = F.col("n"), F.col("bits")
-    moments = held.groupBy("lang").agg(
+    return held.groupBy("lang").agg(
         F.count("*").alias("texts"),
         F.sum(n).alias("n"),
         F.sum(n * bits).alias("first"),
         F.sum(n * bits * bits).alias("second"),
         (F.min("bits") < F.max("bits")).alias("varied"),
     )
-    for r in moments.collect():
-        if r["lang"] in model.langs:
-            i = model.langs.index(r["lang"])
-            model.mean[i] = r["first"] / r["n"]
-            if r["varied"]:
-                model.spread[i] = np.sqrt(max(r["second"] - r["first"] ** 2 / r["n"], 0.0) / r["texts"])
-    # One distinct text has no spread of its own: the widest of the other languages stands in, if there is one.
-    known = np.isfinite(model.spread)
-    if known.any():
-        model.spread[~known] = model.spread[known].max()
-    return model
 
 
 SCHEMA = "lang string, score double, bits double, rejected boolean, letters long"
 
 
-def predicted(docs: DataFrame, model: Model | None, out: str = "language", text: str = "text") -> DataFrame:
+def measure(shared: Broadcast):
+    """The function that gives a text's letters and its bits per letter in each language of the broadcast model."""
+
+    @pandas_udf("n long, bits array<double>")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            n, bits = shared.value.entropies(texts)
+            yield pd.DataFrame({"n": n, "bits": list(bits)})
+
+    return measured.asNondeterministic()
+
+
+def entropies(docs: DataFrame, models: list[Model], text: str, letters_out: str, bits_out: str) -> DataFrame:
+    """``docs`` with the number of letters and the bits per letter of every language. One model is broadcast at a time;
+    after each but the last the rows are staged."""
+    for k, model in enumerate(models):
+        made = fresh(docs, "_measured")
+        docs = docs.withColumn(made, measure(docs.sparkSession.sparkContext.broadcast(model))(F.col(text)))
+        more = F.col(f"{made}.bits")
+        bits = F.concat(bits_out, more) if k else more
+        docs = docs.withColumn(letters_out, F.col(f"{made}.n")).withColumn(bits_out, bits).drop(made)
+        if k < len(models) - 1:
+            docs = staged(docs, "language-bits")
+    return docs
+
+
+def predicted(docs: DataFrame, family: Family | None, out: str = "language", text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``out``: the language, its share of the likelihood, the bits per letter, the rejection."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if family is None:
+        none = F.struct(F.lit(NO_LANGUAGE).alias("lang"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"), F.lit(True).alias("rejected"), F.lit(0).cast("long").alias("letters"))
+        return docs.withColumn(out, none)
+    langs, mean, spread = family.langs, family.mean, family.spread
+
+    def decided(n: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
+        best = bits.argmin(1)
+        own = bits[np.arange(len(n)), best]
+        # The odds against the others, for at most 20 letters, so that long texts keep a scale.
+        share = 1 / np.exp2(np.minimum(n, 20)[:, None] * (own[:, None] - bits)).sum(1)
+        stray = (own - mean[best]) * np.sqrt(n)
+        none = n == 0
+        return pd.DataFrame(
+            {
+                "lang": np.where(none, NO_LANGUAGE, np.array(langs, object)[best]),
+                "score": np.where(none, 0.0, share),
+                "bits": own,
+                "rejected": none | (stray > REJECT * spread[best]),
+                "letters": n,
+            }
+        )
+
+    if len(family.models) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(family.models[0])
+
+        @pandas_udf(SCHEMA)
+        def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in batches:
+                yield decided(*shared.value.entropies(texts))
+
+        return docs.withColumn(out, predict.asNondeterministic()(F.col(text)))
 
     @pandas_udf(SCHEMA)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for texts in batches:
-            if model is None:
-                yield pd.DataFrame({"lang": [NO_LANGUAGE] * len(texts), "score": 0.0, "bits": 0.0, "rejected": True, "letters": 0})
-                continue
-            n, bits = model.entropies(texts)
-            best = bits.argmin(1)
-            own = bits[np.arange(len(n)), best]
-            # The odds against the others, for at most 20 letters, so that long texts keep a scale.
-            share = 1 / np.exp2(np.minimum(n, 20)[:, None] * (own[:, None] - bits)).sum(1)
-            stray = (own - model.mean[best]) * np.sqrt(n)
-            none = n == 0
-            yield pd.DataFrame(
-                {
-                    "lang": np.where(none, NO_LANGUAGE, np.array(model.langs, object)[best]),
-                    "score": np.where(none, 0.0, share),
-                    "bits": own,
-                    "rejected": none | (stray > REJECT * model.spread[best]),
-                    "letters": n,
-                }
-            )
-
-    return docs.withColumn(out, predict(F.col(text)))
+    def decide(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for n, bits in batches:
+            yield decided(n.to_numpy(), np.stack(bits.to_numpy()) if len(n) else np.zeros((0, len(langs))))
+
+    n, bits = fresh(docs, "_letters"), fresh(docs, "_bits")
+    rows = entropies(docs, family.models, text, n, bits)
+    return rows.withColumn(out, decide(n, bits)).drop(n, bits)
