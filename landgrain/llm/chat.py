@@ -25,6 +25,7 @@ HEAD, MIDDLE, TAIL = "### ", ": ", "</turn>\n"
 ESCAPES = (("\\", "\\b"), ("</turn>", "\\e"), ("###", "\\h"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"), ("\n", "\\n"))
 RESETS = ("message", "edit", "regenerate")
+CHUNK = 128  # code points of a streamed delta
 
 
 def escaped(text: Column, escapes: tuple = ESCAPES) -> Column:
@@ -52,6 +53,25 @@ def events_of(rows: DataFrame) -> DataFrame:
     )
 
 
+def logged(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The log that a chat service would have kept of (conv_id, turn, role, text), in no order of rows.
+
+    An assistant's answer is streamed: a delta with a draft (the first half of the text), a regenerate, then deltas of
+    ``chunk`` code points. Any other turn is a message with the draft, then an edit to the whole text.
+    """
+    text, n = F.coalesce("text", F.lit("")), F.char_length(F.coalesce("text", F.lit("")))
+    event = lambda seq, kind, t: F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), t.alias("text"))
+    draft = F.substr(text, F.lit(1), F.floor(n / 2).cast("int"))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(n / chunk) - 1, F.lit(0)).cast("int"))
+    deltas = F.transform(starts, lambda k: event(k + 2, "delta", F.substr(text, k * chunk + 1, F.lit(chunk))))
+    streamed = F.concat(F.array(event(F.lit(0), "delta", draft), event(F.lit(1), "regenerate", F.lit(""))), deltas)
+    edited = F.array(event(F.lit(0), "message", draft), event(F.lit(1), "edit", text))
+    events = F.when(F.col("role") == "assistant", streamed).otherwise(edited)
+    return events_of(rows).select("conv_id", "turn", "role", F.explode(events).alias("e")).select(
+        "conv_id", F.col("e.seq").alias("seq"), "turn", F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text")
+    )
+
+
 def folded(events: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text): the final messages."""
     steps = events.groupBy("conv_id", "turn").agg(

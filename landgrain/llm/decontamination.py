@@ -3,7 +3,8 @@
 The training side is tokenised into positional postings (term, document, positions) of the terms that a search
 asks for; a search takes the rarest positions of every 13-word test window, shifts their lists by the offset
 inside the item, and intersects the shifted lists. What is left are (document, item, shift) triples, along which
-the whole item is compared word by word. All steps are DataFrame operations.
+the whole item is compared word by word. Postings whose shifts are close without being equal are proximity matches.
+All steps are DataFrame operations.
 
 Defined results: a null text has no words and matches nothing; an item without words is ignored; an item of
 fewer than 13 words is one window; repeated items count once by item_id; rows that share a doc_id are one
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from landgrain.llm.common import maybe_broadcast, staged
 
-WINDOW = 13
+WINDOW, SLOP = 13, 3
 #: Everything that is not part of a word, after A-Z were lowered.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -104,13 +105,18 @@ def candidates(moved: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def proximity(moved: DataFrame, items: DataFrame, slop: int) -> DataFrame:
-    """(doc_id, item_id, shift, slack): two anchors of an item whose distance differs by 1 to ``slop`` words."""
-    order = Window.partitionBy("doc_id", "key").orderBy("shift", "at")
-    near = moved.withColumn("slack", F.col("shift") - F.lag("shift").over(order)).withColumn(
-        "other", F.lag("at").over(order)
-    )
-    near = near.where((F.col("slack") > 0) & (F.col("slack") <= slop) & (F.col("other") != F.col("at")))
-    return near.join(items.select("key", "item_id"), "key").select("doc_id", "item_id", "shift", "slack")
+    """(doc_id, item_id, key): texts in which two anchors of an item, less than a window apart in it, are displaced
+    against each other by 1 to ``slop`` words.
+
+    Every pair of postings is considered: postings are joined by document, item and neighbouring ranges of ``slop``
+    shifts, so that a term that is everywhere meets a few postings of its surroundings only.
+    """
+    at = moved.withColumn("block", F.floor(F.col("shift") / slop)).join(items.select("key", "item_id", "width"), "key")
+    left = at.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
+    right = at.select("doc_id", "key", "block", F.col("at").alias("at2"), F.col("shift").alias("shift2"))
+    met = left.join(right, ["doc_id", "key", "block"])
+    met = met.where((F.col("shift2") - F.col("shift")).between(1, slop)).where((F.col("at") != F.col("at2")) & (F.abs(F.col("at") - F.col("at2")) < F.col("width")))
+    return met.select("doc_id", "item_id", "key").distinct()
 
 
 def phrases(docs: DataFrame, items: DataFrame, found: DataFrame, n_found: int) -> DataFrame:
@@ -146,23 +152,26 @@ def phrases(docs: DataFrame, items: DataFrame, found: DataFrame, n_found: int) -
     )
 
 
-def search(docs: DataFrame, benchmark: DataFrame, slop: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Exact phrase matches (doc_id, item_id, shift, hits) and, with ``slop``, the proximity matches."""
+def search(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
+    """Exact phrase matches (doc_id, item_id, shift, hits) and proximity matches (doc_id, item_id, key)."""
     items = staged(items_of(benchmark), "items")
     terms = staged(items.select(F.explode("words").alias("term")).distinct(), "terms")
     counts = staged(term_counts(docs, terms, terms.count()), "term-counts")
     anchors = staged(rarest_positions(items, counts), "anchors")
     asked = anchors.select("term").distinct()
     index = build_index(docs, asked, asked.count())
-    moved = shifted(index, anchors, anchors.count())
+    moved = staged(shifted(index, anchors, anchors.count()), "moved-postings")
     found = staged(candidates(moved, anchors), "candidates")
     exact = staged(phrases(docs, items, found, found.count()), "phrases")
-    return exact, None if slop is None else proximity(moved, items, slop)
+    return exact, proximity(moved, items, slop)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: its words, the words hit, the items found and whether it is contaminated (5 % of its words)."""
-    exact, _ = search(docs, benchmark)
+    """Per document: its words, the words hit, the items found, whether it is contaminated (5 % of its words), and the items
+    that are near without being found."""
+    exact, near = search(docs, benchmark)
+    near = near.join(exact.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti")
+    near = near.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_near"))
     words = exact.select("doc_id", F.explode("hits").alias("pos")).distinct()
     hit = words.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     items = (
@@ -172,7 +181,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
     )
     counted = docs.select("doc_id", count_words(split_words(F.col("text"))).alias("n_words"))
-    out = counted.join(hit, "doc_id", "left").join(items, "doc_id", "left")
+    out = counted.join(hit, "doc_id", "left").join(items, "doc_id", "left").join(near, "doc_id", "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select(
         "doc_id",
@@ -181,4 +190,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )

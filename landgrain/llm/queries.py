@@ -72,11 +72,23 @@ m AS (SELECT doc_id, item_id, dw.k AS k, s FROM dw JOIN iw ON dw.k = iw.k AND dw
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM m) GROUP BY 1),
 t AS (
   SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY 1)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY 1),
+dp AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS p FROM d),
+fq AS (SELECT term, count(*) AS freq FROM dp GROUP BY 1),
+ip AS (SELECT DISTINCT item_id, w, least(13, len(w)) AS k FROM i WHERE len(w) > 0),
+ia AS (SELECT item_id, w, k, unnest(w) AS term, unnest(range(0, len(w))) AS a FROM ip),
+iv AS (SELECT *, unnest(range(greatest(a - k + 1, 0), least(a, len(w) - k) + 1)) AS s FROM ia),
+an AS (SELECT DISTINCT item_id, w, k, term, a FROM (SELECT iv.*, row_number() OVER (PARTITION BY item_id, w, s ORDER BY coalesce(freq, 0), term, a) AS r
+  FROM iv LEFT JOIN fq USING (term)) WHERE r <= 2),
+mv AS (SELECT doc_id, item_id, w, k, a, p - a AS sh FROM dp JOIN an USING (term)),
+nr AS (
+  SELECT DISTINCT x.doc_id AS doc_id, x.item_id AS item_id FROM mv x JOIN mv z ON x.doc_id = z.doc_id AND x.item_id = z.item_id AND x.w = z.w
+    AND z.sh - x.sh BETWEEN 1 AND 3 AND x.a <> z.a AND abs(x.a - z.a) < x.k),
+nn AS (SELECT doc_id, count(*) AS n_near FROM nr WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = nr.doc_id AND m.item_id = nr.item_id) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
 
 
@@ -95,7 +107,7 @@ def op7_event_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     extra = spark.range(2).select(F.lit(-7).cast("long"), "id", role, F.lit(said))
-    back = chat.read_back(chat.formatted(chat.events_of(rows.union(extra))))
+    back = chat.read_back(chat.formatted(chat.logged(rows.union(extra))))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return back.select(
         "conv_id",

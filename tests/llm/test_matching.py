@@ -1,7 +1,9 @@
 """Near duplicates and decontamination against brute force."""
 
 import itertools
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,9 +37,11 @@ def brute(texts):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_partenum_finds_every_link(spark, texts, block, monkeypatch):
+@pytest.mark.parametrize("block, parts", [(512, 50_000), (2, 2)])
+def test_partenum_finds_every_link(spark, texts, block, parts, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "PARTS", parts)
+    monkeypatch.setattr(J, "PART", 2_000_000 if parts > 2 else 300)
     monkeypatch.setattr(J, "FLUSH", 500)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_set", F.lit(1))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.joined(df).collect()}
@@ -58,8 +62,7 @@ def test_signatures_of_similar_sets_meet():
             b = np.unique(np.r_[r.permutation(a)[gone:], r.integers(0, 1 << 63, new, dtype=np.uint64)])
             c = len(np.intersect1d(a, b))
             if len(b) and 100 * c >= 80 * (len(a) + len(b) - c):
-                (x, nx), (y, ny) = J.signatures(a), J.signatures(b)
-                assert len(np.intersect1d(x, y)) >= max(nx, ny)
+                assert len(np.intersect1d(J.signatures(a), J.signatures(b))) >= J.needed_of([a, b]).max() >= 1
 
 
 def test_near_duplicates_of_odd_tables(spark):
@@ -105,12 +108,44 @@ def test_phrases_like_brute_force(spark, texts):
     assert got == brute_hits(docs, items)
 
 
-def test_proximity_and_empty_tables(spark):
-    d = spark.createDataFrame([(1, "the quick old brown fox jumps"), (2, "quick brown fox")], "doc_id long, text string")
-    b = spark.createDataFrame([(5, "quick brown fox")], "item_id long, text string")
-    exact, near = D.search(d, b, slop=2)
-    assert [(r.doc_id, r.item_id) for r in exact.collect()] == [(2, 5)]
-    assert {r.doc_id for r in near.collect()} <= {1} or near.count() >= 0
+def brute_near(docs, items, slop):
+    """(document, item) pairs with two of an item's anchors displaced by 1 to ``slop``, by the definition."""
+    words = {d: WORD.findall(lower(t)) for d, t in docs}
+    freq = Counter(w for v in words.values() for w in v)
+    out = set()
+    for i, x in items:
+        v = WORD.findall(lower(x))
+        k = min(13, len(v))
+        anchors = set()
+        for s in range(len(v) - k + 1) if v else ():
+            anchors |= set(sorted(range(s, s + k), key=lambda a: (freq[v[a]], v[a], a))[:2])
+        for d, w in words.items():
+            moved = [(p - a, a) for a in anchors for p, t in enumerate(w) if t == v[a]]
+            if any(1 <= t - s <= slop and a != b and abs(a - b) < k for s, a in moved for t, b in moved):
+                out.add((d, i))
+    return out
+
+
+def test_proximity_like_brute_force(spark):
+    r = random.Random(9)
+    vocabulary = ["red", "tide", "owl", "lamp", "fen", "ash", "kit"]
+    docs = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 25)))) for k in range(60)]
+    docs += [(100, "the quick brown old fox jumps"), (101, "quick brown fox"), (102, "a fox is quick and brown"), (103, None)]
+    items = [(1, "quick brown fox"), (2, "red tide owl lamp"), (3, " ".join(vocabulary * 3)), (4, "fen"), (5, ""), (6, "kit ash kit ash")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for slop in (1, 3):
+        _, near = D.search(d, b, slop=slop)
+        assert {(x.doc_id, x.item_id) for x in near.collect()} == brute_near(docs, items, slop)
+    got = {x.doc_id: x for x in D.report(d, b).collect()}
+    assert got[100].n_near == 1 and got[101].n_items == 1 and got[101].n_near == 0
+
+
+def test_empty_and_repeated_tables(spark):
+    d = spark.createDataFrame([(1, "quick brown fox"), (1, "quick brown fox"), (None, "quick brown fox"), (2, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(5, "quick brown fox"), (5, "quick brown fox"), (None, "quick")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.n_hit, r.n_items) for r in D.report(d, b).collect()), key=str)
+    assert got == sorted([(1, 3, 1), (1, 3, 1), (None, 0, 0), (2, 0, 0)], key=str)
     none = spark.createDataFrame([], "item_id long, text string")
-    assert [r.n_hit for r in D.report(d, none).collect()] == [0, 0]
+    assert [r.n_hit for r in D.report(d, none).collect()] == [0, 0, 0, 0]
     assert D.report(d.where("doc_id = 9"), b).count() == 0

@@ -87,6 +87,18 @@ def test_events_fold(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 128])
+def test_log_of_streamed_answers(spark, chunk):
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", "é🙂 good day"), (1, 1, "assistant", None), (1, 2, None, ""), (None, 0, "assistant", "ab" * 70)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.logged(df, chunk)
+    kinds = {r.kind for r in log.collect()}
+    assert kinds == {"message", "edit", "delta", "regenerate"} and log.where("conv_id is null and kind = 'delta'").count() == 1 + -(-140 // chunk)
+    shuffled = log.orderBy(F.desc("seq"), F.rand(3))
+    back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.formatted(shuffled)).collect()}
+    assert back == {1: [("user", "hello there"), ("assistant", ""), ("assistant", "é🙂 good day"), ("", "")], None: [("assistant", "ab" * 70)]}
+
+
 @pytest.mark.parametrize("text", ["\\", "\\\\b\\e", "</turn>", "####", "<\\/turn>", "a\\h#</turn></turn>\n", "</turn</turn>", "é🙂\\### Assistant: </turn> ok", ""])
 def test_escapes_round_trip(spark, text):
     rows = [(7, 0, "assi:st\n\\ant", text), (7, 1, "assistant", text), (7, 1, "assistant", text)]
