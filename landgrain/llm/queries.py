@@ -15,6 +15,7 @@ from landgrain.llm import (
     quality,
     secret_scan,
     sharding,
+    token_counts,
     token_output,
 )
 
@@ -152,5 +153,9 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(docs).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_kneser_ney, op3_feistel_order, op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op7_event_chat, op8_hidden_markov, op9_trigram_secrets, op10_partenum_join)}
+def op13_distinct_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_kneser_ney, op3_feistel_order, op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op7_event_chat, op8_hidden_markov, op9_trigram_secrets, op10_partenum_join, op13_distinct_pretokens)}
 ORACLES: dict[str, str] = {"op4_positional_index": OP4_SQL, "op7_event_chat": OP7_SQL}
