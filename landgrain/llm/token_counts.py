@@ -90,7 +90,8 @@ def distinct_pretokens(docs: DataFrame, path: str, text: str = "text") -> DataFr
                 if len(seen) > GATHERED:
                     yield pd.DataFrame({"piece": list(seen.keys()), "n_docs": list(seen.values())})
                     seen = Counter()
-        yield pd.DataFrame({"piece": list(seen.keys()), "n_docs": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"piece": list(seen.keys()), "n_docs": list(seen.values())})
 
     found = docs.select(text).mapInPandas(gather, "piece string, n_docs long")
     return found.groupBy("piece").agg(F.sum("n_docs").alias("n_docs"))
