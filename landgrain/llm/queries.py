@@ -13,6 +13,7 @@ from landgrain.llm import (
     lm_scoring,
     packing,
     quality,
+    ranked_search,
     secret_scan,
     sharding,
     token_counts,
@@ -153,9 +154,37 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(docs).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
+def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+q AS (SELECT item_id, t, count(*) AS times FROM i GROUP BY 1, 2),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+p AS (
+  SELECT doc_id, len, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY 1, 2, 3),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY 1),
+v AS (
+  SELECT p.doc_id, p.t, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len * n) // l))) AS part
+  FROM p JOIN f USING (t) CROSS JOIN s),
+r AS (
+  SELECT item_id, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM v JOIN q USING (t) GROUP BY 1, 2 HAVING sum(times * part) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 20
+"""
+
+
 def op13_distinct_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_kneser_ney, op3_feistel_order, op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op7_event_chat, op8_hidden_markov, op9_trigram_secrets, op10_partenum_join, op13_distinct_pretokens)}
-ORACLES: dict[str, str] = {"op4_positional_index": OP4_SQL, "op7_event_chat": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_kneser_ney, op3_feistel_order, op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op7_event_chat, op8_hidden_markov, op9_trigram_secrets, op10_partenum_join, op12_nra_search, op13_distinct_pretokens)}
+ORACLES: dict[str, str] = {"op4_positional_index": OP4_SQL, "op7_event_chat": OP7_SQL, "op12_nra_search": OP12_SQL}
