@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from landgrain.llm import (
     chat,
     decontamination,
+    filter_audit,
     jaccard_join,
     language_id,
     lm_scoring,
@@ -154,6 +155,43 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(docs).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
+def op11_retraction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+m AS (
+  SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+    + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask FROM t),
+c AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(x, b)),
+o AS (
+  SELECT f1.x || f2.x || f3.x || f4.x || f5.x AS filter_order, [f1.b, f2.b, f3.b, f4.b, f5.b] AS bits
+  FROM f f1, f f2, f f3, f f4, f f5 WHERE f1.b + f2.b + f3.b + f4.b + f5.b = 31 AND f1.b | f2.b | f3.b | f4.b | f5.b = 31),
+s AS (SELECT filter_order, k AS step, bits[k] AS bit, list_sum(bits[1:k]) - bits[k] AS before FROM (SELECT *, unnest(range(1, 6)) AS k FROM o)),
+r AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (WHERE mask & bit = 0 AND mask & CAST(before AS INT) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & CAST(before AS INT) = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & CAST(before AS INT) > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & bit > 0 AND mask & CAST(before AS INT) = 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE mask & bit > 0 AND mask & CAST(before AS INT) = 0), 0) AS toxic_lost
+  FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -186,5 +224,5 @@ def op13_distinct_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_kneser_ney, op3_feistel_order, op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op7_event_chat, op8_hidden_markov, op9_trigram_secrets, op10_partenum_join, op12_nra_search, op13_distinct_pretokens)}
-ORACLES: dict[str, str] = {"op4_positional_index": OP4_SQL, "op7_event_chat": OP7_SQL, "op12_nra_search": OP12_SQL}
+QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_kneser_ney, op3_feistel_order, op4_positional_index, op5_minimum_bin_slack, op6_line_cleaning, op7_event_chat, op8_hidden_markov, op9_trigram_secrets, op10_partenum_join, op11_retraction_audit, op12_nra_search, op13_distinct_pretokens)}
+ORACLES: dict[str, str] = {"op4_positional_index": OP4_SQL, "op7_event_chat": OP7_SQL, "op11_retraction_audit": OP11_SQL, "op12_nra_search": OP12_SQL}
