@@ -17,6 +17,7 @@ first state and is repeated on the way back.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -87,6 +88,7 @@ class Model:
         head = [] if least is None else counts.where((F.col("word") != END) & (size >= least)).collect()
         head.sort(key=lambda r: (-r["c"], r["word"]))
         self.words = [bytes(r["word"]) for r in head]
+        self.key = hashlib.sha256(b" ".join(self.words)).digest()  # no word holds a blank
         self.c = np.array([r["c"] for r in head], float)
         own = self.words[:SYMBOLS]
         self.n_own = len(own)
@@ -128,16 +130,15 @@ class Lookup(dict):
         return -1
 
 
-_LOOKUPS: dict[int, Lookup] = {}
+_LOOKUPS: dict[bytes, Lookup] = {}
 
 
 def lookup(model: Model) -> Lookup:
     """One per Python worker and vocabulary."""
-    key = hash((len(model.words), model.tokens, model.types))
-    if key not in _LOOKUPS:
+    if model.key not in _LOOKUPS:
         _LOOKUPS.clear()
-        _LOOKUPS[key] = Lookup((w, i) for i, w in enumerate(model.words))
-    return _LOOKUPS[key]
+        _LOOKUPS[model.key] = Lookup((w, i) for i, w in enumerate(model.words))
+    return _LOOKUPS[model.key]
 
 
 def symbols(words: list[bytes], at: np.ndarray, model: Model) -> np.ndarray:

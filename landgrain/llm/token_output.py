@@ -70,6 +70,8 @@ def sequences(docs: DataFrame, path: str, stride: int, text: str = "text") -> Da
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, task, place, filled = word_ids(path), TaskContext.get().partitionId(), 0, 0
+        if encode.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path}: its ids do not fit the 16 bits of a stored token")
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for lo in range(0, len(batch), 400):

@@ -2,7 +2,8 @@
 
 The vocabulary's own rules never join characters across a blank or a line end, so a text is cut there and every
 distinct word is encoded once. Words of letters alone are encoded together, by ``tiktoken`` with the file's own merges
-as ranks; all others by the library. ``tests/llm`` compares the ids with the library's own for whole texts.
+as ranks; all others by the library, which gives a special string inside a text its one id, as a plain call does.
+``tests/llm`` compares the ids with the library's own for whole texts.
 """
 
 from __future__ import annotations
@@ -53,7 +54,6 @@ class WordIds:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         ranks = word_ranks(path)
         self.words = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
         self.is_end = np.zeros(max(ranks.values()) + 1, bool)

@@ -8,6 +8,7 @@ from itertools import product
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from landgrain.llm import lm_scoring, packing, sharding, token_output, tokens
 
@@ -89,11 +90,17 @@ def test_scores_of_odd_tables(spark):
     assert [r.train_tokens for r in rows] == [0, 0, 0] and sorted(r.n_tokens for r in rows) == [1, 3, 3] and all(np.isfinite(r.score) for r in rows)
 
 
+def test_two_corpora_of_equal_size_in_one_session(spark):
+    score = lambda t: [round(r.score, 9) for r in lm_scoring.scored(spark.createDataFrame([(i, t) for i in range(20)], "doc_id long, text string")).collect()]
+    assert score("aa bb cc") == score("dd ee ff") == score("aa bb cc")
+
+
 def test_word_ids_equal_the_library(texts):
     w = tokens.WordIds(tokens.public_path())
-    extra = ["don't we'll I'd", "İ. ſ ß É, Ñ.", "<|endoftext|> 1²½", "a.b,c..", "中文 🙂​ x́ ́", "\x1c\x85  z"]
+    library = Tokenizer.from_file(tokens.public_path())  # with its defaults
+    extra = ["don't we'll I'd", "İ. ſ ß É, Ñ.", "<|endoftext|> 1²½", "a<|endoftext|>b <|ENDOFTEXT|>", "x  <|startoftext|><|endoftext|>, <|", "<|endoftext|>", "a.b,c..", "中文 🙂​ x́ ́", "\x1c\x85  z"]
     for t in [*(x for x in texts if x), *extra]:
-        want = w.tokenizer.encode(t, add_special_tokens=False).ids
+        want = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(w.of(t), "<u4").tolist() == want
 
 
