@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landgrain.operators.components import checkpointed
+from landgrain.operators.large_effects import solved_large
 
 MOST = 5_000  # levels of all small dimensions together
 
@@ -57,11 +58,15 @@ def mean_products(rows: DataFrame, group: list[str], n_dims: int, columns: list[
     one = lambda label, v: F.struct(label.alias("l"), v.cast("double").alias("v"))
     features = [one(F.lit("n"), F.lit(1.0)), *(one(F.col(f"_d{k}"), F.lit(1.0)) for k in range(n_dims))]
     features += [one(F.lit(f"c:{c}"), F.col(f"_c{k}")) for k, c in enumerate(columns)]
-    sums = rows.select(*group, "_big", "_w", F.explode(F.array(*features)).alias("f"))
-    sums = sums.groupBy(*group, "_big", F.col("f.l").alias("l")).agg(F.sum(F.col("_w") * F.col("f.v")).alias("v"))
+    slopes = "_t" in rows.columns
+    features += [one(F.lit("t"), F.col("_t"))] if slopes else []
+    sums = rows.select(*group, "_big", "_w", *(["_t"] if slopes else []), F.explode(F.array(*features)).alias("f"))
+    v = F.col("_w") * F.col("f.v")
+    moved = F.sum(v * F.col("_t")) if slopes else F.lit(0.0)
+    sums = sums.groupBy(*group, "_big", F.col("f.l").alias("l")).agg(F.sum(v).alias("v"), moved.alias("u"))
     # At most one entry per level of a small dimension: bounded by the Gram matrix, not by the group.
-    lists = sums.groupBy(*group, "_big").agg(F.collect_list(F.struct("l", "v")).alias("s"))
-    lists = lists.select(*group, F.transform("s", lambda x: x["l"]).alias("l"), F.transform("s", lambda x: x["v"]).alias("v"))
+    lists = sums.groupBy(*group, "_big").agg(F.collect_list(F.struct("l", "v", "u")).alias("s"))
+    lists = lists.select(*group, *(F.col(f"s.{c}").alias(c) for c in "lvu"))
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "i string", "j string", "v double"])
 
@@ -69,6 +74,7 @@ def mean_products(rows: DataFrame, group: list[str], n_dims: int, columns: list[
         sizes = part["l"].map(len).to_numpy()
         code, names = pd.factorize(np.concatenate(part["l"].to_numpy()), sort=True)
         value, row = np.concatenate(part["v"].to_numpy()), np.repeat(np.arange(len(part)), sizes)
+        with_time = np.concatenate(part["u"].to_numpy())
         n = len(names)
         constant = int(np.searchsorted(names, "n"))
         total, step = np.zeros((n, n)), max(1, 4_000_000 // n)
@@ -77,8 +83,18 @@ def mean_products(rows: DataFrame, group: list[str], n_dims: int, columns: list[
             block = np.zeros((min(step, len(part) - lo), n))
             block[row[some] - lo, code[some]] = value[some]
             weight = block[:, constant]
-            block = block[weight > 0]
-            total += block.T @ (block / block[:, [constant]])
+            there = weight > 0
+            total += block[there].T @ (block[there] / weight[there, None])
+            if not slopes:
+                continue
+            # What the slopes take off: sums with the slope's variable, centred within each large group.
+            time = np.zeros_like(block)
+            time[row[some] - lo, code[some]] = with_time[some]
+            block, time = block[there], time[there]
+            centred = time - block * (time[:, [constant]] / block[:, [constant]])
+            at = int(np.searchsorted(names, "t"))
+            moves = centred[:, at] > 1e-9 * np.abs(time[:, at])
+            total += centred[moves].T @ (centred[moves] / centred[moves][:, [at]])
         i, j = np.nonzero(np.triu(total != 0))
         return pd.DataFrame({"i": names[i], "j": names[j], "v": -total[i, j]})
 
@@ -95,52 +111,96 @@ def mean_products(rows: DataFrame, group: list[str], n_dims: int, columns: list[
     return lists.mapInPandas(multiply, schema)
 
 
+def complete(df: DataFrame, columns: list[str], absorb: list[str], weight: str | None, group: list[str], slope: str | None = None) -> DataFrame:
+    """The complete rows: group..., _big, _w, labels _d<k>, columns _c<k>, and _t where the large dimension has slopes."""
+    big, *smalls = absorb
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    values = [F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(columns)]
+    values += [F.col(slope).cast("double").alias("_t")] if slope else []
+    rows = df.dropna(subset=[x for x in (*columns, *absorb, weight, slope) if x])
+    return rows.select(*group, F.col(big).alias("_big"), w.alias("_w"), *labels(smalls), *values)
+
+
 def gram(
-    df: DataFrame, columns: list[str], absorb: list[str], weight: str | None = None, group: list[str] = ()
+    df: DataFrame, columns: list[str], absorb: list[str], weight: str | None = None, group: list[str] = (), slope: str | None = None
 ) -> DataFrame:
     """(group..., i, j, v), i before j: weighted cross products of all features, less those of the means of the large groups.
 
     ``absorb`` names the large dimension first. Rows that lack a column, level or weight are left out.
     """
-    group, (big, *smalls) = list(group), absorb
-    needed = [*columns, *absorb, *([weight] if weight else [])]
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    values = [F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(columns)]
-    rows = df.dropna(subset=needed).select(*group, F.col(big).alias("_big"), w.alias("_w"), *labels(smalls), *values)
-    parts = [f(rows, group, len(smalls), columns) for f in (own_products, mean_products)]
+    group = list(group)
+    rows = complete(df, columns, absorb, weight, group, slope)
+    parts = [f(rows, group, len(absorb) - 1, columns) for f in (own_products, mean_products)]
     return parts[0].unionByName(parts[1]).groupBy(*group, "i", "j").agg(F.sum("v").alias("v"))
 
 
-def plain_moments(df: DataFrame, columns: list[str], big: str, weight: str | None, group: list[str]) -> DataFrame:
+def plain_moments(df: DataFrame, columns: list[str], big: str, weight: str | None, group: list[str], slope: str | None = None) -> DataFrame:
     """The moments of ``solved`` where one dimension alone is absorbed: sums per level, then per model, nothing to solve."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     value = lambda c: F.col(c).cast("double")
-    rows = df.dropna(subset=[*columns, big, *([weight] if weight else [])])
+    rows = df.dropna(subset=[x for x in (*columns, big, weight, slope) if x])
+    t = value(slope) if slope else F.lit(0.0)
     cells = [(a, b) for a in range(len(columns)) for b in range(a, len(columns))]
     per = rows.groupBy(*group, big).agg(
         F.sum(w).alias("_w"),
         *(F.sum(w * value(c)).alias(f"_s{k}") for k, c in enumerate(columns)),
         *(F.sum(w * value(columns[a]) * value(columns[b])).alias(f"_p{a}_{b}") for a, b in cells),
+        F.sum(w * t).alias("_t"),
+        F.sum(w * t * t).alias("_tt"),
+        *(F.sum(w * t * value(c)).alias(f"_u{k}") for k, c in enumerate(columns)),
     )
-    within = lambda a, b: F.sum(F.col(f"_p{a}_{b}") - F.col(f"_s{a}") * F.col(f"_s{b}") / F.col("_w"))
+    centred = lambda k: F.col(f"_u{k}") - F.col("_t") * F.col(f"_s{k}") / F.col("_w")
+    spread = F.col("_tt") - F.col("_t") * F.col("_t") / F.col("_w")
+    by_slope = lambda a, b: F.when(spread > 1e-9 * F.col("_tt"), centred(a) * centred(b) / spread).otherwise(0.0)
+    within = lambda a, b: F.sum(F.col(f"_p{a}_{b}") - F.col(f"_s{a}") * F.col(f"_s{b}") / F.col("_w") - by_slope(a, b))
     sums = per.where("_w > 0").groupBy(*group).agg(*(within(a, b).alias(f"m{a}_{b}") for a, b in cells))
     cell = lambda a, b: F.struct(
         F.lit("moment").alias("kind"), F.lit(columns[a]).alias("a"), F.lit(columns[b]).alias("b"), F.col(f"m{min(a, b)}_{max(a, b)}").alias("value")
     )
     every = F.array(*(cell(a, b) for a in range(len(columns)) for b in range(len(columns))))
-    return sums.select(*group, F.explode(every).alias("m")).select(*group, "m.*").where("value is not null")
+    out = sums.select(*group, F.explode(every).alias("m")).select(*group, "m.*").where("value is not null")
+    return out.withColumn("component", F.lit(None).cast("string"))
+
+
+def linked(near: np.ndarray) -> np.ndarray:
+    """Per row of a symmetric matrix of truth values, the first row that it is linked with."""
+    label = np.arange(len(near))
+    while True:
+        new = np.array([label[x].min() if x.any() else label[k] for k, x in enumerate(near)], int)
+        new = np.minimum(label, new)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def most_levels(df: DataFrame, smalls: list[str], group: list[str]) -> int:
+    """About how many levels of small dimensions the largest model has, within some hundredths."""
+    n = sum((F.approx_count_distinct(d, 0.02) for d in smalls), F.lit(0))
+    return df.groupBy(*group).agg(n.alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def solved(
-    df: DataFrame, columns: list[str], absorb: list[str], weight: str | None = None, group: list[str] = ()
-) -> DataFrame:
-    """(group..., kind, a, b, value) per model: kind ``proj``: the effect of level a (``dimension:level``) on column b;
-    kind ``moment``: the cross product of columns a and b with everything absorbed."""
+    df: DataFrame, columns: list[str], absorb: list[str], weight: str | None = None, group: list[str] = (), most: int = MOST,
+    slope: str | None = None,
+) -> DataFrame:
+    """(group..., kind, a, b, value, component) per model: kind ``proj``: the effect of level a (``dimension:level``) on
+    column b; kind ``moment``: the cross product of columns a and b with everything absorbed.
+
+    Effects compare within a component alone: the levels of one dimension that units of the large one link. It is named
+    by its first level. ``slope`` names a column whose coefficient is each large group's own (as a trend), absorbed jointly
+    with the effects. With more than about ``most`` levels in a model, all are solved by conjugate gradients.
+    """
     group = list(group)
     if len(absorb) == 1:
-        return plain_moments(df, columns, absorb[0], weight, group)
+        return plain_moments(df, columns, absorb[0], weight, group, slope)
     names = [f"c:{c}" for c in columns]
-    rows = gram(df, columns, absorb, weight, group).where("i <> 'n' and j <> 'n'")
+    if most_levels(df, absorb[1:], group) > 0.9 * most:
+        if slope:
+            raise ValueError(f"slopes need at most {most} levels")
+        rows = checkpointed(complete(df, columns, absorb, weight, group))
+        return solved_large(rows, columns, len(absorb) - 1, group, plain_moments(df.dropna(subset=absorb), columns, absorb[0], weight, group))
+    rows = gram(df, columns, absorb, weight, group, slope).where("i not in ('n', 't') and j not in ('n', 't')")
     keys = group or ["_one"]
     rows = rows if group else rows.withColumn("_one", F.lit(1))
 
@@ -149,22 +209,25 @@ def solved(
         at = {x: k for k, x in enumerate(labels)}
         small = [x for x in labels if not x.startswith("c:")]
         if len(small) > MOST:
-            raise ValueError(f"{len(small)} levels of small dimensions; use alternating()")
+            raise ValueError(f"{len(small)} levels of small dimensions; lower ``most``")
         g = np.zeros((len(labels), len(labels)))
         i, j = pdf["i"].map(at).to_numpy(), pdf["j"].map(at).to_numpy()
         g[i, j] = g[j, i] = pdf["v"]
         s, c = [at[x] for x in small], [at[x] for x in names]
         proj = np.linalg.pinv(g[np.ix_(s, s)], rcond=1e-10, hermitian=True) @ g[np.ix_(s, c)] if s else np.zeros((0, len(c)))
         moment = g[np.ix_(c, c)] - g[np.ix_(c, s)] @ proj
-        out = [("proj", x, n, proj[a, b]) for a, x in enumerate(small) for b, n in enumerate(columns)]
-        out += [("moment", p, q, moment[a, b]) for a, p in enumerate(columns) for b, q in enumerate(columns)]
-        out = pd.DataFrame(out, columns=["kind", "a", "b", "value"])
+        dims = np.array([x.split(":", 1)[0] for x in small])
+        # Two levels of one dimension share no row, so only a common unit leaves something between them.
+        comp = linked((g[np.ix_(s, s)] != 0) & (dims[:, None] == dims)) if s else []
+        out = [("proj", x, n, proj[a, b], small[comp[a]]) for a, x in enumerate(small) for b, n in enumerate(columns)]
+        out += [("moment", p, q, moment[a, b], None) for a, p in enumerate(columns) for b, q in enumerate(columns)]
+        out = pd.DataFrame(out, columns=["kind", "a", "b", "value", "component"])
         for k in keys:
             out[k] = pdf[k].iloc[0]
-        return out[[*keys, "kind", "a", "b", "value"]]
+        return out[[*keys, "kind", "a", "b", "value", "component"]]
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", kind string, a string, b string, value double"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", kind string, a string, b string, value double, component string"
     out = rows.groupBy(*keys).applyInPandas(solve, schema)
     return out if group else out.drop("_one")
 
@@ -172,36 +235,64 @@ def solved(
 def level_effects(
     df: DataFrame, y: str, absorb: list[str], weight: str | None = None, group: list[str] = ()
 ) -> DataFrame:
-    """(group..., dim, level, effect) of the small dimensions of ``absorb`` (the first one is the large one)."""
+    """(group..., dim, level, effect, component) of the small dimensions of ``absorb`` (the first one is the large one).
+    Effects of one dimension compare within a component, which is named by one of its levels."""
     out = solved(df, [y], absorb, weight, group).where("kind = 'proj'")
     at = F.substring_index("a", ":", 1).cast("int")
     dims = F.array(*(F.lit(d) for d in absorb[1:]))
-    level = F.substr("a", F.length(F.substring_index("a", ":", 1)) + 2)
-    return out.select(*group, F.get(dims, at).alias("dim"), level.alias("level"), F.col("value").alias("effect"))
+    level = lambda c: F.substr(c, F.length(F.substring_index("a", ":", 1)) + 2)
+    return out.select(
+        *group, F.get(dims, at).alias("dim"), level("a").alias("level"), F.col("value").alias("effect"), level("component").alias("component")
+    )
+
+
+def comparable(effects: DataFrame, keys: list[str], base: Column, out: str = "effect") -> DataFrame:
+    """``effects`` of one dimension less their mean over the levels for which ``base`` holds, per key; NULL for levels
+    that no unit links with those. Where the base lies in several components, the one with most of it counts, then the
+    first; where no level is in the base, all levels are."""
+    sizes = effects.groupBy(*keys, "component").agg(
+        F.count_if(base).alias("_n"), F.count("*").alias("_all"), F.avg(F.when(base, F.col("effect"))).alias("_base"), F.avg("effect").alias("_mean")
+    )
+    order = F.struct(-F.col("_n"), -F.col("_all"), "component")
+    pick = sizes.groupBy(*keys).agg(F.min_by(F.struct("component", F.coalesce("_base", "_mean").alias("_base")), order).alias("_pick"))
+    pick = pick.select(*keys, F.col("_pick.component").alias("_component"), F.col("_pick._base").alias("_base"))
+    joined = effects.join(pick, keys) if keys else effects.crossJoin(F.broadcast(pick))
+    inside = F.col("component") == F.col("_component")
+    return joined.withColumn(out, F.when(inside, F.col("effect") - F.col("_base"))).drop("_component", "_base")
 
 
 def residualised(
-    df: DataFrame, columns: list[str], absorb: list[str], weight: str | None = None, fit: DataFrame | None = None
-) -> DataFrame:
-    """``df`` (complete rows) with r_<column>: each column less its projection on all absorbed dimensions."""
-    big, *smalls = absorb
-    fit = solved(df, columns, absorb, weight) if fit is None else fit
-    rows = df.dropna(subset=[*columns, *absorb, *([weight] if weight else [])])
+    df: DataFrame, columns: list[str], absorb: list[str], weight: str | None = None, fit: DataFrame | None = None, group: list[str] = (),
+    slope: str | None = None,
+) -> DataFrame:
+    """``df`` (complete rows) with r_<column>: each column less its projection on all absorbed dimensions, per ``group``."""
+    (big, *smalls), group = absorb, list(group)
+    fit = solved(df, columns, absorb, weight, group, slope=slope) if fit is None else fit
+    rows = df.dropna(subset=[x for x in (*columns, *absorb, weight, slope) if x])
     for c in columns:
         rows = rows.withColumn(f"r_{c}", F.col(c).cast("double"))
     for k, d in enumerate(smalls):
         part = fit.where((F.col("kind") == "proj") & F.col("a").startswith(f"{k}:"))
-        part = part.groupBy(F.substr("a", F.lit(len(str(k)) + 2)).alias("_level"))
+        part = part.groupBy(*group, F.substr("a", F.lit(len(str(k)) + 2)).alias("_level"))
         part = part.agg(*(F.sum(F.when(F.col("b") == c, F.col("value"))).alias(f"_p_{c}") for c in columns))
-        rows = rows.join(part, F.col(d).cast("string") == F.col("_level")).drop("_level")
+        rows = rows.withColumn("_level", F.col(d).cast("string")).join(part, [*group, "_level"]).drop("_level")
         for c in columns:
             rows = rows.withColumn(f"r_{c}", F.col(f"r_{c}") - F.col(f"_p_{c}")).drop(f"_p_{c}")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    means = rows.groupBy(big).agg(*((F.sum(w * F.col(f"r_{c}")) / F.sum(w)).alias(f"_m_{c}") for c in columns))
-    rows = rows.join(means, big)
+    mean = lambda x: F.sum(w * x) / F.sum(w)
+    t = F.col(slope).cast("double") if slope else F.lit(0.0)
+    means = rows.groupBy(*group, big).agg(
+        *(mean(F.col(f"r_{c}")).alias(f"_m_{c}") for c in columns),
+        *(mean(F.col(f"r_{c}") * t).alias(f"_k_{c}") for c in columns),
+        mean(t).alias("_t"),
+        mean(t * t).alias("_tt"),
+    )
+    spread = F.col("_tt") - F.col("_t") * F.col("_t")
+    by_slope = lambda c: F.when(spread > 1e-9 * F.col("_tt"), (F.col(f"_k_{c}") - F.col("_t") * F.col(f"_m_{c}")) / spread).otherwise(0.0)
+    rows = rows.join(means, [*group, big])
     for c in columns:
-        rows = rows.withColumn(f"r_{c}", F.col(f"r_{c}") - F.col(f"_m_{c}")).drop(f"_m_{c}")
-    return rows
+        rows = rows.withColumn(f"r_{c}", F.col(f"r_{c}") - F.col(f"_m_{c}") - by_slope(c) * (t - F.col("_t")))
+    return rows.drop("_t", "_tt", *(f"_{x}_{c}" for x in "mk" for c in columns))
 
 
 def big_effects(df: DataFrame, y: str, absorb: list[str], weight: str | None = None) -> DataFrame:
@@ -278,21 +369,22 @@ def fe_2sls(
     cluster: str | None = None,
     weight: str | None = None,
     small_sample: bool = False,
+    slope: str | None = None,
 ) -> Fit:
     """2SLS with absorbed effects: residuals with the actual regressors, the sandwich with the fitted ones.
 
-    Without ``endogenous`` this is OLS. ``small_sample`` adds (N - 1) / (N - K).
+    Without ``endogenous`` this is OLS. ``small_sample`` adds (N - 1) / (N - K). ``slope``: as in ``solved``.
     """
     columns = list(dict.fromkeys([y, *endogenous, *exogenous, *instruments]))
     at = {c: k for k, c in enumerate(columns)}
-    fit = checkpointed(solved(df, columns, absorb, weight))  # a few numbers, read again and again
+    fit = checkpointed(solved(df, columns, absorb, weight, slope=slope))  # a few numbers, read again and again
     s = moments(fit, columns)
     x, z = [at[c] for c in [*endogenous, *exogenous]], [at[c] for c in [*instruments, *exogenous]]
     szz = np.linalg.pinv(s[np.ix_(z, z)], hermitian=True)
     first = szz @ s[np.ix_(z, x)]
     bread = np.linalg.pinv(s[np.ix_(x, z)] @ first, hermitian=True)
     beta = bread @ first.T @ s[z, 0]
-    rows = residualised(df, columns, absorb, weight, fit)
+    rows = residualised(df, columns, absorb, weight, fit, slope=slope)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     combo = lambda names, c: sum((F.lit(float(v)) * F.col(f"r_{n}") for n, v in zip(names, c)), F.lit(0.0))
     terms, zs = [*endogenous, *exogenous], [*instruments, *exogenous]
@@ -325,6 +417,146 @@ def fe_ols(
     return fe_2sls(df, y, [], [], xs, absorb, cluster, weight, **kw)
 
 
+@dataclass(frozen=True)
+class Model:
+    """One regression of a batch: log price on ``endogenous`` (with ``instruments``) and ``exogenous``, with the levels of
+    ``absorb`` (the large dimension first) and, with ``slope``, that column's own coefficient per level of the first.
+    Without ``cluster`` errors are robust by row. ``where``: its rows."""
+
+    name: str
+    y: str
+    exogenous: tuple[str, ...]
+    absorb: tuple[str, ...]
+    cluster: str | None = None
+    weight: str | None = None
+    endogenous: tuple[str, ...] = ()
+    instruments: tuple[str, ...] = ()
+    slope: str | None = None
+    where: str | None = None
+
+    @property
+    def terms(self) -> list[str]:
+        return [*self.endogenous, *self.exogenous]
+
+
+def stacked(df: DataFrame, models: list[Model], keys: list[str] = ()) -> DataFrame:
+    """Every row once per model that it belongs to, in columns that all models share: keys..., model, y, x<k>, z<k>, d<k>
+    (levels), cl (cluster), w, t, q (number of instruments). What a model lacks is constant."""
+    n_x, n_z, n_d = (max(f(m) for m in models) for f in (lambda m: len(m.terms), lambda m: len(m.instruments + m.exogenous), lambda m: len(m.absorb)))
+    number = lambda c: F.col(c).cast("double") if c else F.lit(0.0)
+    level = lambda c: F.col(c).cast("string") if c else F.lit("")
+    pad = lambda names, n: [*names, *[None] * (n - len(names))]
+    each = []
+    for m in models:
+        one = F.struct(
+            F.lit(m.name).alias("model"), number(m.y).alias("y"),
+            *(number(c).alias(f"x{k}") for k, c in enumerate(pad(m.terms, n_x))),
+            *(number(c).alias(f"z{k}") for k, c in enumerate(pad(m.instruments + m.exogenous, n_z))),
+            *(level(c).alias(f"d{k}") for k, c in enumerate(pad(m.absorb, n_d))),
+            level(m.cluster).alias("cl"), (number(m.weight) if m.weight else F.lit(1.0)).alias("w"), number(m.slope).alias("t"), F.lit(len(m.instruments)).alias("q"),
+        )
+        each.append(F.when(F.expr(m.where), one) if m.where else one)
+    return df.select(*keys, F.explode(F.array_compact(F.array(*each))).alias("_m")).select(*keys, "_m.*")
+
+
+def first_steps(moments: DataFrame, key: list[str], n_x: int, n_z: int) -> DataFrame:
+    """Per model beta, the first stage and what the errors need, from its cross products: a few numbers each."""
+    names = ["y", *(f"x{k}" for k in range(n_x)), *(f"z{k}" for k in range(n_z))]
+    at = {c: k for k, c in enumerate(names)}
+    x, z = range(1, 1 + n_x), range(1 + n_x, 1 + n_x + n_z)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = np.zeros((len(names), len(names)))
+        s[pdf["a"].map(at), pdf["b"].map(at)] = pdf["value"]
+        szz = np.linalg.pinv(s[np.ix_(z, z)], rcond=1e-10, hermitian=True)
+        first = szz @ s[np.ix_(z, x)]
+        bread = np.linalg.pinv(s[np.ix_(x, z)] @ first, rcond=1e-10, hermitian=True)
+        beta = bread @ first.T @ s[z, 0]
+        rss = s[0, 0] - 2 * beta @ s[x, 0] + beta @ s[np.ix_(x, x)] @ beta
+        out = {"beta": beta, "first": first.ravel(), "bread": bread.ravel(), "szz": szz.ravel(), "szx": s[list(z), 1], "xx": s[1, 1]}
+        out["r2"] = 1 - rss / s[0, 0] if s[0, 0] > 0 else 0.0
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in key}, **out}])
+
+    kinds = dict(moments.dtypes)
+    arrays = ", ".join(f"{c} array<double>" for c in ("beta", "first", "bread", "szz", "szx"))
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + f", {arrays}, xx double, r2 double"
+    return moments.where("kind = 'moment'").select(*key, "a", "b", "value").groupBy(*key).applyInPandas(solve, schema)
+
+
+def fit_models(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(keys..., model, term, beta, se, se_hc, n, clusters, r2_within, first_stage_f, partial_r2) of all models in ``rows``
+    (as ``stacked`` makes them); ``term`` is the place of the regressor. The number of jobs does not depend on the number
+    of models: one set of cross products, one small solution per model, and one pass for the scores of all.
+
+    ``se`` is by cluster, or by row where there is one cluster; ``se_hc`` is by row. The first stage is that of the first
+    regressor, NULL without instruments.
+    """
+    key = [*keys, "model"]
+    of = lambda p: sorted((c for c in rows.columns if c[0] == p and c[1:].isdigit()), key=lambda c: int(c[1:]))
+    xs, zs, dims = of("x"), of("z"), of("d")
+    n_x, n_z, columns = len(xs), len(zs), ["y", *xs, *zs]
+    rows = checkpointed(rows.dropna(subset=[*columns, *dims, "w", "t"]).where("w > 0"))
+    fit = checkpointed(solved(rows, columns, dims, "w", key, slope="t"))
+    steps = checkpointed(first_steps(fit, key, n_x, n_z))
+    left = residualised(rows, columns, dims, "w", fit, key, "t").join(steps, key)
+    at = lambda c, k: F.get(F.col(c), F.lit(k))
+    fitted = [sum((F.col(f"r_{z}") * at("first", j * n_x + k) for j, z in enumerate(zs)), F.lit(0.0)) for k in range(n_x)]
+    error = F.col("r_y") - sum((at("beta", k) * F.col(f"r_{x}") for k, x in enumerate(xs)), F.lit(0.0))
+    scores = [F.col("w") * f * error for f in fitted] + [F.col("w") * F.col(f"r_{z}") * (F.col("r_x0") - fitted[0]) for z in zs]
+    m = n_x + n_z
+    cells = [(a, b) for a in range(m) for b in range(a, m) if (a < n_x) == (b < n_x)]
+    rows_too = [(a, b) for a, b in cells if a < n_x]
+    named = left.select(*key, "cl", "q", *(s.alias(f"s{k}") for k, s in enumerate(scores)))
+    by_cluster = named.groupBy(*key, "cl").agg(
+        F.count("*").alias("n"), F.max("q").alias("q"), *(F.sum(f"s{k}").alias(f"s{k}") for k in range(m)),
+        *(F.sum(F.col(f"s{a}") * F.col(f"s{b}")).alias(f"h{a}_{b}") for a, b in rows_too),
+    )
+    sums = by_cluster.groupBy(*key).agg(
+        F.sum("n").alias("n"), F.count("*").alias("clusters"), F.max("q").alias("q"),
+        *(F.sum(F.col(f"s{a}") * F.col(f"s{b}")).alias(f"m{a}_{b}") for a, b in cells),
+        *(F.sum(f"h{a}_{b}").alias(f"h{a}_{b}") for a, b in rows_too),
+    ).join(steps, key)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                def matrix(p, lo, hi, r=r):
+                    v = np.zeros((hi - lo, hi - lo))
+                    for a, b in cells:
+                        if lo <= a and b < hi:
+                            v[a - lo, b - lo] = v[b - lo, a - lo] = r[f"{p}{a}_{b}"]
+                    return v
+
+                bread, g, q = np.reshape(r["bread"], (n_x, n_x)), r["clusters"], int(r["q"])
+                scale = g / (g - 1) if g > 1 else 1.0
+                hc = np.sqrt(np.maximum(np.diag(bread @ matrix("h", 0, n_x) @ bread), 0))
+                se = np.sqrt(np.maximum(np.diag(bread @ matrix("m", 0, n_x) @ bread) * scale, 0)) if g > 1 else hc
+                f = partial = None
+                if q:
+                    szz, first = np.reshape(r["szz"], (n_z, n_z)), np.reshape(r["first"], (n_z, n_x))[:, 0]
+                    v = (szz @ matrix("m", n_x, m) @ szz * scale)[:q, :q]
+                    f = float(first[:q] @ np.linalg.pinv(v, hermitian=True) @ first[:q] / q) if g > 1 else None
+                    rest, szx = np.linalg.pinv(szz, rcond=1e-10, hermitian=True)[q:, q:], np.array(r["szx"])
+                    without = szx[q:] @ np.linalg.pinv(rest, rcond=1e-10, hermitian=True) @ szx[q:] if n_z > q else 0.0
+                    partial = float((szx @ szz @ szx - without) / (r["xx"] - without)) if r["xx"] > without else 0.0
+                for k in range(n_x):
+                    if bread[k, k] > 0:
+                        out.append([*(r[c] for c in key), k, r["beta"][k], se[k], hc[k], r["n"], g, r["r2"], f if k == 0 else None, partial if k == 0 else None])
+            yield pd.DataFrame(out, columns=[*key, "term", "beta", "se", "se_hc", "n", "clusters", "r2_within", "first_stage_f", "partial_r2"])
+
+    kinds = dict(sums.dtypes)
+    fields = "term int, beta double, se double, se_hc double, n long, clusters long, r2_within double, first_stage_f double, partial_r2 double"
+    return sums.mapInPandas(finish, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), fields]))
+
+
+def fitted_models(df: DataFrame, models: list[Model], keys: list[str] = ()) -> DataFrame:
+    """``fit_models`` over the rows of ``df`` with the regressors' names as ``term``."""
+    out = fit_models(stacked(df, models, keys), keys)
+    names = F.create_map(*(x for m in models for x in (F.lit(m.name), F.array(*(F.lit(t) for t in m.terms)))))
+    return out.withColumn("term", F.get(F.element_at(names, F.col("model")), F.col("term"))).where("term is not null")
+
+
 def pooled_ols(df: DataFrame, y: str, xs: list[str], **kw) -> Fit:
     """OLS with a constant and no effects."""
     return fe_ols(df.withColumn("_all", F.lit(0)), y, xs, ["_all"], **kw)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrain.functions.exprs import divided
-from landgrain.operators.fixed_effects import fe_ols, grouped_ols, level_effects, moments, solved
+from landgrain.operators.fixed_effects import comparable, fe_ols, grouped_ols, level_effects, moments, solved
 from landgrain.operators.relational import next_row, rebased, with_size
 
 
@@ -24,12 +24,10 @@ def filled_prices(prices: DataFrame, months: DataFrame) -> DataFrame:
 
 
 def as_index(effects: DataFrame, keys: list[str], period: str, base: Column) -> DataFrame:
-    """100 exp(effect less its mean over the base periods), per key; over all periods where the base has none."""
-    mean = effects.groupBy(*keys).agg(
-        F.coalesce(F.avg(F.when(base, F.col("effect"))), F.avg("effect")).alias("_base")
-    )
-    joined = effects.join(mean, keys) if keys else effects.crossJoin(F.broadcast(mean))
-    return joined.select(*keys, period, (100 * F.exp(F.col("effect") - F.col("_base"))).alias("index"))
+    """100 exp(effect less its mean over the base periods), per key; over all periods where the base has none. NULL for
+    periods that no unit links with the base."""
+    out = comparable(effects, keys, base)
+    return out.select(*keys, period, (100 * F.exp("effect")).alias("index"))
 
 
 def raw_index(df: DataFrame, value: str, period: str, base: Column) -> DataFrame:
@@ -129,10 +127,13 @@ def comparison(indices: DataFrame, kind: str, period: str, value: str, first: st
 
 
 def drift(df: DataFrame, y: str, unit: str, period: str, group: list[str]) -> DataFrame:
-    """(group..., period, drift): the period effects on y of the same unit, less the first period's."""
-    e = level_effects(df, y, [unit, period], group=group).select(*group, F.col("level").alias(period), "effect")
-    first = e.groupBy(*group).agg(F.min_by("effect", period).alias("_first"))
-    return e.join(first, group).select(*group, period, (F.col("effect") - F.col("_first")).alias("drift"))
+    """(group..., period, drift): the period effects on y of the same unit, less the first period's; NULL for periods that
+    no unit links with it."""
+    e = level_effects(df, y, [unit, period], group=group).withColumnRenamed("level", period)
+    first = e.groupBy(*group).agg(F.min_by(F.struct("effect", "component"), period).alias("_first"))
+    drifted = F.when(F.col("component") == F.col("_first.component"), F.col("effect") - F.col("_first.effect"))
+    out = e.join(first, group) if group else e.crossJoin(F.broadcast(first))
+    return out.select(*group, period, drifted.alias("drift"))
 
 
 def partialled_premium(df: DataFrame, y: str, binary: str, absorb: list[str]) -> DataFrame:
@@ -159,8 +160,9 @@ def premiums(
     fewer than ``least`` rows are left out."""
     group = list(group)
     e = level_effects(df, y, [unit, kind, *controls], group=group).where(F.col("dim") == kind)
-    ref = e.where(F.col("level") == base).select(*group, F.col("effect").alias("_base"))
+    ref = e.where(F.col("level") == base).select(*group, F.col("effect").alias("_base"), F.col("component").alias("_c"))
     e = e.join(ref, group) if group else e.crossJoin(F.broadcast(ref))
+    e = e.withColumn("_base", F.when(F.col("component") == F.col("_c"), F.col("_base")))  # else not comparable
     n = df.groupBy(*group, F.col(kind).cast("string").alias("level")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     out = e.join(n, [*group, "level"])
     return out.select(*group, F.col("level").alias(kind), "n", (F.exp(F.col("effect") - F.col("_base")) - 1).alias("premium"))

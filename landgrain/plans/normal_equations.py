@@ -21,15 +21,18 @@ def gauss(name: str, source: str, keys: list[str]) -> str:
 {name} AS (SELECT {k}m FROM {name}_w WHERE k = len(m) + 1)"""
 
 
-def effects(name: str, source: str, big: str, dims: list[str], columns: list[str], keys: list[str] = (), weight: str = "1.0") -> str:
-    """CTEs: ``_r`` complete rows, ``_p``(keys, l, c, v) the effect of level l (number of the dimension ':' level) on
+def effects(name: str, source: str, big: str, dims: list[str], columns: list[str], keys: list[str] = (), weight: str = "1.0", slopes: list[tuple[str, str]] = ()) -> str:
+    """``slopes``: (dimension, value) pairs, each level with a coefficient of its own on the value, numbered after ``dims``.
+
+    CTEs: ``_r`` complete rows, ``_p``(keys, l, c, v) the effect of level l (number of the dimension ':' level) on
     column c, ``_mo``(keys, a, b, v) cross products of the residuals, ``_res`` rows with r_<column>."""
     keys = list(keys)
     k, using = "".join(f"{x}, " for x in keys), ", ".join(keys)
     on = lambda a, b: " AND ".join([f"{a}.{x} = {b}.{x}" for x in keys] or ["true"])
     of = lambda a: "".join(f"{a}.{x}, " for x in keys)
     needed = " AND ".join(f"{c} IS NOT NULL" for c in [big, *dims, *columns, *keys])
-    features = [(f"'{i}:' || CAST({d} AS VARCHAR)", "1.0") for i, d in enumerate(dims)]
+    effect = [*((d, "1.0") for d in dims), *((d, f"CAST({v} AS DOUBLE)") for d, v in slopes)]
+    features = [(f"'{i}:' || CAST({d} AS VARCHAR)", v) for i, (d, v) in enumerate(effect)]
     features += [(f"'c:{c}'", f"CAST({c} AS DOUBLE)") for c in columns]
     pairs = ", ".join(f"{{i: {a}, j: {b}, v: _w * {x} * {y}}}" for a, x in features for b, y in features)
     each = ", ".join(f"{{l: {a}, v: _w * {x}}}" for a, x in features)
@@ -41,7 +44,7 @@ def effects(name: str, source: str, big: str, dims: list[str], columns: list[str
 {name}_mean AS (SELECT {of("a")}a.l AS i, b.l AS j, sum(a.v * b.v / s.w) AS v FROM {name}_f a JOIN {name}_f b USING ({k}{big}) JOIN {name}_n s USING ({k}{big}) GROUP BY ALL),
 {name}_g AS (SELECT {k}i, j, sum(v) AS v FROM (SELECT {k}i, j, v FROM {name}_own UNION ALL SELECT {k}i, j, -v FROM {name}_mean) GROUP BY ALL)"""
     moment = f"SELECT {k}i, j, v FROM {name}_g WHERE i[:2] = 'c:' AND j[:2] = 'c:'"
-    if dims:
+    if effect:
         out += f""",
 {name}_lab AS (SELECT DISTINCT {k}i AS l, i[:2] = 'c:' AS c FROM {name}_g),
 {name}_dense AS (SELECT {of("a")}a.l AS i, list(coalesce(g.v, 0.0) ORDER BY b.c, b.l) AS r FROM {name}_lab a JOIN {name}_lab b ON {on("a", "b")}
@@ -60,8 +63,8 @@ def effects(name: str, source: str, big: str, dims: list[str], columns: list[str
     else:
         out += f""",
 {name}_mo AS (SELECT {k}i[3:] AS a, j[3:] AS b, v FROM ({moment}))"""
-    joins = " ".join(f"JOIN {name}_wide p{i} ON {on('r', f'p{i}')} AND p{i}.l = '{i}:' || CAST(r.{d} AS VARCHAR)" for i, d in enumerate(dims))
-    less = lambda c: "".join(f" - p{i}.p_{c}" for i in range(len(dims)))
+    joins = " ".join(f"JOIN {name}_wide p{i} ON {on('r', f'p{i}')} AND p{i}.l = '{i}:' || CAST(r.{d} AS VARCHAR)" for i, (d, _) in enumerate(effect))
+    less = lambda c: "".join(f" - p{i}.p_{c} * {v}" for i, (_, v) in enumerate(effect))
     raw = ", ".join(f"r.{c}{less(c)} AS q_{c}" for c in columns)
     part = f"PARTITION BY {k}{big}"
     res = ", ".join(f"q_{c} - sum(_w * q_{c}) OVER b / sum(_w) OVER b AS r_{c}" for c in columns)
@@ -103,12 +106,12 @@ def coefficient(table: str, a: str, c: str) -> str:
     return f"(SELECT max(v) FROM {table} WHERE a = '{a}' AND c = '{c}')"
 
 
-def ols(name: str, source: str, y: str, xs: list[str], absorb: list[str], cluster: str | None, weight: str = "1.0") -> str:
+def ols(name: str, source: str, y: str, xs: list[str], absorb: list[str], cluster: str | None, weight: str = "1.0", slopes: list[tuple[str, str]] = ()) -> str:
     """``name``_fit(term, beta, se) with absorbed effects (the large dimension first), clustered."""
     error = f"(r_{y}" + "".join(f" - r_{x} * b_{x}" for x in xs) + ")"
     betas = ", ".join(f"{coefficient(f'{name}_b_x', x, y)} AS b_{x}" for x in xs)
     return ",\n".join([
-        effects(name, source, absorb[0], absorb[1:], list(dict.fromkeys([y, *xs])), weight=weight),
+        effects(name, source, absorb[0], absorb[1:], list(dict.fromkeys([y, *xs])), weight=weight, slopes=slopes),
         solve(f"{name}_b", f"{name}_mo", xs, [y]),
         f"{name}_e AS (SELECT * FROM {name}_res, (SELECT {betas}))",
         covariance(name, f"{name}_e", {x: f"_w * r_{x} * {error}" for x in xs}, cluster, f"{name}_b_inv"),
