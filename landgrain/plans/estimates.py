@@ -316,6 +316,14 @@ def iv_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv_row(fit, d, "iv").unionByName(iv_row(E.fe_ols(d, "lprice", ["larea"], ["bld", "ym"], "block"), d, "ols"))
 
 
+def ols4(*a: str) -> str:
+    return ols_sql(*a).replace(", 6)", ", 4)")
+
+
+def iv4(*a: str) -> str:
+    return iv_sql(*a).replace(", 4)", ", 2)").replace(", 6)", ", 4)")
+
+
 def bias_sql() -> str:
     parts, out = [], []
     for period in ("early", "late"):
@@ -334,14 +342,14 @@ def bias_sql() -> str:
 def division_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors in the area bias the slope of price per metre on it: log price, per metre, rooms in the area's place, and
     instrumented, by period."""
-    d, out = room_dummies(spark, sf_dir), []
-    for period, when in (("early", "y < 1998"), ("late", "y >= 1998")):
-        rows = d.where(when)
-        for model, y, xs in (("price", "lprice", ["larea"]), ("per metre", "lp", ["larea"]), ("per metre, rooms alone", "lp", ["nrooms"])):
-            out.append(iv_row(E.fe_ols(rows, y, xs, ["block", "y"], "block"), d, model).withColumn("period", F.lit(period)))
-        fit = E.fe_2sls(rows, "lp", ["larea"], ["room2", "nrooms"], [], ["block", "y"], "block")
-        out.append(iv_row(fit, d, "per metre, iv").withColumn("period", F.lit(period)))
-    return reduce(DataFrame.unionByName, out)
+    models = [
+        E.Model("price", "lprice", ("larea",), ("block", "y"), "block"),
+        E.Model("per metre", "lp", ("larea",), ("block", "y"), "block"),
+        E.Model("per metre, rooms alone", "lp", ("nrooms",), ("block", "y"), "block"),
+        E.Model("per metre, iv", "lp", (), ("block", "y"), "block", None, ("larea",), ("room2", "nrooms")),
+    ]
+    d = room_dummies(spark, sf_dir).withColumn("period", F.when(F.col("y") < 1998, "early").otherwise("late"))
+    return rounded(E.fitted_models(d, models, ["period"]), ["period", "model"], beta=6, se=6, first_stage_f=4, partial_r2=6)
 
 
 @query(
@@ -393,8 +401,8 @@ def premium_on_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         "city", "effect", F.least("n", F.lit(50)).cast("double").alias("w"), F.ln("floors").alias("height"), ((2001 - F.col("built")) / 100).alias("age"),
         F.ln("n").alias("homes"), F.lit(0).alias("one"), (F.col("kind") == "PROMO").cast("double").alias("style"),
     )
-    rows = checkpointed(rows)
-    return estimates({m: E.fe_ols(rows, "effect", xs, [by], "city", "w") for m, xs, by in context_models()}, rows)
+    models = [E.Model(m, "effect", tuple(xs), (by,), "city", "w") for m, xs, by in context_models()]
+    return rounded(E.fitted_models(rows, models), ["model", "term"], beta=6, se=6)
 
 
 @query(
@@ -459,7 +467,7 @@ def supply_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City by year: the price index effect and lagged log stock, actual, predicted and in floors (years shifted onto the
     deals')."""
     d, u = logged(spark, sf_dir), units(spark, sf_dir)
-    p = U.market_index(d, "lp", "city", "y", "bld", ["size"], 1998, 5)
+    p = U.market_index(d, "lp", ["city"], "y", "bld", ["size"], 1998, 50)
     s = U.stock(u, ["city"], "built", "one", 1928, 2022)
     z = U.predicted_stock(s, ["city"], 1984, 1991).where("stock > 0 and predicted > 0")
     z = z.select("city", "year", F.ln("stock").alias("ls"), F.ln("predicted").alias("lz"))
@@ -468,8 +476,8 @@ def supply_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PANEL = (
-    LG + "cellr AS (SELECT *, city || '|' || y AS cell FROM lg QUALIFY count(*) OVER (PARTITION BY city, y) >= 5), "
-    + Q.effects("f", "cellr", "bld", ["cell", "size"], ["lp"]) + ", pe AS (SELECT split_part(l[3:], '|', 1) AS city, CAST(split_part(l[3:], '|', 2) AS INTEGER) AS y, p_lp AS e FROM f_wide WHERE l[:2] = '0:'), "
+    LG + "cellr AS (SELECT *, city || '|' || y AS cell FROM lg QUALIFY count(*) OVER (PARTITION BY bld) >= 2), cn AS (SELECT city, y, cell, count(*) AS n FROM cellr GROUP BY ALL), "
+    + Q.effects("f", "cellr", "bld", ["cell", "size"], ["lp"]) + ", pe AS (SELECT city, y, p_lp AS e FROM f_wide JOIN cn ON l = '0:' || cell WHERE n >= 50), "
     "pi AS (SELECT p.city, p.y, p.e - b.e AS lp FROM pe p JOIN pe b ON b.city = p.city AND b.y = 1998) " + stock_sql("city", "1.0", "s1") + stock_sql("city", "floors", "s2")
     + ", sn AS (SELECT year, sum(stock) AS n FROM s1 GROUP BY year), se AS (SELECT city, max(stock) FILTER (WHERE year = 1984) AS s0, max(stock) FILTER (WHERE year = 1991) AS s1 FROM s1 GROUP BY city), "
     "ne AS (SELECT max(n) FILTER (WHERE year = 1984) AS n0, max(n) FILTER (WHERE year = 1991) AS n1 FROM sn), "
@@ -477,47 +485,74 @@ PANEL = (
     "pn AS (SELECT pi.city, pi.y, lp, ln(pz.stock) AS ls, ln(z) AS lz, ln(s2.stock) AS lf FROM pi JOIN pz ON pz.city = pi.city AND pz.year = pi.y - 1 "
     "JOIN s2 ON s2.city = pi.city AND s2.year = pi.y - 1 WHERE pz.stock > 0 AND z > 0 AND s2.stock > 0)"
 )
-TRENDS = (
-    ", tr AS (SELECT city, y, lp - coalesce(covar_samp(y, lp) OVER c / nullif(var_samp(y) OVER c, 0), 0) * (y - avg(y) OVER c) AS lp, "
-    "ls - coalesce(covar_samp(y, ls) OVER c / nullif(var_samp(y) OVER c, 0), 0) * (y - avg(y) OVER c) AS ls FROM pn WINDOW c AS (PARTITION BY city)), "
-)
-
-
 @query(
-    PANEL + TRENDS + Q.ols("o", "pn", "lp", ["ls"], ["city", "y"], "city") + "," + Q.iv("v", "pn", "lp", "ls", ["lz"], ["city", "y"], "city") + ","
-    + Q.ols("t", "tr", "lp", ["ls"], ["city", "y"], "city") + "," + Q.ols("h", "pn", "lp", ["ls", "lf"], ["city", "y"], "city")
+    PANEL + ", " + Q.ols("o", "pn", "lp", ["ls"], ["city", "y"], "city") + "," + Q.iv("v", "pn", "lp", "ls", ["lz"], ["city", "y"], "city") + ","
+    + Q.ols("t", "pn", "lp", ["ls"], ["city", "y"], "city", slopes=[("city", "y - 1998")]) + "," + Q.ols("h", "pn", "lp", ["ls", "lf"], ["city", "y"], "city")
     + " " + iv_sql("iv", "v") + " UNION ALL " + ols_sql("two-way", "o", "ls") + " UNION ALL " + ols_sql("trends", "t", "ls")
     + " UNION ALL " + ols_sql("race: homes", "h", "ls") + " UNION ALL " + ols_sql("race: floors", "h", "lf")
 )
 def panel_supply_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price on lagged stock, two-way effects: OLS, instrumented, with market trends, and two measures in a race."""
-    rows = supply_panel(spark, sf_dir)
-    out = [
-        iv_row(U.panel_regression(rows, "lp", "ls", "city", "y"), rows, "two-way"),
-        iv_row(U.panel_regression(rows, "lp", "ls", "city", "y", "lz"), rows, "iv"),
-        iv_row(U.panel_regression(rows, "lp", "ls", "city", "y", trends=True), rows, "trends"),
+    two_way = {"absorb": ("city", "y"), "cluster": "city"}
+    models = [
+        E.Model("two-way", "lp", ("ls",), **two_way),
+        E.Model("iv", "lp", (), endogenous=("ls",), instruments=("lz",), **two_way),
+        E.Model("trends", "lp", ("ls",), slope="t", **two_way),
+        E.Model("race", "lp", ("ls", "lf"), **two_way),
     ]
-    race = E.fe_ols(rows, "lp", ["ls", "lf"], ["city", "y"], "city").table(rows)
-    race = race.where("term = 'ls'").withColumn("model", F.lit("race: homes")).unionByName(race.where("term = 'lf'").withColumn("model", F.lit("race: floors")))
-    race = race.select("model", "beta", "se", F.lit(None).cast("double").alias("first_stage_f"), F.lit(None).cast("double").alias("partial_r2"))
-    return reduce(DataFrame.unionByName, [*out, rounded(race, ["model"], beta=6, se=6, first_stage_f=4, partial_r2=6)])
+    out = E.fitted_models(supply_panel(spark, sf_dir).withColumn("t", F.col("y") - 1998), models)
+    race = F.when(F.col("term") == "ls", "race: homes").otherwise("race: floors")
+    out = out.withColumn("model", F.when(F.col("model") == "race", race).otherwise(F.col("model")))
+    return rounded(out, ["model"], beta=6, se=6, first_stage_f=4, partial_r2=6)
 
 
-DIFFERENCES = (
-    ", bal AS (SELECT city FROM pn GROUP BY city HAVING count(DISTINCT y) = 7), fd AS (SELECT city, y, lp - lag(lp) OVER c AS d_lp, ls - lag(ls) OVER c AS d_ls, lz - lag(lz) OVER c AS d_lz "
-    "FROM pn WHERE city IN (SELECT city FROM bal) WINDOW c AS (PARTITION BY city ORDER BY y)), fe AS (SELECT * FROM fd WHERE d_lp IS NOT NULL), "
-)
+#: Periods by first and last year of sale; the tables hold seven years.
+SPANS = ((1995, 1996), (1997, 1998), (1999, 2000))
+SPAN_SQL = "CASE " + " ".join(f"WHEN y BETWEEN {a} AND {b} THEN {k}" for k, (a, b) in enumerate(SPANS)) + " END"
+PERIODS = (
+    LG + f"ps AS (SELECT *, {SPAN_SQL} AS t FROM lg), cellr AS (SELECT *, city || '|' || t AS cell FROM ps WHERE t IS NOT NULL QUALIFY count(*) OVER (PARTITION BY bld) >= 2), cn AS (SELECT city, t, cell, count(*) AS n FROM cellr GROUP BY ALL), "
+    + Q.effects("f", "cellr", "bld", ["cell", "size"], ["lp"]) + ", pe AS (SELECT city, t, p_lp AS e FROM f_wide JOIN cn ON l = '0:' || cell WHERE n >= 50), "
+    "pi AS (SELECT p.city, p.t, p.e - b.e AS lp FROM pe p JOIN pe b ON b.city = p.city AND b.t = 1) " + stock_sql("city", "1.0", "s1") + stock_sql("city", "floors", "s2")
+    + ", zs AS (SELECT s.city, s.year, s.stock, " + "e.b + (e.b - e.f) / nullif(ne.b - ne.f, 0) * (n.stock - ne.b) AS z FROM s1 s JOIN (SELECT city, max(stock) FILTER (WHERE year = 1984) AS f, max(stock) FILTER (WHERE year = 1991) AS b FROM s1 GROUP BY city) e USING (city) "
+    "JOIN (SELECT year, sum(stock) AS stock FROM s1 GROUP BY year) n USING (year), (SELECT sum(stock) FILTER (WHERE year = 1984) AS f, sum(stock) FILTER (WHERE year = 1991) AS b FROM s1) ne), "
+    f"pn AS (SELECT pi.city, pi.t, lp, ln(zs.stock) AS ls, ln(greatest(z, 1)) AS lz, ln(s2.stock) AS lf FROM pi JOIN zs ON zs.city = pi.city AND zs.year = CASE pi.t {' '.join(f'WHEN {k} THEN {a - 1}' for k, (a, _) in enumerate(SPANS))} END "
+    f"JOIN s2 ON s2.city = zs.city AND s2.year = zs.year WHERE zs.stock > 0 AND s2.stock > 0 AND z IS NOT NULL), bal AS (SELECT * FROM pn QUALIFY count(*) OVER (PARTITION BY city) = {len(SPANS)}), "
+    "fd AS (SELECT city, t, lp - lag(lp) OVER c AS d_lp, ls - lag(ls) OVER c AS d_ls, lz - lag(lz) OVER c AS d_lz, lf - lag(lf) OVER c AS d_lf FROM bal WINDOW c AS (PARTITION BY city ORDER BY t)), fe AS (SELECT * FROM fd WHERE d_lp IS NOT NULL), "
+)
 
 
 @query(
-    PANEL + DIFFERENCES + Q.ols("o", "fe", "d_lp", ["d_ls"], ["y"], "city") + "," + Q.iv("v", "fe", "d_lp", "d_ls", ["d_lz"], ["y"], "city")
-    + " " + iv_sql("iv", "v") + " UNION ALL " + ols_sql("ols", "o", "d_ls")
+    PERIODS + Q.ols("l", "bal", "lp", ["ls"], ["city", "t"], "city") + "," + Q.ols("lt", "bal", "lp", ["ls"], ["city", "t"], "city", slopes=[("city", "t")]) + ","
+    + Q.ols("o", "fe", "d_lp", ["d_ls"], ["t"], "city") + "," + Q.ols("m", "fe", "d_lp", ["d_ls"], ["city", "t"], "city") + "," + Q.iv("v", "fe", "d_lp", "d_ls", ["d_lz"], ["t"], "city") + ","
+    + Q.ols("h", "fe", "d_lp", ["d_ls", "d_lf"], ["t"], "city") + " " + ols4("levels", "l", "ls") + " UNION ALL " + ols4("levels, trends", "lt", "ls") + " UNION ALL " + ols4("differences", "o", "d_ls")
+    + " UNION ALL " + ols4("differences, markets", "m", "d_ls") + " UNION ALL " + iv4("differences, iv", "v") + " UNION ALL " + ols4("race: homes", "h", "d_ls") + " UNION ALL " + ols4("race: floors", "h", "d_lf")
 )
 def first_difference_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of price on changes of stock over balanced periods, OLS and instrumented by the predicted change."""
-    d = U.first_differences(supply_panel(spark, sf_dir), "city", "y", ["lp", "ls", "lz"], 7)
-    fit = E.fe_2sls(d, "d_lp", ["d_ls"], ["d_lz"], [], ["y"], "city")
-    return iv_row(fit, d, "iv").unionByName(iv_row(E.fe_ols(d, "d_lp", ["d_ls"], ["y"], "city"), d, "ols"))
+    """Periods of years, in markets that have all of them: prices on the stock before the period's first year, in levels
+    (with and without market trends) and in changes (with market effects, instrumented, and two measures in a race)."""
+    d, u = logged(spark, sf_dir), units(spark, sf_dir)
+    p = U.period_index(d, "lp", ["city"], "y", SPANS, "bld", ["size"], 1, 50)
+    s = U.stock(u, ["city"], "built", "one", 1928, 2022)
+    z = U.predicted_stock(s, ["city"], 1984, 1991).where("stock > 0 and predicted is not null")
+    z = z.select("city", "year", F.ln("stock").alias("ls"), F.ln(F.greatest("predicted", F.lit(1.0))).alias("lz"))
+    f = U.stock(u, ["city"], "built", "floors", 1928, 2022).where("stock > 0").select("city", "year", F.ln("stock").alias("lf"))
+    rows = R.balanced(checkpointed(p.join(z.join(f, ["city", "year"]), ["city", "year"])), ["city"], "t", len(SPANS))
+    columns = ["lp", "ls", "lz", "lf"]
+    moved = U.first_differences(rows, "city", "t", columns, len(SPANS)).withColumns({c: F.lit(None).cast("double") for c in columns})
+    rows = rows.select("city", "t", *columns).withColumns({f"d_{c}": F.lit(None).cast("double") for c in columns}).unionByName(moved)
+    level, change = {"cluster": "city", "where": "lp is not null"}, {"cluster": "city", "where": "d_lp is not null"}
+    models = [
+        E.Model("levels", "lp", ("ls",), ("city", "t"), **level),
+        E.Model("levels, trends", "lp", ("ls",), ("city", "t"), slope="t", **level),
+        E.Model("differences", "d_lp", ("d_ls",), ("t",), **change),
+        E.Model("differences, markets", "d_lp", ("d_ls",), ("city", "t"), **change),
+        E.Model("differences, iv", "d_lp", (), ("t",), endogenous=("d_ls",), instruments=("d_lz",), **change),
+        E.Model("race", "d_lp", ("d_ls", "d_lf"), ("t",), **change),
+    ]
+    out = E.fitted_models(rows, models)
+    race = F.when(F.col("term") == "d_ls", "race: homes").otherwise("race: floors")
+    out = out.withColumn("model", F.when(F.col("model") == "race", race).otherwise(F.col("model")))
+    return rounded(out, ["model"], beta=4, se=4, first_stage_f=2, partial_r2=4)
 
 
 @query(
@@ -543,28 +578,109 @@ def cross_section_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimates({"levels": U.cross_section(rows, "lp", "per_head")}, rows)
 
 
-def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = logged(spark, sf_dir).withColumn("half", F.concat("y", F.lit("H"), F.when(F.month("dt") <= 6, 1).otherwise(2)))
-    return R.scenarios(d, geo=["city", "district"], span=["y", "half"], weighting=["deals", "metres"])
+GRID_AXES = ["geo", "split", "per"]
 
 
-@query(
-    LG + "hf AS (SELECT *, y || 'H' || CASE WHEN month(dt) <= 6 THEN 1 ELSE 2 END AS half FROM lg), "
-    "df AS (SELECT *, unnest(['city', 'district']) AS geo FROM hf), dg AS (SELECT *, unnest(['y', 'half']) AS span FROM df), dh AS (SELECT *, unnest(['deals', 'metres']) AS weighting FROM dg), "
-    "mk AS (SELECT *, CASE WHEN geo = 'city' THEN city ELSE district END AS market, CASE WHEN span = 'y' THEN CAST(y AS VARCHAR) ELSE half END AS period, CASE WHEN weighting = 'deals' THEN 1.0 ELSE area END AS w FROM dh), "
-    "ce AS (SELECT geo, span, weighting, market, period, sum(w * lp) / sum(w) AS lp, ln(sum(w)) AS lq FROM mk GROUP BY ALL), "
-    "tw AS (SELECT geo, span, weighting, lp - avg(lp) OVER m - avg(lp) OVER p + avg(lp) OVER g AS lp, lq - avg(lq) OVER m - avg(lq) OVER p + avg(lq) OVER g AS lq, "
-    "count(*) OVER g AS n, count(*) OVER m AS k FROM ce WINDOW g AS (PARTITION BY geo, span, weighting), m AS (PARTITION BY geo, span, weighting, market), p AS (PARTITION BY geo, span, weighting, period)) "
-    "SELECT geo, span, weighting, count(*) AS n, round(sum(lp * lq) / nullif(sum(lq * lq), 0), 6) AS beta FROM tw GROUP BY ALL"
-)
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sale under each definition: area (city, district, all), size (all, rooms) and period (annual, spans)."""
+    d = logged(spark, sf_dir).withColumn("class", X.room_class("rooms"))
+    d = R.scenarios(d, geo=["city", "district", "all"], split=["all", "rooms"], per=["annual", "spans"]).where("geo <> 'all' or split <> 'all'")
+    span = reduce(lambda out, k: out.when(F.col("y").between(*SPANS[k]), k), range(1, len(SPANS)), F.when(F.col("y").between(*SPANS[0]), 0))
+    d = d.withColumn("t", F.when(F.col("per") == "annual", F.col("y")).otherwise(span)).where("t is not null").withColumnRenamed("area", "m2")
+    d = d.withColumn("place", F.when(F.col("geo") == "city", F.col("city")).when(F.col("geo") == "district", F.col("district")).otherwise("all"))
+    return d.withColumn("sized", F.when(F.col("split") == "rooms", F.col("class")).otherwise("all"))
+
+
+def grid_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(geo, split, area, size, year, s_n, z_n, s_val, z_val): logs of the actual and the predicted stock of every market."""
+    sales = sample(spark, sf_dir)
+    shares = R.shares(sales.withColumn("class", X.room_class("rooms")), ["bld"], "class", ["2", "3", "4", "5"]).select("bld", F.col("class").alias("size"), "share")
+    at = sales.groupBy("bld").agg(F.min("block").alias("block"))
+    u = register(spark, sf_dir).join(at, "bld").join(places(spark, sf_dir), "block").select("bld", "city", "district", "built", F.col("floors").cast("double").alias("floors"))
+    one = u.select("*", F.lit("all").alias("split"), F.lit("all").alias("size"), F.lit(1.0).alias("n"))
+    u = one.unionByName(u.join(shares, "bld").select(*u.columns, F.lit("rooms").alias("split"), "size", F.col("share").alias("n"))).where("n > 0")
+    geo = F.explode(F.array(*(F.struct(F.lit(g).alias("geo"), v.alias("area")) for g, v in (("city", F.col("city")), ("district", F.col("district")), ("all", F.lit("all"))))))
+    u = u.withColumn("val", F.col("n") * F.col("floors")).withColumn("_g", geo).select("*", "_g.*")
+    market, out = ["geo", "split", "area", "size"], None
+    for m in ("n", "val"):
+        s = checkpointed(U.stock(u, market, "built", m, 1928, 2022))
+        nation = s.where("geo = 'all' and split = 'all'").select("year", F.col("stock").alias("n"))
+        z = U.predicted_stock(s, market, 1984, 1991, nation).where("stock > 0")
+        z = z.select(*market, "year", F.ln("stock").alias(f"s_{m}"), F.ln(F.greatest("predicted", F.lit(1.0))).alias(f"z_{m}"))
+        out = z if out is None else out.join(z, [*market, "year"])
+    return out
+
+
+def grid_sql() -> str:
+    span = "CASE " + " ".join(f"WHEN y BETWEEN {a} AND {b} THEN {k}" for k, (a, b) in enumerate(SPANS)) + " END"
+    before = "CASE t " + " ".join(f"WHEN {k} THEN {a - 1}" for k, (a, _) in enumerate(SPANS)) + " END"
+    keys = ["def", "wt"]
+    parts = [
+        "gd AS (SELECT *, unnest(['city', 'district', 'all']) AS geo FROM lg), ge AS (SELECT *, unnest(['all', 'rooms']) AS split FROM gd), gp AS (SELECT *, unnest(['annual', 'spans']) AS per FROM ge)",
+        f"gr AS (SELECT *, geo || '|' || split || '|' || per AS def, CASE geo WHEN 'city' THEN city WHEN 'district' THEN district ELSE 'all' END || '|' || CASE split WHEN 'all' THEN 'all' ELSE "
+        f"CASE WHEN rooms < 3 THEN '2' WHEN rooms < 4 THEN '3' WHEN rooms < 5 THEN '4' ELSE '5' END END AS m, CASE per WHEN 'annual' THEN y ELSE {span} END AS t FROM gp WHERE geo <> 'all' OR split <> 'all')",
+        "gs AS (SELECT *, m || '#' || t AS cell FROM gr WHERE t IS NOT NULL QUALIFY count(*) OVER (PARTITION BY def, bld) >= 2), gn AS (SELECT def, geo, split, per, m, t, cell, count(*) AS n FROM gs GROUP BY ALL)",
+        Q.effects("gf", "gs", "bld", ["cell", "size"], ["lp"], ["def"]),
+        "gk AS (SELECT gn.*, p_lp AS e FROM gn JOIN gf_wide w ON w.def = gn.def AND l = '0:' || cell WHERE n >= CASE per WHEN 'annual' THEN 30 ELSE 50 END)",
+        "gi AS (SELECT a.*, a.e - b.e AS lp FROM gk a JOIN gk b ON a.def = b.def AND a.m = b.m AND b.t = CASE b.per WHEN 'annual' THEN 1998 ELSE 1 END)",
+        "gu0 AS (SELECT bld, CASE WHEN rooms < 3 THEN '2' WHEN rooms < 4 THEN '3' WHEN rooms < 5 THEN '4' ELSE '5' END AS size, count(*) AS n FROM a GROUP BY ALL)",
+        f"gu1 AS (SELECT bld, city, district, built, floors, 'all' AS split, 'all' AS size, CAST(1 AS DOUBLE) AS n FROM {REGISTER} UNION ALL SELECT bld, city, district, built, floors, 'rooms', size, n / sum(n) OVER (PARTITION BY bld) FROM {REGISTER} JOIN gu0 USING (bld))",
+        "gu AS (SELECT *, g.geo || '|' || split || '|' || g.v || '|' || size AS m FROM (SELECT *, unnest([{geo: 'city', v: city}, {geo: 'district', v: district}, {geo: 'all', v: 'all'}]) AS g FROM gu1))",
+    ]
+    text = ", ".join(parts)
+    for w, weight in (("n", "n"), ("val", "n * floors")):
+        text += stock_sql("m", weight, f"gt{w}", "gu")
+        text += (
+            f", gz{w} AS (SELECT s.m, s.year, ln(s.stock) AS s, ln(greatest(e.b + (e.b - e.f) / nullif(ne.b - ne.f, 0) * (na.stock - ne.b), 1)) AS z FROM gt{w} s "
+            f"JOIN (SELECT m, max(stock) FILTER (WHERE year = 1984) AS f, max(stock) FILTER (WHERE year = 1991) AS b FROM gt{w} GROUP BY m) e USING (m) JOIN gt{w} na ON na.m = 'all|all|all|all' AND na.year = s.year, "
+            f"(SELECT max(stock) FILTER (WHERE year = 1984) AS f, max(stock) FILTER (WHERE year = 1991) AS b FROM gt{w} WHERE m = 'all|all|all|all') ne WHERE s.stock > 0)"
+        )
+    text += (
+        f", gj AS (SELECT gi.*, a.s AS s_n, a.z AS z_n, b.s AS s_val, b.z AS z_val FROM gi JOIN gzn a ON a.m = geo || '|' || split || '|' || gi.m AND a.year = CASE per WHEN 'annual' THEN t - 1 ELSE {before} END "
+        "JOIN gzval b ON b.m = a.m AND b.year = a.year WHERE a.z IS NOT NULL AND b.z IS NOT NULL), "
+        "gw AS (SELECT *, unnest([{wt: 'n', s: s_n, z: z_n}, {wt: 'val', s: s_val, z: z_val}]) AS v FROM gj), "
+        "gl AS (SELECT def, geo, split, per, m, t, lp, v.wt AS wt, v.s AS s, v.z AS z, split_part(m, '|', 1) || '#' || t AS gt, split_part(m, '|', 2) || '#' || t AS st FROM gw), "
+        f"gb AS (SELECT * FROM gl WHERE per = 'spans' QUALIFY count(*) OVER (PARTITION BY def, wt, m) = {len(SPANS)}), "
+        "gc AS (SELECT * REPLACE (lp - lag(lp) OVER o AS lp, s - lag(s) OVER o AS s, z - lag(z) OVER o AS z) FROM gb WINDOW o AS (PARTITION BY def, wt, m ORDER BY t)), "
+        "gq AS (SELECT * FROM gc WHERE lp IS NOT NULL), ga AS (SELECT * FROM gl WHERE per = 'annual'), gx AS (SELECT * FROM gl WHERE split = 'rooms' AND geo <> 'all'), gy AS (SELECT * FROM gq WHERE split = 'rooms' AND geo <> 'all'), "
+    )
+    values = ["lp", "s", "z"]
+    text += ", ".join([
+        Q.effects("h1", "gl", "m", ["t"], values, keys), Q.effects("h2", "ga", "m", ["t"], values, keys, slopes=[("m", "t - 1998")]),
+        Q.effects("h3", "gx", "m", ["gt", "st"], values, keys), Q.effects("h4", "gq", "t", [], values, keys), Q.effects("h5", "gy", "gt", ["st"], values, keys),
+    ])
+    fits = (("fe", "h1", "r_s", "true"), ("tr", "h2", "r_s", "true"), ("cross", "h3", "r_s", "true"), ("iv", "h1", "r_z", "per = 'annual'"), ("dif", "h4", "r_s", "true"), ("difiv", "h4", "r_z", "true"), ("difcross", "h5", "r_s", "true"))
+    out = []
+    for model, source, z, where in fits:
+        k = f"y{len(out)}"
+        text += (
+            f", {k}b AS (SELECT def, wt, sum({z} * r_lp) / sum({z} * r_s) AS beta, sum({z} * r_s) AS zs, sum({z} * {z}) AS zz, sum({z} * r_s) / sum({z} * {z}) AS pi, sum(r_lp * r_lp) AS yy FROM {source}_res WHERE {where} GROUP BY ALL HAVING abs(sum({z} * r_s)) > 1e-9), "
+            f"{k}e AS (SELECT *, {z} * (r_lp - beta * r_s) AS sc, {z} * (r_s - pi * {z}) AS fs, r_lp - beta * r_s AS er FROM {source}_res JOIN {k}b USING (def, wt) WHERE {where}), "
+            f"{k}c AS (SELECT def, wt, any_value(beta) AS beta, any_value(zs) AS zs, any_value(zz) AS zz, any_value(pi) AS pi, any_value(yy) AS yy, sum(sc) AS sc, sum(fs) AS fs, sum(sc * sc) AS hc, sum(er * er) AS rss, count(*) AS n FROM {k}e GROUP BY def, wt, m)"
+        )
+        f = "round(any_value(pi) ** 2 / (sum(fs * fs) * count(*) / (count(*) - 1) / any_value(zz) ** 2), 2)" if z == "r_z" else "CAST(NULL AS DOUBLE)"
+        out.append(
+            f"SELECT def, '{model}_' || wt AS model, CAST(sum(n) AS BIGINT) AS n, count(*) AS clusters, round(any_value(beta), 4) AS beta, round(sqrt(sum(sc * sc) * count(*) / (count(*) - 1)) / abs(any_value(zs)), 4) AS se, "
+            f"round(sqrt(sum(hc)) / abs(any_value(zs)), 4) AS se_hc, round(1 - sum(rss) / any_value(yy), 4) AS r2_within, {f} AS first_stage_f FROM {k}c GROUP BY def, wt HAVING count(*) > 1"
+        )
+    return text + " SELECT split_part(def, '|', 1) AS geo, split_part(def, '|', 2) AS split, split_part(def, '|', 3) AS per, * EXCLUDE (def) FROM (" + " UNION ALL ".join(out) + ")"
+
+
+@query(LG + grid_sql())
 def market_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same two-way panel model under every definition of market, period and weight, in one pass."""
+    """Price on lagged stock under every definition of area, size and period, with effects, trends, crossed effects,
+    instruments and differences: all in one batch."""
+    annual = F.col("per") == "annual"
     d = definitions(spark, sf_dir)
-    d = d.withColumn("market", F.when(F.col("geo") == "city", F.col("city")).otherwise(F.col("district")))
-    d = d.withColumn("period", F.when(F.col("span") == "y", F.col("y").cast("string")).otherwise(F.col("half")))
-    d = d.withColumn("w", F.when(F.col("weighting") == "deals", 1.0).otherwise(F.col("area")))
-    out = U.definition_grid(d, ["geo", "span", "weighting"], "market", "period", "lp", "w")
-    return rounded(out, ["geo", "span", "weighting", "n"], beta=6)
+    p = U.market_index(
+        d, "lp", ["place", "sized"], "t", "bld", ["size"], F.when(annual, 1998).otherwise(1), F.when(annual, 30).otherwise(50), GRID_AXES
+    ).withColumnsRenamed({"place": "area", "sized": "size"}).drop("n")
+    first = F.element_at(F.create_map(*(F.lit(x) for k, (a, _) in enumerate(SPANS) for x in (k, a))), F.col("t"))
+    p = p.withColumn("year", F.when(annual, F.col("t")).otherwise(first) - 1)
+    cells = p.join(grid_stock(spark, sf_dir), ["geo", "split", "area", "size", "year"]).drop("year")
+    cells = cells.select("*", annual.alias("annual"), (F.col("split") == "rooms").alias("by_size"), (F.col("geo") == "all").alias("whole"))
+    out = U.definition_grid(cells.withColumn("t", F.when(annual, F.col("t") - 1998).otherwise(F.col("t"))), GRID_AXES, ["n", "val"], len(SPANS))
+    return rounded(out.where("clusters > 1"), [*GRID_AXES, "model", "n", "clusters"], beta=4, se=4, se_hc=4, r2_within=4, first_stage_f=2)
 
 
 NW = (
