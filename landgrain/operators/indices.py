@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrain.functions.exprs import divided
+from landgrain.operators.components import checkpointed
 from landgrain.operators.fixed_effects import comparable, fe_ols, grouped_ols, level_effects, moments, solved
 from landgrain.operators.relational import next_row, rebased, with_size
 
@@ -103,6 +108,56 @@ def area_indices(
     return fe_index(rows, y, unit, "period", controls, F.col("period").startswith(base), ["tier", "area"])
 
 
+def pooled_indices(df: DataFrame, y: str, xs: list[str], unit: str, period: str, base: Column, group: list[str]) -> DataFrame:
+    """(group..., period, index): ``pooled_index`` per group, all in one set of cross products. The period effects on y are
+    less the attributes' coefficients times the period effects on them."""
+    fit = checkpointed(solved(df, [y, *xs], [unit, period], group=group))
+    pairs = fit.where("kind = 'moment'").groupBy(*group).agg(F.collect_list(F.struct("a", "b", "value")).alias("m"))  # (xs + 1)^2 numbers
+
+    @F.pandas_udf("array<double>")
+    def slopes(m: pd.Series) -> pd.Series:
+        at = {c: k for k, c in enumerate([y, *xs])}
+
+        def one(cells):
+            s = np.zeros((len(at), len(at)))
+            for c in cells:
+                s[at[c["a"]], at[c["b"]]] = c["value"]
+            return np.linalg.pinv(s[1:, 1:], rcond=1e-10, hermitian=True) @ s[1:, 0]
+
+        return m.map(one)
+
+    wide = fit.where("kind = 'proj'").groupBy(*group, F.substr("a", F.lit(3)).alias(period)).agg(
+        F.first("component").alias("component"), *(F.max(F.when(F.col("b") == c, F.col("value"))).alias(f"_p{k}") for k, c in enumerate([y, *xs]))
+    )
+    less = sum((F.get("_b", F.lit(k)) * F.col(f"_p{k + 1}") for k in range(len(xs))), F.lit(0.0))
+    effects = wide.join(pairs.select(*group, slopes("m").alias("_b")), group).withColumn("effect", F.col("_p0") - less)
+    return as_index(effects, group, period, base)
+
+
+def area_indices_all_kinds(
+    df: DataFrame, y: str, ly: str, xs: list[str], unit: str, flat: str, block: str, month: str, quarter: str, year: str, controls: list[str],
+    levels: list[str], base: str, least: int = 3_000, monthly: int = 20_000, repeats: int = 300,
+) -> DataFrame:
+    """(kind, tier, area, period, index) for every area with ``least`` rows: ``building`` (unit effects), ``repeat`` (flats
+    sold again, at least ``repeats`` such sales), ``pooled`` (``ly`` on ``xs`` with block effects), ``chained`` (adjacent years); monthly
+    for large areas and quarterly below, chained yearly. Rows are dealt to their areas once; each kind solves all areas
+    together."""
+    keys = ["tier", "area"]
+    rows = with_size(with_levels(df, levels), keys, least)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows = checkpointed(rows.join(sizes, keys).withColumn("period", F.when(F.col("_n") >= monthly, F.col(month)).otherwise(F.col(quarter))).drop("_n"))
+    start = F.col("period").startswith(base)
+    again = with_size(with_size(rows, [*keys, flat], 2), keys, repeats)
+    chained = chained_index(rows, ly, xs, block, year, keys).select(*keys, F.col(year).cast("string").alias("period"), "index")
+    kinds = {
+        "building": fe_index(rows, y, unit, "period", controls, start, keys),
+        "repeat": fe_index(again, y, flat, "period", controls, start, keys),
+        "pooled": pooled_indices(rows, ly, xs, block, "period", start, keys),
+        "chained": chained,
+    }
+    return reduce(DataFrame.unionByName, (v.withColumn("kind", F.lit(k)) for k, v in kinds.items()))
+
+
 def compared(indices: DataFrame, keys: list[str], period: str, value: str, lags: tuple[int, ...] = (1, 12)) -> DataFrame:
     """Adds ln differences over dense periods."""
     w = Window.partitionBy(*keys).orderBy(period)

@@ -139,6 +139,35 @@ def area_indices_all_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ["tier", "area", "period"], index=4)
 
 
+AREAS = (
+    LG + "lv AS (SELECT *, unnest([{t: 'all', v: 'all'}, {t: 'district', v: district}, {t: 'city', v: city}]) AS z FROM lg), "
+    "lw AS (SELECT * EXCLUDE (z), z.t AS tier, z.v AS zone, count(*) OVER (PARTITION BY z.t, z.v) AS deals FROM lv), "
+    "ar AS (SELECT *, CASE WHEN deals >= 10000 THEN ym ELSE yq END AS period FROM lw WHERE deals >= 1000), "
+    "ag0 AS (SELECT * FROM ar QUALIFY count(*) OVER (PARTITION BY tier, zone, apt) >= 2), ag AS (SELECT * FROM ag0 QUALIFY count(*) OVER (PARTITION BY tier, zone) >= 300), "
+    + Q.effects("f", "ar", "bld", ["period", "size"], ["lp"], ["tier", "zone"]) + "," + Q.index("ib", "p_lp", "f_wide", "period", "period[:4] = '1998'", ["tier", "zone"]) + ","
+    + Q.effects("r", "ag", "apt", ["period", "size"], ["lp"], ["tier", "zone"]) + "," + Q.index("ir", "p_lp", "r_wide", "period", "period[:4] = '1998'", ["tier", "zone"]) + ","
+    + Q.effects("h", "ar", "block", ["period"], ["lprice", "larea"], ["tier", "zone"]) + ", "
+    "hw AS (SELECT w.*, b FROM h_wide w JOIN (SELECT tier, zone, sum(r_lprice * r_larea) / sum(r_larea * r_larea) AS b FROM h_res GROUP BY ALL) USING (tier, zone)), "
+    + Q.index("ip", "p_lprice - b * p_larea", "hw", "period", "period[:4] = '1998'", ["tier", "zone"]) + ", "
+    "cw AS (SELECT tier, zone, block, lprice AS p, larea AS x, y + k AS win, CAST(1 - k AS DOUBLE) AS late FROM ar, (SELECT unnest([0, 1]) AS k)), "
+    "cz AS (SELECT * FROM cw QUALIFY count(*) OVER (PARTITION BY tier, zone, win, block) >= 2), "
+    "cd AS (SELECT tier, zone, win, p - avg(p) OVER g AS p, x - avg(x) OVER g AS x, late - avg(late) OVER g AS l FROM cz WINDOW g AS (PARTITION BY tier, zone, win, block)), "
+    "cs AS (SELECT tier, zone, win, count(*) AS n, sum(l * l) AS ll, sum(l * x) AS lx, sum(x * x) AS xx, sum(l * p) AS lp, sum(x * p) AS xp FROM cd GROUP BY ALL), "
+    "cb AS (SELECT tier, zone, win AS y, CASE WHEN n >= 30 THEN (lp * xx - xp * lx) / nullif(ll * xx - lx * lx, 0) END AS change FROM cs), "
+    "cy AS (SELECT DISTINCT tier, zone, y FROM ar), "
+    "ic AS (SELECT tier, zone, CAST(y AS VARCHAR) AS period, 100 * exp(sum(CASE WHEN y = (SELECT min(y) FROM cy c WHERE c.tier = cy.tier AND c.zone = cy.zone) THEN 0 ELSE coalesce(change, 0) END) OVER (PARTITION BY tier, zone ORDER BY y)) AS index "
+    "FROM cy LEFT JOIN cb USING (tier, zone, y)) "
+)
+
+
+@query(AREAS + " UNION ALL ".join(f"SELECT '{k}' AS kind, tier, zone AS area, period, round(index, 4) AS index FROM {t}" for k, t in (("building", "ib"), ("repeat", "ir"), ("pooled", "ip"), ("chained", "ic"))))
+def area_indices_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Building, repeat-sales, pooled and chained indices of every area and level."""
+    d = logged(spark, sf_dir).withColumnRenamed("area", "m2")
+    out = I.area_indices_all_kinds(d, "lp", "lprice", ["larea"], "bld", "apt", "block", "ym", "yq", "y", ["size"], ["district", "city"], "1998", 1000, 10_000)
+    return rounded(out, ["kind", "tier", "area", "period"], index=4)
+
+
 @query(
     LG + REPEATS + "big AS (SELECT city FROM rp GROUP BY city HAVING count(*) >= 300 ORDER BY count(*) DESC, city LIMIT 20), "
     "rc AS (SELECT * FROM rp WHERE city IN (SELECT city FROM big)), " + Q.effects("f", "rc", "apt", ["y", "size"], ["lp"], ["city"]) + ","
@@ -467,7 +496,7 @@ def supply_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City by year: the price index effect and lagged log stock, actual, predicted and in floors (years shifted onto the
     deals')."""
     d, u = logged(spark, sf_dir), units(spark, sf_dir)
-    p = U.market_index(d, "lp", ["city"], "y", "bld", ["size"], 1998, 50)
+    p = U.market_index(d, "lp", ["city"], "y", "bld", ["size"], 1998, 36)
     s = U.stock(u, ["city"], "built", "one", 1928, 2022)
     z = U.predicted_stock(s, ["city"], 1984, 1991).where("stock > 0 and predicted > 0")
     z = z.select("city", "year", F.ln("stock").alias("ls"), F.ln("predicted").alias("lz"))
@@ -477,7 +506,7 @@ def supply_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PANEL = (
     LG + "cellr AS (SELECT *, city || '|' || y AS cell FROM lg QUALIFY count(*) OVER (PARTITION BY bld) >= 2), cn AS (SELECT city, y, cell, count(*) AS n FROM cellr GROUP BY ALL), "
-    + Q.effects("f", "cellr", "bld", ["cell", "size"], ["lp"]) + ", pe AS (SELECT city, y, p_lp AS e FROM f_wide JOIN cn ON l = '0:' || cell WHERE n >= 50), "
+    + Q.effects("f", "cellr", "bld", ["cell", "size"], ["lp"]) + ", pe AS (SELECT city, y, p_lp AS e FROM f_wide JOIN cn ON l = '0:' || cell WHERE n >= 36), "
     "pi AS (SELECT p.city, p.y, p.e - b.e AS lp FROM pe p JOIN pe b ON b.city = p.city AND b.y = 1998) " + stock_sql("city", "1.0", "s1") + stock_sql("city", "floors", "s2")
     + ", sn AS (SELECT year, sum(stock) AS n FROM s1 GROUP BY year), se AS (SELECT city, max(stock) FILTER (WHERE year = 1984) AS s0, max(stock) FILTER (WHERE year = 1991) AS s1 FROM s1 GROUP BY city), "
     "ne AS (SELECT max(n) FILTER (WHERE year = 1984) AS n0, max(n) FILTER (WHERE year = 1991) AS n1 FROM sn), "

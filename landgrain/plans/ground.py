@@ -332,24 +332,30 @@ def dissolved_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ", p AS (SELECT bld AS id, bld % 100 AS block, kind AS place, street, CASE WHEN built IS NOT NULL THEN x END AS x, CASE WHEN built IS NOT NULL THEN y END AS y FROM reg), "
-    "s AS (SELECT kind AS place, split_part(street, ' ', 1) AS street, x AS sx, y AS sy FROM reg WHERE floors <= 10), "
-    "bc AS (SELECT block, median(x) AS bx, median(y) AS b_y FROM p GROUP BY block), lc AS (SELECT place, median(x) AS lx, median(y) AS ly FROM p GROUP BY place), "
-    "q AS (SELECT * FROM p LEFT JOIN bc USING (block) LEFT JOIN lc USING (place)), "
-    "c AS (SELECT id, arg_min({sx: sx, sy: sy}, (sqrt((sx - coalesce(bx, lx)) ** 2 + (sy - coalesce(b_y, ly)) ** 2), sx, sy)) AS s FROM q JOIN s ON s.place = q.place AND (contains(q.street, s.street) OR contains(s.street, q.street)) "
-    "WHERE q.x IS NULL AND length(s.street) >= 3 GROUP BY id) "
-    "SELECT id, round(coalesce(x, s.sx, bx, lx), 4) AS x, round(coalesce(y, s.sy, b_y, ly), 4) AS y, CASE WHEN x IS NOT NULL THEN 2 WHEN s IS NOT NULL THEN 3 WHEN bx IS NOT NULL THEN 4 WHEN lx IS NOT NULL THEN 5 END AS quality "
-    "FROM q LEFT JOIN c USING (id)"
+    "s AS (SELECT kind AS place, split_part(street, ' ', 1) AS street, x AS sx, y AS sy FROM reg), "
+    "lo AS (SELECT kind AS place, median(x) AS lx, median(y) AS ly FROM reg WHERE length(split_part(kind, ' ', 1)) - 4 = 1 GROUP BY kind), "
+    "ex AS (SELECT DISTINCT p.place, p.street FROM p JOIN s ON s.place = p.place AND s.street = p.street), "
+    "ca AS (SELECT p.id, p.block, sx, sy FROM p JOIN s ON s.place = p.place AND (s.street = p.street OR ((p.place, p.street) NOT IN (SELECT (place, street) FROM ex) AND length(p.street) >= 3 AND length(s.street) >= 3 "
+    "AND (contains(p.street, s.street) OR contains(s.street, p.street)))) WHERE p.x IS NULL), "
+    "ce AS (SELECT block, median(sx) AS cx, median(sy) AS cy FROM ca GROUP BY block), "
+    "c AS (SELECT id, arg_min({sx: sx, sy: sy}, ((sx - cx) ** 2 + (sy - cy) ** 2, sx, sy)) AS s FROM ca JOIN ce USING (block) GROUP BY id), "
+    "bc AS (SELECT block, median(x) AS bx, median(y) AS b_y FROM p WHERE x IS NOT NULL GROUP BY block), "
+    "q AS (SELECT id, coalesce(x, s.sx, bx, lx) AS x, coalesce(y, s.sy, b_y, ly) AS y, CASE WHEN x IS NOT NULL THEN 2 WHEN s IS NOT NULL THEN 3 WHEN bx IS NOT NULL THEN 4 WHEN lx IS NOT NULL THEN 5 END AS quality "
+    "FROM p LEFT JOIN c USING (id) LEFT JOIN bc USING (block) LEFT JOIN lo USING (place)) SELECT id, round(x, 4) AS x, round(y, 4) AS y, quality FROM q WHERE quality IS NOT NULL"
 )
 def geocoding_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buildings of unknown year have no point of their own; streets bear the first word of their buildings' names."""
+    """Buildings of unknown year have no point of their own; streets bear the first word of their buildings' names. A
+    locality is a kind; the length of its first word says how many areas it has."""
     r = register(spark, sf_dir)
     known = F.col("built").isNotNull()
     p = r.select(
         F.col("bld").alias("id"), (F.col("bld") % 100).alias("block"), F.col("kind").alias("place"), F.col("street"),
         F.when(known, F.col("x")).alias("x"), F.when(known, F.col("y")).alias("y"),
     )
-    streets = r.where("floors <= 10").select(F.col("kind").alias("place"), F.substring_index("street", " ", 1).alias("street"), "x", "y")
-    return N.geocoded(p, streets).select("id", r6("x", 4).alias("x"), r6("y", 4).alias("y"), "quality")
+    streets = r.select(F.col("kind").alias("place"), F.substring_index("street", " ", 1).alias("street"), "x", "y")
+    areas = F.char_length(F.substring_index("place", " ", 1)) - 4
+    localities = r.groupBy(F.col("kind").alias("place")).agg(F.median("x").alias("x"), F.median("y").alias("y")).withColumn("areas", areas)
+    return N.geocoded(p, streets, localities).select("id", r6("x", 4).alias("x"), r6("y", 4).alias("y"), "quality")
 
 
 @query(SQ + ", c AS (SELECT poly, kind, count(*) AS n FROM inq GROUP BY ALL) SELECT poly, round((ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(6), 6) AS entropy FROM c GROUP BY poly")
