@@ -36,10 +36,10 @@ from landgrain.llm.common import components, fresh, maybe_broadcast, staged
 
 WORDS, PERCENT = 5, 80
 BAND = 1.7  # largest by smallest size of a band
-FLUSH, CHUNK = 2_000_000, 200  # signatures that a task combines at once, and sets whose signatures it computes at once
+FLUSH, CHUNK = 1_000_000, 200  # signatures that a task combines at once, and sets whose signatures it computes at once
 CHAINS = 2  # rounds of neighbour pairs before the last step
 CHAIN = 50_000  # members of a signature among which neighbours are looked for
-PART, PARTS = 2_000_000, 50_000  # signatures that one task groups, and tasks
+PART, PARTS = 1_000_000, 50_000  # signatures that one task groups, and tasks
 DEPTH = 6  # times that a partitioning is repeated under empty subsets
 BLOCK, TILE = 2048, 1 << 20  # sets, and shingles, that one side of a comparison holds on average
 U = np.uint64
@@ -354,8 +354,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * union).select("a", "b")
 
 
-def joined(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id, n_links (other classes found similar), component_id."""
+def joined(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, links_too: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, class_id, n_links (other classes found similar), component_id.
+    Where only components are asked for, ``links_too`` is false and the links of a class are not counted (n_links is 0)."""
     slim = docs.select("doc_id", F.col(text).alias("text"))
     meta = staged(described(slim, words, percent), "shingle-sets")
     classes = meta.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", "need").agg(F.min("doc_id").alias("cls"))
@@ -377,8 +378,8 @@ def joined(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int
     best = sized.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     links = [staged(linked(best, sets, percent), "links")]
     comp = rest(sets, links, percent)
-    degree = degrees(sets, comp, percent)
-    found = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
+    found = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+    found = found.join(degrees(sets, comp, percent), "cls", "left") if links_too else found.withColumn("links", F.lit(0).cast("long"))
     found = found.select("k1", "k2", "n", "cls", F.coalesce("comp", "cls").alias("comp"), "links")
     rows = meta.join(found, ["k1", "k2", "n"], "left")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
@@ -414,7 +415,7 @@ def one_each(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Rows without doc_id stay; of rows that share a doc_id the one whose text has the smallest hash stays.
     """
-    found = staged(joined(docs, text), "near-rows")
+    found = staged(joined(docs, text, links_too=False), "near-rows")
     gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-gone")
     again = staged(
         found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"),
