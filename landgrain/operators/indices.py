@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrain.functions.exprs import divided
+from landgrain.operators import selection
 from landgrain.operators.components import checkpointed
 from landgrain.operators.fixed_effects import comparable, fe_ols, grouped_ols, level_effects, moments, solved
 from landgrain.operators.relational import next_row, rebased, with_size
@@ -37,8 +38,7 @@ def as_index(effects: DataFrame, keys: list[str], period: str, base: Column) ->
 
 def raw_index(df: DataFrame, value: str, period: str, base: Column) -> DataFrame:
     """Median per period, base-year mean 100."""
-    medians = df.groupBy(period).agg(F.median(value).alias("value"))
-    return rebased(medians, [], "value", base, "index").select(period, "index")
+    return rebased(selection.medians(df, [period], value, "value"), [], "value", base, "index").select(period, "index")
 
 
 def fe_index(
@@ -208,6 +208,14 @@ def returns(df: DataFrame, unit: str, date: str, order: list, real: str, area: s
     return out.where(F.col("years") >= least_years).withColumn("annual", F.exp(F.col("gain") / F.col("years")) - 1)
 
 
+def returns_by_start(pairs: DataFrame, date: str, least: int = 500) -> DataFrame:
+    """(start, n, annual, losses): of the pairs of ``returns``, per year of the first sale with at least ``least`` of them, the
+    median annual return and the share that lost."""
+    rows = pairs.withColumn("start", F.year(date))
+    out = rows.groupBy("start").agg(F.count("*").alias("n"), F.avg((F.col("gain") < 0).cast("double")).alias("losses")).where(F.col("n") >= least)
+    return out.join(selection.medians(rows, ["start"], "annual", "annual"), "start").select("start", "n", "annual", "losses")
+
+
 def premiums(
     df: DataFrame, y: str, kind: str, base: str, unit: str, controls: list[str], group: list[str] = (), least: int = 1
 ) -> DataFrame:

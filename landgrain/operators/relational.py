@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrain.functions.exprs import binned, divided
+from landgrain.operators import selection
 
 
 # --- deduplication, modes and majorities -------------------------------------------------------------------------
@@ -256,21 +257,14 @@ def standardised(df: DataFrame, value: str, weight: str, out: str) -> DataFrame:
     return df.crossJoin(F.broadcast(m)).withColumn(out, divided(F.col(value) - F.col("_m"), "_s")).drop("_m", "_s")
 
 
-def rank_bins(df: DataFrame, value: str, key: list[str], bins: int, out: str = "bin", buckets: int = 256) -> DataFrame:
+def rank_bins(df: DataFrame, value: str, key: list[str], bins: int, out: str = "bin") -> DataFrame:
     """Rows in order of (value, key) split into ``bins`` parts whose sizes differ by one at most, as ``ntile`` does, but
-    without one task for all rows: rows are ranked within ranges of the value, and a range starts where the counts of
-    those before it end."""
-    edges = df.agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)]).alias("e"))
-    dealt = df.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("e", lambda x: x < F.col(value)))).drop("e")
-    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = dealt.groupBy("_b").agg(F.count("*").alias("_n"))  # as many rows as ranges
-    starts = sizes.select("_b", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    at = F.row_number().over(Window.partitionBy("_b").orderBy(value, *key)) - 1 + F.col("_before")
-    ranked = dealt.join(F.broadcast(starts), "_b").withColumn("_at", at)
-    short, extra = F.floor(F.col("_all") / bins), F.col("_all") % bins  # the first ``extra`` parts have one more
+    without one task for all rows or for one heaped value: ranges of the whole order are numbered by their counts."""
+    rows, total = selection.ranked(df, [value, *key], "_at")
+    short, extra = F.floor(total / bins), total % bins  # the first ``extra`` parts have one more
     large = extra * (short + 1)
     part = F.when(F.col("_at") < large, F.floor(F.col("_at") / (short + 1))).otherwise(extra + F.floor((F.col("_at") - large) / F.greatest(short, F.lit(1))))
-    return ranked.withColumn(out, part.cast("int")).drop("_b", "_before", "_all", "_at")
+    return rows.withColumn(out, part.cast("int")).drop("_all", "_at")
 
 
 def rolled_up(df: DataFrame, keys: list[str], height: str, year: str, low: int, high: int, new: int) -> DataFrame:
@@ -349,16 +343,22 @@ def balanced(df: DataFrame, keys: list[str], time: str, periods: int) -> DataFra
 
 def quantile_bins(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
     """Value quantiles: ties stay together and equal edges are one; the edges are a fixed few numbers."""
-    edges = df.agg(F.percentile(value, F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("e")).first()["e"]
+    edges = selection.quantiles(df, [], value, [k / bins for k in range(bins + 1)], "e").first()
     if edges is None:
         return df.withColumn(out, F.lit(None).cast("int"))
-    inner = sorted(set(edges))[1:-1]
+    inner = sorted(set(edges["e"]))[1:-1]
     at = reduce(lambda a, e: a + (F.col(value) > e).cast("int"), inner, F.lit(0))
     return df.withColumn(out, F.when(F.col(value).isNotNull(), at))
 
 
-def binned_scatter(df: DataFrame, x: str, y: str, weight: str, bins: int = 20) -> DataFrame:
-    """(bin, n, x, y): weighted means by equal-count bins of x."""
+def binned_scatter(df: DataFrame, x: str, y: str, weight: str, bins: int = 20, within: str | None = None) -> DataFrame:
+    """(bin, n, x, y): weighted means by equal-count bins of x; with ``within``, of x and y less their weighted means in
+    each of its groups."""
+    if within:
+        w = F.col(weight)
+        rows = df.dropna(subset=[x, y, weight, within])
+        means = rows.groupBy(within).agg(*((F.sum(w * F.col(c)) / F.sum(w)).alias(f"_m{k}") for k, c in enumerate((x, y))))
+        df = rows.join(means, within).withColumns({c: F.col(c) - F.col(f"_m{k}") for k, c in enumerate((x, y))})
     return quantile_bins(df, x, bins).groupBy("bin").agg(
         F.count("*").alias("n"), weighted_mean(x, weight).alias("x"), weighted_mean(y, weight).alias("y")
     )

@@ -11,6 +11,7 @@ from landgrain.functions import exprs as X
 from landgrain.operators import fixed_effects as E
 from landgrain.operators import indices as I
 from landgrain.operators import relational as R
+from landgrain.operators import selection
 from landgrain.operators import supply as U
 from landgrain.operators.components import checkpointed
 from landgrain.plans import normal_equations as Q
@@ -101,6 +102,18 @@ def hedonic_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("y", r6("change").alias("change"), r6("index", 4).alias("index"))
 
 
+@query(
+    ", m AS (SELECT *, sum(area * ppm) OVER b / sum(area) OVER b AS mx, sum(area * price) OVER b / sum(area) OVER b AS my FROM a WINDOW b AS (PARTITION BY block)), "
+    "v0 AS (SELECT ppm - mx AS x, price - my AS y, area FROM m), q AS (SELECT quantile_cont(x, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS e FROM v0), "
+    "v AS (SELECT *, len(list_filter(e, lambda z: z < x)) AS bin FROM v0, q) "
+    "SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(sum(area * x) / sum(area), 4) AS x, round(sum(area * y) / sum(area), 2) AS y FROM v GROUP BY bin"
+)
+def binned_scatter_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price against price per metre, both relative to their block's mean."""
+    d = sample(spark, sf_dir).withColumn("w", F.col("area"))
+    return rounded(R.binned_scatter(d, "ppm", "price", "w", 10, "block"), ["bin", "n"], x=4, y=2)
+
+
 @query(
     LG + Q.effects("f", "lg", "block", ["ym"], ["lprice", "larea", "nrooms"]) + "," + Q.solve("b", "f_mo", ["larea", "nrooms"], ["lprice"]) + ","
     + Q.index("i", f"p_lprice - {Q.coefficient('b_x', 'larea', 'lprice')} * p_larea - {Q.coefficient('b_x', 'nrooms', 'lprice')} * p_nrooms", "f_wide", "ym", BASE_M)
@@ -757,7 +770,8 @@ MEDIANS = (
 
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sample(spark, sf_dir).join(places(spark, sf_dir), "block").withColumn("size", X.room_class("rooms"))
-    return d.groupBy("district", "size").agg(F.median("price").alias("p"), F.median("area").alias("m2"))
+    of = lambda value, out: selection.medians(d, ["district", "size"], value, out)
+    return of("price", "p").join(of("area", "m2"), ["district", "size"])
 
 
 @query(

@@ -321,6 +321,18 @@ def repeat_sale_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    RETURNS.replace("PARTITION BY apt", "PARTITION BY bld") + ", st AS (SELECT *, exp(gain / years) - 1 AS annual, CAST(year(dt) AS INTEGER) AS start FROM q) "
+    "SELECT start, count(*) AS n, round(median(annual), 6) AS annual, round(avg(CASE WHEN gain < 0 THEN 1.0 ELSE 0.0 END), 6) AS losses FROM st GROUP BY start HAVING count(*) >= 500"
+)
+def returns_by_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real returns from one sale of a building to the next by the year of the first, where it has 500 pairs."""
+    d = sample(spark, sf_dir).withColumn("real_price", F.col("price") / 1000)
+    r = I.returns(d, "bld", "dt", ["dt", "ok", "rooms", "price", "area"], "real_price", "area", 0.5)
+    out = I.returns_by_start(r, "dt", 500)
+    return out.select("start", "n", r6("annual").alias("annual"), r6("losses").alias("losses"))
+
+
 @query(
     "SELECT CAST(floor(built / 10) * 10 AS INTEGER) AS dec, count(*) AS n, round(avg(area), 6) AS area, round(avg(ceil(rooms)), 6) AS rooms, "
     "round(avg(area / rooms) FILTER (WHERE area / rooms BETWEEN 5 AND 50), 6) AS per_room FROM a JOIN reg USING (bld) WHERE built BETWEEN 1930 AND 2025 GROUP BY 1"
