@@ -323,6 +323,44 @@ def building_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.big_effects(logged(spark, sf_dir), "lp", ["bld", "ym", "size"]), ["bld", "n"], effect=6)
 
 
+@query(
+    LG + "b AS (SELECT bld, block, block || '|' || ym AS cell, lp FROM lg), it AS (SELECT 0 AS k, bld, block, cell, lp AS r, CAST(0 AS DOUBLE) AS c FROM b UNION ALL "
+    "SELECT k + 1, bld, block, cell, r1 - avg(r1) OVER z, c + avg(r1) OVER z FROM (SELECT *, r - avg(r) OVER (PARTITION BY bld) AS r1 FROM it WHERE k < 200) WINDOW z AS (PARTITION BY cell)), "
+    "e AS (SELECT block, cell, any_value(c) AS c FROM it WHERE k = 200 GROUP BY block, cell) "
+    "SELECT block, count(*) AS months, round(stddev(c), 5) AS spread, round(arg_max(c, cell) - arg_min(c, cell), 5) AS change FROM e GROUP BY block"
+)
+def block_month_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block-by-month effects with building effects, more levels than a Gram matrix is made for: their spread and their
+    change from the first to the last month, per block. The SQL takes means in turn until they stand still."""
+    d = logged(spark, sf_dir).withColumn("cell", F.concat_ws("|", "block", "ym"))
+    e = E.level_effects(d, "lp", ["bld", "cell"]).withColumn("block", F.substring_index("level", "|", 1).cast("long"))
+    out = e.groupBy("block", "component").agg(
+        F.count("*").alias("months"), F.stddev("effect").alias("spread"), (F.max_by("effect", "level") - F.min_by("effect", "level")).alias("change")
+    )
+    return rounded(out, ["block", "months"], spread=5, change=5)
+
+
+UNLINKED = (
+    LG + Q.effects("f", "lg", "block", ["cell"], ["lp"]).replace("FROM lg ", "FROM (SELECT *, city || '|' || y AS cell FROM lg) ")
+    + ", ed AS (SELECT DISTINCT block, '0:' || city || '|' || y AS l FROM lg), wk AS (SELECT DISTINCT l, l AS c FROM ed UNION SELECT b.l, wk.c FROM wk JOIN ed a ON a.l = wk.l JOIN ed b ON b.block = a.block), "
+    "cp AS (SELECT l, min(c) AS c FROM wk GROUP BY l), base AS (SELECT min(l) AS l FROM f_wide) "
+    "SELECT split_part(w.l[3:], '|', 1) AS city, CAST(split_part(w.l[3:], '|', 2) AS INTEGER) AS y, round(CASE WHEN cp.c = bc.c THEN w.p_lp - bw.p_lp END, 6) AS effect "
+    "FROM f_wide w JOIN cp ON cp.l = w.l, base JOIN f_wide bw ON bw.l = base.l JOIN cp bc ON bc.l = base.l"
+)
+
+
+@query(UNLINKED)
+def unlinked_city_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City-by-year effects with block effects, against the first one: a block lies in one city, so no other city's years are
+    comparable with it, and they are NULL."""
+    d = logged(spark, sf_dir).withColumn("cell", F.concat_ws("|", "city", "y"))
+    e = E.level_effects(d, "lp", ["block", "cell"])
+    first = e.agg(F.min("level").alias("_l"))
+    out = E.comparable(e.crossJoin(F.broadcast(first)), [], F.col("level") == F.col("_l"))
+    parts = F.split("level", r"\|")
+    return out.select(F.get(parts, F.lit(0)).alias("city"), F.get(parts, F.lit(1)).cast("int").alias("y"), r6("effect").alias("effect"))
+
+
 ROOMS = "rm AS (SELECT *, CAST(rooms = 2 AS INTEGER)::DOUBLE AS room2, CAST(rooms = 4 AS INTEGER)::DOUBLE AS room4, CAST(rooms = 6 AS INTEGER)::DOUBLE AS room6, y % 2 AS half FROM lg), "
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from landgrain.functions import exprs as X
 from landgrain.operators import network as N
 from landgrain.operators import relational as R
 from landgrain.operators import spatial as P
+from landgrain.operators.components import shared_folder
 from landgrain.plans.base import query, r6, register, table
+from landgrain.sources import tables as S
 
 WIDTH = 10_010.0
 
@@ -320,6 +324,24 @@ def counts_in_median_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.box_counts(p, N.median_boxes(p, ["kind"], "floors").withColumnRenamed("kind", "box"), 500.0)
 
 
+@query(SQ + " SELECT CAST(poly AS BIGINT) AS poly, round(side * side, 2) AS m2, round(4 * side, 4) AS outline FROM sq")
+def areas_from_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas written as feature collections of about a thousand, and read back as polygons."""
+    path = f"{shared_folder(spark)}/geojson-{uuid.uuid4().hex}"
+    point = lambda p: F.array(p["x"], p["y"])
+    closed = F.transform("rings", lambda r: F.concat(F.transform(r, point), F.array(point(r[0]))))
+    feature = F.struct(
+        F.lit("Feature").alias("type"), F.struct(F.col("poly").cast("string").alias("id")).alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), closed.alias("coordinates")).alias("geometry"),
+    )
+    q = squares(spark, sf_dir)
+    files = q.withColumn("f", feature).groupBy(F.pmod(F.xxhash64("poly"), F.lit(1 + q.count() // 1000)).alias("part")).agg(F.collect_list("f").alias("features"))
+    files.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    back = S.read_geojson(spark, path, ["id"]).withColumn("rings", F.transform("rings", lambda r: F.slice(r, 1, F.size(r) - 1)))
+    m = P.measures(back.select(F.col("id").cast("long").alias("poly"), "rings"))
+    return m.select("poly", r6("area", 2).alias("m2"), r6("perimeter", 4).alias("outline"))
+
+
 @query(
     SQ + ", u AS (SELECT *, i * 2 < n AS upper FROM sq, gn), e AS (SELECT upper, unnest([{v: true, a: j, b: i}, {v: true, a: j, b: i + 1}, {v: false, a: i, b: j}, {v: false, a: i, b: j + 1}]) AS e, side FROM u), "
     "o AS (SELECT upper, e, max(side) AS side FROM e GROUP BY upper, e HAVING count(*) = 1) SELECT upper, round(sum(side), 2) AS outline FROM o GROUP BY upper"

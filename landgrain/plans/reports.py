@@ -314,6 +314,23 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@query(", t AS (SELECT block, count(*) AS n, sum(area) AS m2 FROM a GROUP BY block) SELECT block, n, round(m2, 4) AS m2, round(m2 / n, 6) AS mean FROM t")
+def staged_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the sample per block through a stage: the second use of the same plan reads what the first one wrote."""
+    root = folder(spark, "stages")
+    totals = lambda: S.stage_once(sample(spark, sf_dir).groupBy("block").agg(F.count("*").alias("n"), F.sum("area").alias("m2")), root, "totals")
+    means = totals().select("block", (F.col("m2") / F.col("n")).alias("mean"))
+    return totals().join(means, "block").select("block", "n", r6("m2", 4).alias("m2"), r6("mean").alias("mean"))
+
+
+@query("SELECT DISTINCT kind AS name FROM reg JOIN a USING (bld) WHERE kind NOT IN (SELECT kind FROM reg WHERE built >= 2012)")
+def undocumented_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of sold buildings that the dictionary, kinds built from 2012 on, has no entry for."""
+    r = register(spark, sf_dir)
+    published = sample(spark, sf_dir).select("bld").join(r, "bld").select(F.col("kind").alias("name"))
+    return R.undocumented(published, r.where("built >= 2012").select(F.col("kind").alias("name")))
+
+
 @query("SELECT kind, count(*) AS n, CAST(sum(floors) AS BIGINT) AS floors, count(built) AS known, min(street) AS street FROM reg GROUP BY kind")
 def csv_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The register written as delimited text in two parts, and read as one table with loose and strict columns."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +98,34 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(df: DataFrame) -> str:
+    """A digest of the plan of ``df`` and of the names, sizes and times of the files that it reads."""
+    plan = re.sub(r"#\d+L?|plan_id=\d+", "", df._jdf.queryExecution().optimizedPlan().toString())
+    files = sorted(df.inputFiles())
+    if files:
+        rows = df.sparkSession.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+        files = [tuple(map(str, r)) for r in rows.orderBy("path").collect()]  # a row per file, no content
+    return hashlib.sha256(repr((plan, df.schema.json(), files)).encode()).hexdigest()
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: the commit's marker is the last file that a write leaves."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def stage_once(df: DataFrame, root: str, name: str) -> DataFrame:
+    """A stage table that a later run of the same plan over the same files reads instead of making it again.
+
+    Its folder carries the fingerprint; one without the commit's marker was left half-written and is made anew. Plans
+    must be deterministic; two runs at the same time may both write, and the last one stays.
+    """
+    spark, path = df.sparkSession, f"{root}/{name}-{fingerprint(df)}"
+    if not finished(spark, path):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def with_optional(base: DataFrame, extra: DataFrame | None, keys: list[str]) -> DataFrame:
     """``base`` and those rows of an optional second source whose keys it lacks."""
     return base if extra is None else base.unionByName(extra.join(base.select(*keys).distinct(), keys, "left_anti"))
