@@ -323,12 +323,12 @@ def staged_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals().join(means, "block").select("block", "n", r6("m2", 4).alias("m2"), r6("mean").alias("mean"))
 
 
-@query("SELECT DISTINCT kind AS name FROM reg JOIN a USING (bld) WHERE kind NOT IN (SELECT kind FROM reg WHERE built >= 2012)")
-def undocumented_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of sold buildings that the dictionary, kinds built from 2012 on, has no entry for."""
+@query("SELECT DISTINCT street AS name FROM reg JOIN a USING (bld) WHERE street NOT IN (SELECT street FROM reg WHERE built >= 2012)")
+def undocumented_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets of sold buildings that the dictionary, streets of buildings from 2012 on, has no entry for."""
     r = register(spark, sf_dir)
-    published = sample(spark, sf_dir).select("bld").join(r, "bld").select(F.col("kind").alias("name"))
-    return R.undocumented(published, r.where("built >= 2012").select(F.col("kind").alias("name")))
+    published = sample(spark, sf_dir).select("bld").join(r, "bld").select(F.col("street").alias("name"))
+    return R.undocumented(published, r.where("built >= 2012").select(F.col("street").alias("name")))
 
 
 @query("SELECT kind, count(*) AS n, CAST(sum(floors) AS BIGINT) AS floors, count(built) AS known, min(street) AS street FROM reg GROUP BY kind")
