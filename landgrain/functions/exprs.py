@@ -189,9 +189,14 @@ def excluded(c: str | Column, words: tuple[str, ...] = NOT_COMMERCE) -> Column:
     return (c != "") & ~c.rlike("|".join(words))
 
 
+# The marks of writing direction inside floor texts, and the blanks and signs that street names are compared without.
+DIRECTION_MARKS = "[‎‏]"
+NAME_SIGNS = r"[\s\"'`״׳\-.,()]+"
+
+
 def parsed_floor(text: str | Column) -> Column:
     """The floor number in a floor text: digits, ordinals, teens, tens and tens with units; NULL if unknown."""
-    s = F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), "[‎‏]", ""))
+    s = F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), DIRECTION_MARKS, ""))
     number = F.regexp_extract(s, r"^(?:קומה\s*)?(-?\d+)$", 1)
     teen = recoded(F.regexp_extract(s, r"^(\S+) עשרה$", 1), UNITS)
     tens = recoded(F.regexp_extract(s, r"^(\S+) ו(\S+)$", 1), TENS)
@@ -207,7 +212,7 @@ def parsed_once(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def street_key(name: str | Column) -> Column:
     """A street name without blanks, punctuation and a leading street type (if two letters or more remain)."""
-    s = F.regexp_replace(col(name), r"[\s\"'`״׳\-.,()]+", "")
+    s = F.regexp_replace(col(name), NAME_SIGNS, "")
     return F.regexp_replace(s, "^(" + "|".join(STREET_TYPES) + ")(?=.{2,})", "")
 
 

@@ -47,14 +47,14 @@ def match_one(left: DataFrame, right: DataFrame, keys: list[str], order: list) -
 def cascade(df: DataFrame, levels: list[tuple[DataFrame, list[str], str]], out: str, default=None) -> DataFrame:
     """The value of the first level that has one, and the level used (1, 2, ...; 0: the default).
 
-    Each level is (table, keys, value column); without keys the table is one row.
+    Each level is (table, keys, value column); without keys the table is one row, of several the one with the least value.
     """
     values = []
     for k, (table, keys, value) in enumerate(levels):
         name = f"_v{k}"
         values.append(name)
         part = table.select(*keys, F.col(value).alias(name))
-        df = df.join(part, keys, "left") if keys else df.crossJoin(F.broadcast(part.limit(1)))
+        df = df.join(part, keys, "left") if keys else df.crossJoin(F.broadcast(part.agg(F.min(name).alias(name))))
     level = reduce(lambda w, kv: w.when(F.col(kv[1]).isNotNull(), kv[0] + 1), enumerate(values), F.when(F.lit(False), 0))
     df = df.withColumn(out, F.coalesce(*values, F.lit(default))).withColumn(f"{out}_level", level.otherwise(0))
     return df.drop(*values)

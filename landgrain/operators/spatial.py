@@ -141,9 +141,11 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, size: float, group: str
 
     Left points meet the right points of the 3 by 3 cells around them. Those that have found enough within the cell size
     are done; the rest goes on with doubled cells, so that dense places are searched closely and far ones widely. Every
-    ring ends in a checkpoint, and no ring looks at a done point again.
+    ring ends in a checkpoint, and no ring looks at a done point again. A left point without both coordinates gets no row,
+    and a right one is nobody's neighbour.
     """
     keys = [group] if group else []
+    left, right = left.dropna(subset=["x", "y"]), right.dropna(subset=["rx", "ry"])
     totals = right.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias("_need"))
     rest = left.select(*keys, "id", "x", "y")
     rest = checkpointed((rest.join(totals, keys) if keys else rest.crossJoin(F.broadcast(totals))).where("_need > 0"))

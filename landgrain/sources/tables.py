@@ -89,7 +89,8 @@ def write_tiled(df: DataFrame, path: str, x: str, y: str, size: float) -> DataFr
     """Rows in one folder per tile; returns the tile index (ti, tj, rows)."""
     tiled = df.withColumn("ti", F.floor(F.col(x) / size)).withColumn("tj", F.floor(F.col(y) / size))
     tiled.repartition("ti", "tj").write.mode("overwrite").partitionBy("ti", "tj").parquet(path)
-    return tiled.groupBy("ti", "tj").agg(F.count("*").alias("rows"))
+    # Counted from what was written; tiles are folders, so no column is read.
+    return df.sparkSession.read.schema(tiled.schema).parquet(path).groupBy("ti", "tj").agg(F.count("*").alias("rows"))
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:
