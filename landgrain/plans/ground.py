@@ -411,8 +411,16 @@ def years_from_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def touching_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas that touch, and whether in a side or in a corner alone."""
-    c = N.contacts(squares(spark, sf_dir), 10.0)
-    return c.select("a", "b", (F.col("shared") > 100).alias("side"))
+    s = squares(spark, sf_dir)
+    touch, half = grid_contact(s)
+    return N.contacts(s, touch).select("a", "b", (F.col("shared") > half).alias("side"))
+
+
+def grid_contact(s: DataFrame) -> tuple[float, float]:
+    """(touch, half a side): how close borders touch, 10 m or a sixteenth of the squares' side. At a corner alone squares share
+    three times ``touch``, along a side the side."""
+    side = s.agg(F.max("side")).first()[0] or WIDTH
+    return min(10.0, side / 16), side / 2
 
 
 @query(
@@ -422,9 +430,10 @@ def touching_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corner_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner corners of the grid as junctions of the areas that meet there: contacts at corners, cleaned."""
     s = squares(spark, sf_dir)
-    corners = N.contacts(s, 10.0).where("shared <= 100")
+    touch, half = grid_contact(s)
+    corners = N.contacts(s, touch).where(F.col("shared") <= half)
     axes = P.with_rectangle(s).join(P.measures(s), "poly").select("poly", "cx", "cy", "hi", "ux", "uy")
-    out = N.junctions_clean(corners, axes, N.CleaningRules(straight=1.0))
+    out = N.junctions_clean(corners, axes, N.CleaningRules(cluster=min(12.5, half / 4), straight=1.0))
     return out.groupBy(F.col("degree").cast("long").alias("degree")).agg(F.count("*").alias("n"))
 
 
