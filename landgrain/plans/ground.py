@@ -453,5 +453,5 @@ def road_like_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lots = p.select(F.col("id").alias("poly"), F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))).alias("rings"))
     homes = p.where("kind = 'SMALL'").select(F.col("id").alias("poly"))
-    out = P.road_like(lots, homes).join(p.select(F.col("id").alias("poly"), "kind"), "poly")
+    out = P.road_like(lots, homes).join(p.select(F.col("id").alias("poly"), "kind").hint("merge"), "poly")
     return out.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("road").alias("roads"), r6(F.sum(F.when(F.col("road"), F.col("area"))), 2).alias("area"))
