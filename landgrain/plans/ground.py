@@ -214,7 +214,7 @@ def urban_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urban land per area from parcels, and from the calibrated street footprint where they cover little."""
     s, p = squares(spark, sf_dir), points(spark, sf_dir)
     size = F.when(F.col("floors") >= 48, 60000.0).otherwise(900.0 * F.col("floors"))
-    parcels = P.points_in(p, s, 500.0).join(p, "id").select("poly", size.alias("area"))
+    parcels = P.points_in(p, s, 500.0).join(p.hint("merge"), "id").select("poly", size.alias("area"))
     areas = s.select("poly", (F.col("side") * F.col("side")).alias("area"))
     street = P.footprint(lanes(spark, sf_dir), s, 20.0, 60.0)
     return P.urban_land(parcels, areas, street, good=0.4, sample=1_000_000).select("poly", r6("urban", 2).alias("urban"), "source")
@@ -224,7 +224,7 @@ def urban_land(spark: SparkSession, sf_dir: str) -> DataFrame:
 def densities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buildings per square kilometre of all ground and of parcel ground."""
     s, p = squares(spark, sf_dir), points(spark, sf_dir)
-    met = P.points_in(p, s, 500.0).join(p, "id").groupBy("poly").agg(F.count("*").alias("n"), F.sum(900.0 * F.col("floors")).alias("ground"))
+    met = P.points_in(p, s, 500.0).join(p.hint("merge"), "id").groupBy("poly").agg(F.count("*").alias("n"), F.sum(900.0 * F.col("floors")).alias("ground"))
     grounds = met.join(s.select("poly", (F.col("side") * F.col("side")).alias("all")), "poly")
     out = P.density(met, grounds, "n", "all", "gross").join(P.density(met, grounds, "n", "ground", "net"), "poly")
     return out.select("poly", r6("gross").alias("gross"), r6("net").alias("net"))
@@ -275,7 +275,7 @@ def parking_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda a, b: F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"))
     w = F.col("floors").cast("double")
     lots = p.select("id", F.array(F.array(corner(0.0, 0.0), corner(w, 0.0), corner(w, 20.0), corner(0.0, 20.0))).alias("rings"))
-    ground = P.points_in(p, s, 500.0).join(p, "id").groupBy("poly").agg(F.sum(50.0 * F.col("floors")).alias("ground"))
+    ground = P.points_in(p, s, 500.0).join(p.hint("merge"), "id").groupBy("poly").agg(F.sum(50.0 * F.col("floors")).alias("ground"))
     return P.covered_share(lots, s, ground, 500.0).select("poly", r6("share").alias("share"))
 
 
@@ -383,7 +383,7 @@ def geocoding_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQ + ", c AS (SELECT poly, kind, count(*) AS n FROM inq GROUP BY ALL) SELECT poly, round((ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(6), 6) AS entropy FROM c GROUP BY poly")
 def mix_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    inside = P.points_in(p, squares(spark, sf_dir), 500.0).join(p.select("id", "kind"), "id")
+    inside = P.points_in(p, squares(spark, sf_dir), 500.0).join(p.select("id", "kind").hint("merge"), "id")
     return R.entropy(inside, ["poly"], "kind", 6).select("poly", r6("entropy").alias("entropy"))
 
 
