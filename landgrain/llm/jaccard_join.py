@@ -36,12 +36,12 @@ from landgrain.llm.common import components, fresh, maybe_broadcast, staged
 
 WORDS, PERCENT = 5, 80
 BAND = 1.7  # largest by smallest size of a band
-FLUSH, CHUNK = 1_000_000, 200  # signatures that a task combines at once, and sets whose signatures it computes at once
+FLUSH, CHUNK = 500_000, 100  # signatures that a task combines at once, and sets whose signatures it computes at once
 CHAINS = 2  # rounds of neighbour pairs before the last step
 CHAIN = 50_000  # members of a signature among which neighbours are looked for
-PART, PARTS = 1_000_000, 50_000  # signatures that one task groups, and tasks
+PART, PARTS = 500_000, 50_000  # signatures that one task groups, and tasks
 DEPTH = 6  # times that a partitioning is repeated under empty subsets
-BLOCK, TILE = 2048, 1 << 20  # sets, and shingles, that one side of a comparison holds on average
+BLOCK, TILE = 1024, 1 << 19  # sets, and shingles, that one side of a comparison holds on average
 U = np.uint64
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -526,7 +526,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     ends = np.cumsum(many)
     lo = 0
     while lo < len(many):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4_000_000, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TILE, "right")))
         m = many[lo:hi]
         at = np.repeat(start_a[at_b[lo:hi]] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
         pair, n = np.unique(own_a[at] * len(right) + np.repeat(own_b[lo:hi], m), return_counts=True)

@@ -47,3 +47,19 @@ def test_overlaps_both_ways():
         a, b = ([np.unique(r.integers(0, most, r.integers(1, 90))) for _ in range(n)] for n in (31, 17))
         want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
         assert J.overlaps(a, b).astype(int).tolist() == want
+
+
+def test_memory_of_a_comparison():
+    """Pipeline, near duplicates: two tiles of the usual size are compared in less than 150 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    n = J.TILE // J.BLOCK
+    common = rng.integers(0, 1 << 63, n * 3 // 2, dtype=np.int64)
+    sets = [np.sort(np.r_[rng.choice(common, n - 20, False), rng.integers(0, 1 << 63, 20, dtype=np.int64)]) for _ in range(J.BLOCK)]
+    sizes = np.full(J.BLOCK, n)
+    tracemalloc.start()
+    good = J.similar(sizes, sets, sizes, sets, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert good.diagonal().all() and peak < 150e6
