@@ -36,10 +36,11 @@ from landgrain.llm.common import components, fresh, maybe_broadcast, staged
 
 WORDS, PERCENT = 5, 80
 BAND = 1.7  # largest by smallest size of a band
-FLUSH, CHUNK = 500_000, 100  # signatures that a task combines at once, and sets whose signatures it computes at once
+FLUSH, CHUNK = 1_000_000, 100  # signatures that a task combines at once, and sets whose signatures it computes at once
 CHAINS = 2  # rounds of neighbour pairs before the last step
 CHAIN = 50_000  # members of a signature among which neighbours are looked for
-PART, PARTS = 500_000, 50_000  # signatures that one task groups, and tasks
+PART, PARTS = 2_000_000, 50_000  # signatures that are grouped at once, and tasks
+SIG, NODE = 5, 6  # bytes of a signature beside its part, and of a node
 DEPTH = 6  # times that a partitioning is repeated under empty subsets
 BLOCK, TILE = 1024, 1 << 19  # sets, and shingles, that one side of a comparison holds on average
 U = np.uint64
@@ -229,8 +230,14 @@ def described(docs: DataFrame, words: int, percent: int, hashes: bool = False) -
     return docs.select("doc_id", "text").mapInPandas(describe, SET + ", h array<long>" * hashes)
 
 
-def combined(sig: np.ndarray, node: np.ndarray) -> pd.DataFrame:
-    """(sig, node, n): one row per signature; a later set under a signature leaves as a group of two with the first
+def node_of(key):
+    """The node that stands for a set, from its first key: as many bits as are sent with its signatures."""
+    most = (1 << 8 * NODE) - 1
+    return key.bitwiseAND(F.lit(most)) if isinstance(key, Column) else key & most
+
+
+def combined(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sig, node, n): one of each per signature; a later set under a signature leaves as a group of two with the first
     set, with the number of signatures that the two share so."""
     order = np.argsort(sig, kind="stable")
     ordered = sig[order]
@@ -247,17 +254,60 @@ def combined(sig: np.ndarray, node: np.ndarray) -> pd.DataFrame:
     own = mix(mix(a.astype(U)) + b.astype(U))
     heads = np.ones(len(sig), bool)
     heads[order[late]] = False
-    return pd.DataFrame(
-        {
-            "sig": np.concatenate([sig[heads], own, own]).view(np.int64),
-            "node": np.concatenate([node[heads], a, b]),
-            "n": np.concatenate([np.ones(heads.sum(), np.int64), count, count]),
-        }
+    return (
+        np.concatenate([sig[heads], own, own]),
+        np.concatenate([node[heads], a, b]),
+        np.concatenate([np.ones(heads.sum(), np.int64), count, count]),
     )
 
 
-def signed(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """(sig, node, n): the signatures of all sets, combined in each task; node is the set's first key."""
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, lowest bytes first: the higher ones are mostly 0 and compress to nothing."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def packed(sig: np.ndarray, node: np.ndarray, n: np.ndarray, parts: int) -> pd.DataFrame:
+    """(part, data): signatures dealt to parts by their highest bits, one row of bytes per part: the nodes, each with the number
+    of its signatures, then n and the lowest bits of each signature. A node goes once for all its signatures of a part."""
+    part = (((sig >> U(32)) * U(parts)) >> U(32)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    part, sig, node, n = part[order], sig[order], node[order], n[order]
+    run = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (node[1:] != node[:-1])])
+    long = np.diff(np.r_[run, len(sig)])
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    ends, sizes = np.searchsorted(run, np.r_[first, len(sig)]), np.r_[first, len(sig)]
+    sigs = np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIG])
+    nodes = np.ascontiguousarray(node[run].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :NODE])
+    out = []
+    for a, b, lo, hi in zip(ends[:-1], ends[1:], sizes[:-1], sizes[1:]):
+        head = np.array([b - a, hi - lo], "<u4").tobytes()
+        out.append(head + nodes[a:b].tobytes() + planes(long[a:b]) + planes(n[lo:hi]) + sigs[lo:hi].tobytes())
+    return pd.DataFrame({"part": part[first].astype(np.int32), "data": out})
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sig, node, n) of one row of ``packed``; the signatures without what their part says of them."""
+    runs, size = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    at = 8
+
+    def taken(count: int, width: int) -> np.ndarray:
+        nonlocal at
+        at += count * width
+        return np.frombuffer(data, np.uint8, count * width, at - count * width)
+
+    def filled(x: np.ndarray) -> np.ndarray:
+        wide = np.zeros((len(x), 8), np.uint8)
+        wide[:, : x.shape[1]] = x
+        return wide.view("<u8").reshape(-1)
+
+    number = lambda count: filled(taken(count, 4).reshape(4, -1).T).astype(np.int64)
+    node = filled(taken(runs, NODE).reshape(-1, NODE)).astype(np.int64)
+    long, n = number(runs), number(size)
+    return filled(taken(size, SIG).reshape(-1, SIG)), np.repeat(node, long), n
+
+
+def signed(docs: DataFrame, text: str, words: int, percent: int, parts: int) -> DataFrame:
+    """(part, data): the signatures of all sets with their nodes, combined and packed in each task."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
@@ -276,7 +326,7 @@ def signed(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
             out = combined(*(np.concatenate(x) for x in zip(*held)))
             held.clear()
             size = 0
-            return out
+            return packed(*out, parts)
 
         for batch in batches:
             for x in batch[text]:
@@ -286,7 +336,7 @@ def signed(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
                 if len(seen) < 200_000:
                     seen.add(key)
                 sets.append(h)
-                nodes.append(key[0])
+                nodes.append(node_of(key[0]))
                 if len(sets) == CHUNK:
                     enumerate_sets()
                     if size >= FLUSH:
@@ -296,7 +346,7 @@ def signed(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
         if size:
             yield flushed()
 
-    return docs.where("doc_id is not null").select(text).mapInPandas(sign, "sig long, node long, n long")
+    return docs.where("doc_id is not null").select(text).mapInPandas(sign, "part int, data binary")
 
 
 def paired(sig: np.ndarray, node: np.ndarray, n: np.ndarray) -> pd.DataFrame:
@@ -314,33 +364,32 @@ def paired(sig: np.ndarray, node: np.ndarray, n: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": node[keep], "b": np.repeat(node[start], end - start)[keep], "n": n[keep]})
 
 
-def first_pairs(rows: DataFrame, shingles_signed: int) -> DataFrame:
+def parts_of(shingles_signed: int) -> int:
+    """So many parts, by the counted shingles, that each holds about ``PART`` signatures."""
+    return 1 + shingles_signed // PART
+
+
+def first_pairs(rows: DataFrame, parts: int) -> DataFrame:
     """(a, b, n): each node with the smallest node of its signature groups, which may be itself, and how often.
 
-    Signatures are dealt to so many tasks, by the counted shingles, that each groups about ``PART`` of them. Where that
-    would be more than ``PARTS`` tasks, each one's signatures are sorted by Spark first and grouped piece by piece. A
-    frequent signature has a row from each flush of a signing task only.
+    ``rows`` are (part, data) of ``signed``; a task groups its parts one after the other. A frequent signature is there once
+    for each flush of a signing task only. What of a signature is not its part's has 40 bits, so that of the signatures of
+    a part one in half a million may meet another by chance; such pairs are looked at and found to be none.
     """
-    parts = 1 + shingles_signed // PART
-    ordered = parts > PARTS
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        now, held = None, []
         for batch in batches:
-            held.append(tuple(batch[c].to_numpy() for c in ("sig", "node", "n")))
-            size += len(batch)
-            if ordered and size >= PART:
-                rows = [np.concatenate(x) for x in zip(*held)]
-                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last signature may go on
-                if cut:
-                    yield paired(*(x[:cut] for x in rows))
-                held, size = [tuple(x[cut:] for x in rows)], size - cut
-        if size:
+            for part, data in zip(batch["part"], batch["data"]):
+                if part != now and held:
+                    yield paired(*(np.concatenate(x) for x in zip(*held)))
+                    held = []
+                now = part
+                held.append(unpacked(data))
+        if held:
             yield paired(*(np.concatenate(x) for x in zip(*held)))
 
-    dealt = rows.repartition(min(parts, PARTS), "sig")
-    dealt = dealt.sortWithinPartitions("sig") if ordered else dealt
+    dealt = rows.repartitionById(min(parts, PARTS), "part").sortWithinPartitions("part")
     return dealt.mapInPandas(pair, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -362,11 +411,12 @@ def joined(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int
     classes = meta.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", "need").agg(F.min("doc_id").alias("cls"))
     classes = staged(classes, "shingle-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    first = staged(first_pairs(signed(slim, "text", words, percent), total), "first-pairs")
+    parts = parts_of(total)
+    first = staged(first_pairs(signed(slim, "text", words, percent, parts), parts), "first-pairs")
     # A set that shares fewer signatures with all others together than with one similar set has none.
-    enough = first.groupBy("a").agg(F.sum("n").alias("shared")).join(classes.withColumnRenamed("k1", "a"), "a")
-    enough = staged(enough.where("shared >= need").select(F.col("a").alias("k1"), "k2", "n", "need", "cls"), "candidates")
-    key_of = enough.select("k1", "cls", "n")
+    enough = first.groupBy("a").agg(F.sum("n").alias("shared")).join(classes.withColumn("a", node_of(F.col("k1"))), "a")
+    enough = staged(enough.where("shared >= need").select("k1", "k2", "n", "need", "cls"), "candidates")
+    key_of = enough.select(node_of(F.col("k1")), "cls", "n")
     near = (
         first.where("a <> b")
         .join(key_of.toDF("a", "ca", "na"), "a")
@@ -451,7 +501,7 @@ def rest(sets: DataFrame, links: list[DataFrame], percent: int) -> DataFrame:
     def shared_by_many(rows: DataFrame) -> DataFrame:
         """The rows of signatures that several components have, of classes that have enough of such signatures."""
         mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-        kept = rows.drop("size").join(mixed.where("lo <> hi").select("sig", "size"), "sig")
+        kept = staged(rows.drop("size").join(mixed.where("lo <> hi").select("sig", "size"), "sig"), "kept")  # read twice
         enough = kept.groupBy("cls", "need").agg(F.count("*").alias("m")).where("m >= need").select("cls")
         return kept.join(enough, "cls", "left_semi")
 
@@ -464,7 +514,7 @@ def rest(sets: DataFrame, links: list[DataFrame], percent: int) -> DataFrame:
         if before is not None and size > 0.9 * before:
             break
         before = size
-    members = members.drop("comp", "need")
+    members = members.drop("comp")
     for turn in range(CHAINS):
         now = owned(members, comp)
         # Neighbours in a shuffled order of each signature's members: one pair per member, the best one per class. A
@@ -579,23 +629,36 @@ def degrees(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     return counted.groupBy("cls").agg(F.sum("links").alias("links"))
 
 
+def blocks_of(queries: DataFrame) -> DataFrame:
+    """(cls, block) of all ``queries`` (cls, sig, n, size): by the signature of a class that has most members. The classes of one
+    such signature are in one block, or in as many as they have tiles; small ones are packed together."""
+    own = queries.groupBy("cls", "n").agg(F.max_by("sig", F.struct("size", "sig")).alias("key"))
+    heavy = own.groupBy("key").agg(F.sum(weight()).alias("w"))
+    heavy = staged(heavy.select("key", "w", tiles_of(F.col("w")).alias("tiles")), "keys")
+    blocks = max(1, -(-(heavy.where("tiles = 1").agg(F.sum("w")).first()[0] or 0) // TILE))
+    alone = F.xxhash64("key", dealt(F.col("tiles"))).bitwiseOR(F.lit(-(1 << 63)))  # below 0
+    block = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("key"), F.lit(blocks))).otherwise(alone)
+    return own.join(heavy.select("key", "tiles"), "key").select("cls", block.alias("block"))
+
+
 def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): all links between members of one signature and different components.
 
     Of such a pair at least one is not in the component that most of the signature's members have. These classes are
     the query sets; they are dealt into blocks of about a tile, and every class that shares a signature with a block's
-    query is sent there. What is sent to a block is dealt into as many parts as its counted size has tiles, and each
-    part is compared with the block in a group of its own. Only links leave a task.
+    query is sent there. Queries go by the signature of theirs that has most members, so that those with the same
+    members lie in one block and these are sent once. For half at least of the signatures that two similar sets share, it
+    is the same one of them that is a query; a class that shares fewer than half of what it needs with a block stays
+    away. What is sent to a block is dealt into as many parts as its counted size has tiles, and each part is compared
+    with the block in a group of its own. Only links leave a task.
     """
     sizes = members.groupBy("sig", "comp").agg(F.count("*").alias("m"))
     home = sizes.groupBy("sig").agg(F.max_by("comp", F.struct("m", "comp")).alias("home"))
-    queries = staged(members.join(home, "sig").where("comp <> home").select("cls", "sig", "n").distinct(), "queries")
-    asked_for = queries.select("cls", "n").distinct().agg(F.sum(weight())).first()[0] or 0
-    blocks = max(1, -(-asked_for // TILE))
-    block = F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int").alias("block")
-    asked = queries.select("cls", block).distinct()
-    sent = members.join(queries.select("sig", block).distinct(), "sig").select("cls", "n", "block").distinct()
-    sent = staged(sent, "sent")
+    queries = staged(members.join(home, "sig").where("comp <> home").select("cls", "sig", "n", "size").distinct(), "queries")
+    asked = staged(blocks_of(queries), "asked")
+    held = queries.select("cls", "sig").join(asked, "cls").select("sig", "block").distinct()
+    sent = members.join(held, "sig").groupBy("cls", "n", "need", "block").agg(F.count("*").alias("m"))
+    sent = staged(sent.where("2 * m >= need").select("cls", "n", "block"), "sent")
     parts = sent.groupBy("block").agg(tiles_of(F.sum(weight())).alias("salts"))
     parts = staged(parts, "parts")  # one row per block
     comps = members.groupBy("cls").agg(F.max("comp").alias("comp"))
