@@ -261,8 +261,7 @@ def zones_filled_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lanes_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streets within 50 m of each area."""
-    met = P.lines_meeting(lanes(spark, sf_dir), squares(spark, sf_dir), 50.0, 250.0)
-    return met.groupBy("poly").agg(F.count("*").alias("lanes"))
+    return P.lines_per_polygon(lanes(spark, sf_dir), squares(spark, sf_dir), 50.0, 250.0).withColumnRenamed("n", "lanes")
 
 
 @query(
